@@ -85,7 +85,7 @@ class IngestSpec:
     max_records_per_file: int | None = None
     compact_ratio: float | None = None
     fault: Callable[[str, int], None] | None = None
-    after_batch: Callable[[str, int, DataFrame], None] | None = None
+    after_batch: Callable[[str, int, int], None] | None = None
     options: dict[str, str] = field(default_factory=dict)
 
     def sink(self) -> LedgerSink:

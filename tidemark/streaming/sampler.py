@@ -33,14 +33,16 @@ class Sampler:
     """One row per completed batch, written to storage as it is taken.
 
     Used as a sink's `after_batch`. `watermark` is the table's watermark when
-    sampling began, the one the job has to clear. `lag` is asked for the lag of
-    that moment and answers None when there is none to read.
+    sampling began, the one the job has to clear. The lag is the end of the log
+    at that moment less what the job has read; with nobody to ask for the end
+    of the log there is no lag to read, and it stays NULL.
     """
 
     table: LedgerTable
     path: str
     stage: str = "run"
-    lag: Callable[[], int | None] = lambda: None
+    log_end: Callable[[], int] | None = None
+    rows_read: int = 0
     watermark: int | None = None
     _started: float = field(default_factory=time.monotonic)
     _count: int = 0
@@ -49,7 +51,8 @@ class Sampler:
         if self.watermark is None and self.table.exists():
             self.watermark = self.table.watermark()
 
-    def __call__(self, lineage: str, batch_id: int, batch: DataFrame) -> None:
+    def __call__(self, lineage: str, batch_id: int, rows: int) -> None:
+        self.rows_read += rows
         self.observe(batch_id, "RUNNING")
 
     def observe(self, batch_id: int | None = None, state: str | None = None) -> dict:
@@ -61,7 +64,7 @@ class Sampler:
             "watermark": self.watermark,
             "rows_visible": self.table.rows_visible() if history else 0,
             "snapshots": len(history),
-            "consumer_lag": self.lag(),
+            "consumer_lag": self.log_end() - self.rows_read if self.log_end else None,
             "job_state": state,
             "checkpoints_failed": 0,
             "writing_lineage": history[-1]["lineage"] if history else None,

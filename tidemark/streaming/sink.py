@@ -43,8 +43,9 @@ class LedgerSink:
     writers: int | None = None
     max_records_per_file: int | None = None
     fault: Callable[[str, int], None] | None = None
-    after_batch: Callable[[str, int, DataFrame], None] | None = None
+    after_batch: Callable[[str, int, int], None] | None = None
     outcomes: list[tuple[int, str]] = field(default_factory=list)
+    rows_read: int = 0
     _watermarks: dict = field(default_factory=dict, repr=False)
 
     def __post_init__(self):
@@ -57,17 +58,18 @@ class LedgerSink:
         lineage = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
         if lineage is None:
             raise Refused("the sink runs inside a streaming query only")
-        outcome = self._take(batch, batch_id, lineage)
+        outcome, rows = self._take(batch, batch_id, lineage)
         self.outcomes.append((batch_id, outcome))
+        self.rows_read += rows
         if self.after_batch is not None:
-            self.after_batch(lineage, batch_id, batch)
+            self.after_batch(lineage, batch_id, rows)
 
-    def _take(self, batch: DataFrame, batch_id: int, lineage: str) -> str:
+    def _take(self, batch: DataFrame, batch_id: int, lineage: str) -> tuple[str, int]:
         if self.delivery == "at_least_once":
             staged = self._stage(batch, batch_id, lineage)
             self._reached("staged", batch_id)
             self._publish([staged], batch_id, lineage, guarded=False)
-            return "committed"
+            return "committed", staged.rows
         watermark = self._watermark(lineage)
         if watermark is None or batch_id > watermark:
             staged = self._stage(batch, batch_id, lineage)
@@ -79,19 +81,19 @@ class LedgerSink:
             self._publish(lump, batch_id, lineage, guarded=True)
             if held:
                 self.table.release(lineage)
-            return "committed"
+            return "committed", staged.rows
         seen = batch.agg(*fingerprint_columns(batch.columns, self.seq)).first().asDict()
         if fingerprint_text(seen) in self.table.fingerprints(lineage, batch_id):
-            return "suppressed"
+            return "suppressed", seen["rows"]
         if self.policy == "reject":
             raise Refused(
                 f"batch {batch_id} of lineage {lineage} was committed with other content: "
                 f"the job was restored from a point older than the table (watermark {watermark})"
             )
         if self.policy == "skip":
-            return "skipped"
+            return "skipped", seen["rows"]
         self.table.hold(self._stage(batch, batch_id, lineage))
-        return "held"
+        return "held", seen["rows"]
 
     def _reached(self, point: str, batch_id: int) -> None:
         if self.fault is not None:
@@ -200,9 +202,9 @@ class UpsertSink(LedgerSink):
         if not self.key:
             raise Refused("an upsert needs the key it upserts on")
 
-    def _take(self, batch: DataFrame, batch_id: int, lineage: str) -> str:
+    def _take(self, batch: DataFrame, batch_id: int, lineage: str) -> tuple[str, int]:
         outcome = super()._take(latest_per_key(batch, self.key, self.seq), batch_id, lineage)
-        if outcome == "committed" and self.compact_ratio is not None:
+        if outcome[0] == "committed" and self.compact_ratio is not None:
             compact_upsert(self.table, self.key, self.seq, self.compact_ratio)
         return outcome
 
