@@ -114,6 +114,12 @@ def end_offsets(log: DataFrame) -> DataFrame:
     return log.groupBy("partition").agg((F.max("offset") + 1).alias("end_offset"))
 
 
+def pin(offsets: DataFrame) -> DataFrame:
+    """Offsets as they are now. Appending to the log would otherwise change the
+    answer of a frame read before; the rows pinned are one per partition."""
+    return offsets.sparkSession.createDataFrame(offsets.collect(), offsets.schema)
+
+
 def parse_offset_lines(
     lines: DataFrame, line: str = "line", allow_negative: bool = True
 ) -> DataFrame:

@@ -2,7 +2,7 @@
 
     <root>/data/<lineage>/<batch>-<attempt>/part-*.parquet   written by Spark
     <root>/ledger/<commit id>.json                           one commit each
-    <root>/ledger/base-<commit id>/                          folded older commits
+    <root>/ledger/base-<commit id>-<n>/                      folded older commits
     <root>/held/<lineage>/<batch>.json                       batches not committed yet
 
 A data file nobody's commit names is not part of the table. A commit is one
@@ -59,6 +59,11 @@ class StagedBatch:
     bytes: int = 0
 
 
+def _number(name: str) -> int:
+    """The commit id in the name of a commit file or of a base."""
+    return int(name.split("-")[1] if name.startswith("base-") else name.split(".")[0])
+
+
 @dataclass
 class LedgerTable:
     spark: SparkSession
@@ -74,9 +79,9 @@ class LedgerTable:
     def _ledger_paths(self) -> list[str]:
         names = self.fs.names(f"{self.root}/ledger")
         bases = sorted(n for n in names if n.startswith("base-"))
-        floor = int(bases[-1].split("-")[1]) if bases else -1
+        floor = _number(bases[-1]) if bases else -1
         commits = sorted(n for n in names if n.endswith(".json") and not n.startswith("."))
-        live = [n for n in commits if int(n.split(".")[0]) > floor]
+        live = [n for n in commits if _number(n) > floor]
         return [f"{self.root}/ledger/{n}" for n in bases[-1:] + live]
 
     def exists(self) -> bool:
@@ -121,9 +126,31 @@ class LedgerTable:
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).parquet(*[f"{self.root}/{p}" for p in paths])
 
+    def state(self) -> dict:
+        """Rows visible, snapshots, newest lineage and watermark, from the ledger
+        alone and in one pass over it."""
+        if not self.exists():
+            return {"rows_visible": 0, "snapshots": 0, "lineage": None, "watermark": None}
+        is_commit = F.col("kind") == "commit"
+        per_path = self.entries().where(F.col("kind") != "batch").groupBy(
+            F.coalesce("path", F.format_string("commit %d", F.col("commit_id"))).alias("p")
+        ).agg(
+            F.max(F.when(F.col("kind") == "add", F.col("rows"))).alias("rows"),
+            F.count_if(F.col("kind") == "remove").alias("removed"),
+            F.max(F.when(is_commit, F.struct("committed_at", "commit_id", "lineage"))).alias("newest"),
+            F.max_by("summary", F.when(is_commit, F.col("commit_id"))).alias("summary"),
+        )
+        row = per_path.agg(
+            F.coalesce(F.sum(F.when(F.col("removed") == 0, F.col("rows"))), F.lit(0)).alias("rows_visible"),
+            F.count("newest").alias("snapshots"),
+            F.max("newest")["lineage"].alias("lineage"),
+            F.max_by("summary", "newest")["max-committed-batch-id"].alias("watermark"),
+        ).first().asDict()
+        row["watermark"] = int(row["watermark"]) if row["watermark"] is not None else None
+        return row
+
     def rows_visible(self) -> int:
-        """Row count from the ledger alone."""
-        return self.live_paths().agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+        return self.state()["rows_visible"]
 
     def files(self) -> DataFrame:
         """File manifest of the newest snapshot (S18); Parquet answers from footers."""
@@ -143,13 +170,8 @@ class LedgerTable:
         With no lineage named this is the newest snapshot's value, NULL when
         that snapshot carries none, not the last one that did (W2).
         """
-        commits = self.entries().where(F.col("kind") == "commit")
-        if lineage is None:
-            newest = commits.agg(
-                F.max_by("summary", F.struct("committed_at", "commit_id")).alias("s")
-            ).first()["s"]
-            value = (newest or {}).get("max-committed-batch-id")
-            return int(value) if value is not None else None
+        if lineage is None or not self.exists():
+            return self.state()["watermark"]
         batches = self.entries().where((F.col("kind") == "batch") & (F.col("lineage") == lineage))
         return batches.agg(F.max("batch_id")).first()[0]
 
@@ -163,11 +185,8 @@ class LedgerTable:
     # -- writing -----------------------------------------------------------
 
     def _next_id(self) -> int:
-        ids = [int(n.split(".")[0]) for n in self.fs.names(f"{self.root}/ledger")
-               if n.endswith(".json") and not n.startswith(".")]
-        ids += [int(n.split("-")[1]) for n in self.fs.names(f"{self.root}/ledger")
-                if n.startswith("base-")]
-        return max(ids, default=-1) + 1
+        names = self.fs.names(f"{self.root}/ledger")
+        return max((_number(n) for n in names if not n.startswith(".")), default=-1) + 1
 
     def commit(
         self,
@@ -269,13 +288,13 @@ class LedgerTable:
         base = kept.unionByName(entries.where(F.col("kind") == "batch")).unionByName(live)
         staged = f"{self.root}/ledger/.base-{uuid.uuid4().hex}"
         base.coalesce(8).write.json(staged)
-        if not self.fs.rename_new(staged, f"{self.root}/ledger/base-{top:020d}"):
+        bases = sorted(n for n in names if n.startswith("base-"))
+        again = sum(1 for n in bases if _number(n) == top)
+        if not self.fs.rename_new(staged, f"{self.root}/ledger/base-{top:020d}-{again:06d}"):
             raise Refused("the ledger was folded by somebody else meanwhile")
-        older = sorted(int(n.split("-")[1]) for n in names if n.startswith("base-"))
         for name in names:
-            if older and not name.startswith(".") and name != f"base-{older[-1]:020d}":
-                number = int(name.split("-")[1] if name.startswith("base-") else name.split(".")[0])
-                if number <= older[-1]:
+            if bases and not name.startswith(".") and name != bases[-1]:
+                if _number(name) <= _number(bases[-1]):
                     self.fs.delete(f"{self.root}/ledger/{name}")
         return expired
 

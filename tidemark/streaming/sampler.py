@@ -56,18 +56,18 @@ class Sampler:
         self.observe(batch_id, "RUNNING")
 
     def observe(self, batch_id: int | None = None, state: str | None = None) -> dict:
-        history = self.table.snapshots().select("commit_id", "lineage").collect() if self.table.exists() else []
+        held = self.table.state()
         row = {
             "stage": self.stage,
             "seconds": round(time.monotonic() - self._started, 1),
             "checkpoint_id": batch_id,
             "watermark": self.watermark,
-            "rows_visible": self.table.rows_visible() if history else 0,
-            "snapshots": len(history),
+            "rows_visible": held["rows_visible"],
+            "snapshots": held["snapshots"],
             "consumer_lag": self.log_end() - self.rows_read if self.log_end else None,
             "job_state": state,
             "checkpoints_failed": 0,
-            "writing_lineage": history[-1]["lineage"] if history else None,
+            "writing_lineage": held["lineage"],
         }
         files = Files(self.table.spark)
         files.mkdirs(self.path)
