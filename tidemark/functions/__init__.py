@@ -16,13 +16,15 @@ from tidemark.functions.numbers import (
 from tidemark.functions.text import (
     basename,
     first_line,
+    is_blank,
     is_offset,
+    split_lines,
     squash_whitespace,
     strip_ansi,
 )
 
 __all__ = [
     "FINGERPRINT_FIELDS", "basename", "clamp_zero", "duration_ms", "fingerprint_columns",
-    "fingerprint_text", "first_line", "floor_average", "hash_draw", "is_offset",
-    "number_word", "pick", "squash_whitespace", "strip_ansi", "thousands", "zero_event_bound",
+    "fingerprint_text", "first_line", "floor_average", "hash_draw", "is_blank",
+    "is_offset", "number_word", "pick", "split_lines", "squash_whitespace", "strip_ansi", "thousands", "zero_event_bound",
 ]

@@ -5,20 +5,43 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+ESCAPE = "\x1b"
 # Fixed value: the escape sequences a coloured terminal writes.
 ANSI_PATTERN = "\\x1b\\[[0-9;]*m"
 
-# Whitespace in the Unicode sense, plus the four ASCII separators.
-WHITESPACE_PATTERN = "(?U)[\\s\\x1c-\\x1f]+"
+# White space in the Unicode sense, the four ASCII separators
+# included, and the characters that end a line.
+WHITESPACE = "".join(
+    map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x20), 0x20, 0x85, 0xA0, 0x1680,
+              *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
+)
+LINE_ENDS = "".join(map(chr, [0x0A, 0x0B, 0x0C, 0x0D, 0x1C, 0x1D, 0x1E, 0x85, 0x2028, 0x2029]))
 
 
 def strip_ansi(text: Column) -> Column:
-    return F.regexp_replace(text, ANSI_PATTERN, "")
+    """Without colour codes; text without an escape is not searched at all."""
+    return F.when(
+        F.contains(text, F.lit(ESCAPE)), F.regexp_replace(text, ANSI_PATTERN, "")
+    ).otherwise(text)
+
+
+def plain_blanks(text: Column) -> Column:
+    """Every white space character as a blank."""
+    return F.translate(text, WHITESPACE, " " * len(WHITESPACE))
 
 
 def squash_whitespace(text: Column) -> Column:
     """Every run of whitespace as one blank, none at the ends."""
-    return F.trim(F.regexp_replace(text, WHITESPACE_PATTERN, " "))
+    return F.trim(F.regexp_replace(plain_blanks(text), "  +", " "))
+
+
+def split_lines(text: Column) -> Column:
+    """Lines of a text; a two-character line end leaves an empty line between."""
+    return F.split(F.translate(text, LINE_ENDS, "\n" * len(LINE_ENDS)), "\n")
+
+
+def is_blank(text: Column) -> Column:
+    return F.trim(plain_blanks(text)) == ""
 
 
 def basename(path: Column) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import clamp_zero
 
 WORD_BITS = 6
+OUTSIDE_GROUPS = 1024
 
 
 def seq_words(rows: DataFrame, seq: str = "seq") -> DataFrame:
@@ -227,17 +228,24 @@ def seq_profile(
         ).cast("long").alias("missing"),
     )
     totals = ("rows", "distinct_seq")
+    # Words outside lo..hi only add to the totals. There may be any number of
+    # them, so they are spread over groups of their own.
+    level = level.withColumn("out", F.col("first").isNull())
+    outside = F.pmod(F.col("word"), F.lit(OUTSIDE_GROUPS))
     words_possible = max(1, (hi >> WORD_BITS) - (lo >> WORD_BITS) + 1)
-    while words_possible > top_words:
-        level = level.withColumn("block", F.shiftright("word", fan_bits))
-        level = _close_gaps(level, Window.partitionBy("block").orderBy("word"))
-        level = level.groupBy(F.col("block").alias("word")).agg(
+    while True:
+        block = F.when(F.col("out"), outside).otherwise(F.shiftright("word", fan_bits))
+        level = level.withColumn("block", block)
+        level = _close_gaps(level, Window.partitionBy("out", "block").orderBy("word"))
+        level = level.groupBy("out", F.col("block").alias("word")).agg(
             *[F.sum(c).alias(c) for c in totals],
             F.min("first").alias("first"), F.max("last").alias("last"),
             F.sum("runs").alias("runs"), F.sum("missing").alias("missing"),
         )
         words_possible = (words_possible >> fan_bits) + 2
-    closed = _close_gaps(level, Window.orderBy("word"))
+        if words_possible <= top_words:
+            break
+    closed = _close_gaps(level, Window.orderBy("out", "word"))
     span = max(0, hi - lo + 1)
     ends = closed.agg(
         *[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in totals],

@@ -51,8 +51,9 @@ def find_claims(claims: DataFrame, documents: DataFrame, doc_id: str, body: str)
     ).select("claim", F.xxhash64("w").alias("word")).distinct()
     held = texts.select("__doc", F.explode(F.array_distinct(F.split("__body", " "))).alias("w")).select(
         "__doc", F.xxhash64("w").alias("word")
-    ).join(inner.select("word").distinct(), "word", "left_semi")
-    spread = held.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    )
+    asked = held.join(inner.select("word").distinct(), "word", "left_semi")
+    spread = asked.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     rarest = inner.join(spread, "word", "left").groupBy("claim").agg(
         F.min_by("word", F.coalesce("n", F.lit(0))).alias("word"),
         F.min(F.coalesce("n", F.lit(0))).alias("n"),

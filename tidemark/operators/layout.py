@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -89,20 +91,27 @@ def interval_layout(
 ) -> DataFrame:
     """What each commit interval makes of the same feed.
 
-    Every commit closes one file per writer that got records. The intervals
-    are expanded as a short literal list per record and summed on the map side,
-    so the feed is scanned once.
+    Every commit closes one file per writer that got records. Records are summed
+    per common step of all intervals and writer first, so the feed is scanned
+    once and only those sums are placed into every interval.
     """
+    step = math.gcd(*interval_seconds)
     micros = F.unix_micros(F.col(at).cast("timestamp"))
-    lengths = F.array(*[F.lit(s).cast("long") for s in interval_seconds])
-    placed = records.select(
+    steps = records.select(
+        F.call_function("div", micros, F.lit(step * 1_000_000)).alias("__step"),
         micros.alias("__us"), writer.alias("__writer"), size.cast("long").alias("__size"),
-        F.explode(lengths).alias("interval_seconds"),
-    ).withColumn("__commit", F.floor(F.col("__us") / (F.col("interval_seconds") * 1_000_000)).cast("long"))
-    files = placed.groupBy("interval_seconds", "__commit", "__writer").agg(
+    ).groupBy("__step", "__writer").agg(
         F.count(F.lit(1)).alias("__rows"), F.sum("__size").alias("__bytes"),
         F.max("__us").alias("__newest"),
     )
+    lengths = F.array(*[F.lit(s).cast("long") for s in interval_seconds])
+    files = steps.withColumn("interval_seconds", F.explode(lengths)).withColumn(
+        "__commit",
+        F.call_function("div", F.col("__step"), F.call_function("div", F.col("interval_seconds"), F.lit(step))),
+    ).groupBy("interval_seconds", "__commit", "__writer").agg(
+        F.sum("__rows").alias("__rows"), F.sum("__bytes").alias("__bytes"),
+        F.max("__newest").alias("__newest"),
+    )
     commits = files.groupBy("interval_seconds", "__commit").agg(
         F.count(F.lit(1)).alias("__files"), F.sum("__rows").alias("__rows"),
         F.sum("__bytes").alias("__bytes"), F.max("__newest").alias("__newest"),

@@ -5,23 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions import first_line, strip_ansi
+from tidemark.functions import first_line, is_blank, split_lines, strip_ansi
 
 # Line noise of a terminal client.
 TERMINAL_NOISE = ["org.jline", "dumb terminal", "WARNING:"]
 
-LINE_BREAKS = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029]"
-
 
 def clean_lines(text: Column, noise: list[str]) -> Column:
     """Drop colour codes, blank lines and lines holding a noise word.
 
     By pattern only: whatever is not known noise stays, errors first of all.
     """
-    lines = F.split(strip_ansi(text), LINE_BREAKS)
+    lines = split_lines(strip_ansi(text))
 
     def keep(line: Column) -> Column:
-        kept = line.rlike("(?U)[^\\s\\x1c-\\x1f]")
+        kept = ~is_blank(line)
         for word in noise:
             kept = kept & ~F.contains(line, F.lit(word))
         return kept

@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.layout import commit_layout
 from tidemark.plans.registry import Registry
-from tidemark.plans.tables import WRITERS, read
-from tidemark.sources.log import land, produce
+from tidemark.plans.tables import WRITERS, highest, read
+from tidemark.sources.log import BLOCK, land, produce
 from tidemark.sources.wire import to_wire
 from tidemark.streaming.ingest import IngestSpec, drain, stream_files, stream_log, stream_wire
 from tidemark.streaming.ledger import LedgerTable
 from tidemark.streaming.sink import read_upsert
-from tidemark.workspace import Files, new_dir
+from tidemark.workspace import new_dir
 
 REGISTRY = Registry()
 
@@ -34,6 +34,13 @@ def landed_stream(records: DataFrame, path: str, batches: int = BATCHES) -> Data
     return stream_files(spark, path, records.schema, -(-files // batches))
 
 
+def produce_log(events: DataFrame, path: str) -> int:
+    """The feed as a log directory, in blocks small enough for several files."""
+    files = chunks_for(events.sparkSession)
+    block = max(1 << 8, min(BLOCK, highest(events, "event_id") // (2 * files)))
+    return produce(events, path, "user_id", "event_id", WRITERS, files, block)
+
+
 @REGISTRY.add("smoke_append", "SELECT * FROM events")
 def smoke_append(spark, sf_dir):
     """Feed, landing files, streaming job, ledger table, fresh read."""
@@ -56,7 +63,7 @@ def ingest_upsert(spark, sf_dir):
     source = landed_stream(events, f"{root}/landing")
     drain(IngestSpec(
         "ingest-upsert", source, table, f"{root}/checkpoint", seq="event_id",
-        key="user_id", upsert=True, compact_ratio=1.0,
+        key="user_id", upsert=True, compact_ratio=2.0,
     ))
     return read_upsert(table, "user_id", "event_id")
 
@@ -67,9 +74,9 @@ def ingest_upsert(spark, sf_dir):
 def ingest_log(spark, sf_dir):
     """From a keyed, partitioned log of JSON values."""
     events, root = read(spark, sf_dir, "events").drop("ts"), new_dir(spark, "log")
-    produce(events, f"{root}/log", "user_id", "event_id", WRITERS, chunks_for(spark))
+    files = produce_log(events, f"{root}/log")
     table = LedgerTable(spark, f"{root}/table", events.schema)
-    source = stream_log(spark, f"{root}/log", events.schema, files_per_trigger=-(-chunks_for(spark) // BATCHES))
+    source = stream_log(spark, f"{root}/log", events.schema, files_per_trigger=-(-files // BATCHES))
     drain(IngestSpec("ingest-log", source, table, f"{root}/checkpoint", seq="event_id"))
     return table.read()
 

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 
 from tidemark.errors import Refused
 from tidemark.operators import audit, samples
-from tidemark.plans.ingest_plans import BATCHES, chunks_for, landed_stream
+from tidemark.plans.ingest_plans import BATCHES, chunks_for, landed_stream, produce_log
 from tidemark.plans.registry import Registry
-from tidemark.plans.tables import WRITERS, highest, read
-from tidemark.sources.log import end_offsets, land, produce, read_log
+from tidemark.plans.tables import highest, read
+from tidemark.sources.log import end_offsets, land, read_log
 from tidemark.sources.offsets import OffsetStore
 from tidemark.streaming.faults import FaultOnce
 from tidemark.streaming.ingest import IngestSpec, drain, stream_files, stream_log
@@ -117,7 +117,7 @@ GROUP, TOPIC = "readers", "feed"
 def _offset_jobs(spark: SparkSession, sf_dir: str):
     """Land a log, ingest it, rewind the committed offsets behind the job's back."""
     events, root = read(spark, sf_dir, "events").drop("ts"), new_dir(spark, "offsets")
-    produce(events, f"{root}/log", "user_id", "event_id", WRITERS, chunks_for(spark))
+    files = produce_log(events, f"{root}/log")
     table = LedgerTable(spark, f"{root}/table", events.schema)
     store = OffsetStore(spark, f"{root}/offsets")
 
@@ -126,7 +126,7 @@ def _offset_jobs(spark: SparkSession, sf_dir: str):
         start = store.as_map(GROUP, TOPIC) if startup == "group-offsets" else None
         source = stream_log(
             spark, f"{root}/log", events.schema, startup, start,
-            files_per_trigger=-(-chunks_for(spark) // BATCHES),
+            files_per_trigger=-(-files // BATCHES),
         )
         drain(IngestSpec(name, source, table, f"{root}/{checkpoint}", seq="event_id"))
         reached = end_offsets(read_log(spark, f"{root}/log"))

@@ -6,8 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import samples
+from tidemark.operators.layout import WATERMARK_KEY, summary_value
 from tidemark.plans.registry import Registry
-from tidemark.plans.tables import SAMPLES_SQL, read, samples_by_hour
+from tidemark.plans.tables import COMMITS_SQL, SAMPLES_SQL, commits_by_hour, read, samples_by_hour
 
 REGISTRY = Registry()
 
@@ -104,16 +105,15 @@ def settled_at(spark, sf_dir):
 
 @REGISTRY.add(
     "asof_watermark",
-    """SELECT e.event_id, p.event_id AS watermark, p.value AS committed_value
-   FROM (SELECT * FROM events WHERE event_type <> 'purchase') e
-   ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'purchase') p ON e.ts >= p.ts""",
+    f"""WITH {COMMITS_SQL} SELECT e.event_id, c.commit_id, c.watermark, c.rows AS commit_rows
+   FROM events e ASOF LEFT JOIN commits c ON e.ts >= c.committed_at""",
 )
 def asof_watermark(spark, sf_dir):
-    """Each event beside the newest purchase at that moment."""
-    events = read(spark, sf_dir, "events")
-    buys = events.where(F.col("event_type") == "purchase").select(
-        F.col("event_id").alias("watermark"), F.col("value").alias("committed_value"),
-        F.col("ts").alias("at"),
+    """Each event beside the newest commit at that moment."""
+    commits = commits_by_hour(spark, sf_dir).select(
+        "commit_id", "committed_at", summary_value(WATERMARK_KEY).alias("watermark"),
+        F.col("rows").alias("commit_rows"),
     )
-    asked = events.where(F.col("event_type") != "purchase").select("event_id", "ts")
-    return samples.as_of(asked, buys, "ts", "at", ["watermark", "committed_value"]).drop("ts")
+    asked = read(spark, sf_dir, "events").select("event_id", "ts")
+    payload = ["commit_id", "watermark", "commit_rows"]
+    return samples.as_of(asked, commits, "ts", "committed_at", payload).drop("ts")

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.operators import isolation
-from tidemark.operators.evidence import union_facts
 from tidemark.plans.ingest_plans import BATCHES, landed_stream
 from tidemark.plans.registry import Registry
 from tidemark.plans.tables import read
@@ -61,30 +60,37 @@ def isolation_gap(spark, sf_dir):
     )
 
 
-JOBS = ["copy-A-", "copy-N-", "copy-R-"]
-
-
 @REGISTRY.add(
     "transaction_states",
-    """WITH m AS (SELECT 'copy-' || l_returnflag || '-' || l_orderkey AS txn_id, 'copy-' || l_returnflag || '-' AS job, l_linenumber,
+    """WITH m AS (SELECT 'copy-' || l_orderkey AS txn_id, l_linenumber,
      CASE l_linestatus WHEN 'F' THEN 'CompleteCommit' ELSE 'Ongoing' END AS state, 1000 * l_linenumber AS timeout_ms, l_shipdate FROM lineitem)
-   SELECT job, txn_id, max_by(state, (epoch_us(l_shipdate), l_linenumber, timeout_ms, state)) AS state,
+   SELECT txn_id, max_by(state, (epoch_us(l_shipdate), l_linenumber, timeout_ms, state)) AS state,
      CAST(max_by(timeout_ms, (epoch_us(l_shipdate), l_linenumber, timeout_ms, state)) AS INTEGER) AS timeout_ms
-   FROM m GROUP BY job, txn_id""",
+   FROM m GROUP BY txn_id""",
 )
 def transaction_states(spark, sf_dir):
-    """Newest marker of each transaction, job by job: the id's prefix names the job."""
+    """Newest marker of each of one job's transactions.
+
+    Two jobs share the marker table; the id's prefix tells them apart.
+    """
     state = F.when(F.col("l_linestatus") == "F", isolation.COMMITTED).otherwise(isolation.ONGOING)
-    markers = read(spark, sf_dir, "lineitem").select(
-        F.concat_ws("-", F.lit("copy"), F.col("l_returnflag"), F.col("l_orderkey")).alias("txn_id"),
-        state.alias("state"), (F.col("l_linenumber") * 1000).cast("int").alias("timeout_ms"),
-        "l_shipdate", "l_linenumber",
+    mine = read(spark, sf_dir, "lineitem").select(
+        F.concat_ws("-", F.lit("copy"), F.col("l_orderkey")).alias("txn_id"), state.alias("state"),
+        (F.col("l_linenumber") * 1000).cast("int").alias("timeout_ms"),
+        F.struct(
+            F.col("l_shipdate").alias("at"), "l_linenumber",
+            (F.col("l_linenumber") * 1000).cast("int").alias("timeout_ms"), state.alias("state"),
+        ).alias("version"),
+    )
+    theirs = transactions(spark, sf_dir).select(
+        F.concat_ws("-", F.lit("ingest"), F.col("txn_id")).alias("txn_id"), "state",
+        F.col("timeout_ms").cast("int").alias("timeout_ms"),
+        F.struct(
+            F.col("o_orderdate").alias("at"), F.lit(1).alias("l_linenumber"),
+            F.col("timeout_ms").cast("int").alias("timeout_ms"), F.col("state").alias("state"),
+        ).alias("version"),
     )
-    markers = markers.withColumn("version", F.struct("l_shipdate", "l_linenumber", "timeout_ms", "state"))
-    listed = [
-        isolation.latest_states(markers, job).withColumn("job", F.lit(job)) for job in JOBS
-    ]
-    return union_facts(listed)
+    return isolation.latest_states(mine.unionByName(theirs), "copy-")
 
 
 SAMPLES_SQL = f"""{STATE_SQL}, samples AS (

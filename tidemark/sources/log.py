@@ -31,17 +31,20 @@ def log_partition(key: Column, partitions: int = 4) -> Column:
 
 
 def with_offsets(
-    records: DataFrame, partition: str, seq: str, block: int = BLOCK, name: str = "offset"
+    records: DataFrame, partition: str, seq: str, block: int = BLOCK, name: str = "offset",
+    files: int | None = None,
 ) -> DataFrame:
     """Number the records of each log partition from 0 in `seq` order.
 
     A plain row_number over four partitions would sort the whole table in four
     tasks, and a hot key makes one of them worse. Here a row is ranked inside
     its block of `block` sequence numbers only, and starts at the record count
-    of the blocks before it. The running count runs over one row per block.
-    `seq` must be unique, as it is in a feed.
+    of the blocks before it. The running count runs over one row per block, the
+    records are shuffled once, by (partition, block), and stay so: `files` sets
+    how many tasks that makes. `seq` must be unique, as it is in a feed.
     """
-    blocked = records.withColumn("__block", F.floor(F.col(seq) / block).cast("long"))
+    of_block = F.call_function("div", F.col(seq).cast("long"), F.lit(block))
+    blocked = records.withColumn("__block", of_block)
     counts = blocked.groupBy(partition, "__block").agg(F.count(F.lit(1)).alias("__n"))
     before = (
         Window.partitionBy(partition).orderBy("__block")
@@ -50,6 +53,8 @@ def with_offsets(
     starts = counts.select(
         partition, "__block", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start")
     )
+    if files is not None:
+        blocked = blocked.repartition(files, partition, "__block")
     inside = Window.partitionBy(partition, "__block").orderBy(seq)
     ranked = blocked.withColumn("__rank", F.row_number().over(inside) - 1)
     return ranked.join(starts, [partition, "__block"]).select(
@@ -57,7 +62,10 @@ def with_offsets(
     )
 
 
-def as_log(records: DataFrame, key: str, seq: str, partitions: int = 4) -> DataFrame:
+def as_log(
+    records: DataFrame, key: str, seq: str, partitions: int = 4, block: int = BLOCK,
+    files: int | None = None,
+) -> DataFrame:
     """Records as a keyed log: key, JSON value, partition, offset."""
     body = F.to_json(F.struct(*[F.col(c) for c in records.columns]))
     keyed = records.select(
@@ -66,20 +74,22 @@ def as_log(records: DataFrame, key: str, seq: str, partitions: int = 4) -> DataF
         log_partition(F.col(key).cast("string"), partitions).alias("partition"),
         F.col(seq).cast("long").alias("__seq"),
     )
-    return with_offsets(keyed, "partition", "__seq").drop("__seq")
+    return with_offsets(keyed, "partition", "__seq", block, files=files).drop("__seq")
 
 
 def produce(
-    records: DataFrame, path: str, key: str, seq: str, partitions: int = 4, files: int = 8
-) -> None:
+    records: DataFrame, path: str, key: str, seq: str, partitions: int = 4, files: int = 8,
+    block: int = BLOCK,
+) -> int:
     """Append records to a log directory, in partition and sequence order.
 
-    Files are cut by range over (partition, seq), not by key, so a key holding
-    a third of the feed is still spread over many tasks; the offset keeps its
+    Tasks get whole blocks of a log partition, not whole partitions, so a key
+    holding a third of the feed is still written by many; the offset keeps its
     records in order. Appending starts after the offsets already in the log.
+    Returns the number of files in the directory.
     """
     spark = records.sparkSession
-    log = as_log(records, key, seq, partitions)
+    log = as_log(records, key, seq, partitions, block, files)
     if Files(spark).exists(path):
         ends = end_offsets(read_log(spark, path))
         shift = {r["partition"]: r["end_offset"] for r in ends.collect()}  # one per partition
@@ -87,11 +97,8 @@ def produce(
             start = F.create_map(*[F.lit(int(x)) for kv in shift.items() for x in kv])
             base = F.coalesce(F.try_element_at(start, F.col("partition")), F.lit(0))
             log = log.withColumn("offset", (F.col("offset") + base).cast("long"))
-    (
-        log.repartitionByRange(files, "partition", "offset")
-        .sortWithinPartitions("partition", "offset")
-        .write.mode("append").parquet(path)
-    )
+    log.write.mode("append").parquet(path)
+    return _part_files(spark, path)
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
@@ -99,14 +106,20 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def land(records: DataFrame, path: str, chunks: int) -> int:
-    """Append records to a landing directory in `chunks` even files.
+    """Append records to a landing directory in at least `chunks` files.
 
     A streaming read with a file limit per trigger then sees a sustained feed
-    in place of one backlog. Returns the number of files in the directory.
+    in place of one backlog. Records already in enough partitions are copied
+    without a shuffle. Returns the number of files in the directory.
     """
-    records.repartition(chunks).write.mode("append").parquet(path)
-    files = Files(records.sparkSession)
-    return sum(1 for name in files.names(path) if name.startswith("part-"))
+    if records.rdd.getNumPartitions() < chunks:
+        records = records.repartition(chunks)
+    records.write.mode("append").parquet(path)
+    return _part_files(records.sparkSession, path)
+
+
+def _part_files(spark: SparkSession, path: str) -> int:
+    return sum(1 for name in Files(spark).names(path) if name.startswith("part-"))
 
 
 def end_offsets(log: DataFrame) -> DataFrame:

@@ -270,7 +270,7 @@ class LedgerTable:
         paths = self._ledger_paths()
         if not paths:
             raise Refused("the table has no snapshot to fold")
-        top = self._next_id() - 1
+        top = max(_number(p.rsplit("/", 1)[1]) for p in paths)
         entries = self.spark.read.schema(LEDGER_SCHEMA).json(paths)
         commits = entries.where(F.col("kind") == "commit")
         kept, expired = commits, 0

@@ -215,12 +215,14 @@ def read_upsert(table: LedgerTable, key: str, seq: str = "seq") -> DataFrame:
 
 
 def compact_upsert(table: LedgerTable, key: str, seq: str, ratio: float = 0.5) -> bool:
-    """Fold deltas into one base when they hold more than `ratio` of its rows."""
+    """Fold deltas into one base when they outweigh it `ratio` times.
+
+    Before there is a base, the largest delta stands in for it.
+    """
     live = table.live_paths().collect()  # one row per live directory
-    base = [r for r in live if "/base-" in f"/{r['path']}"]
-    deltas = [r for r in live if r not in base]
-    held = sum(r["rows"] for r in base)
-    if not deltas or (base and sum(r["rows"] for r in deltas) < ratio * held):
+    deltas = [r["rows"] for r in live if "/base-" not in f"/{r['path']}"]
+    base = sum(r["rows"] for r in live) - sum(deltas)
+    if not deltas or sum(deltas) <= ratio * max(base, max(deltas)):
         return False
     merged = read_upsert(table, key, seq)
     started = time.time_ns()
