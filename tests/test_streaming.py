@@ -424,3 +424,78 @@ def test_catalog(spark, work):
     catalog.drop_table(spark, "lake.held")
     catalog.drop_table(spark, "lake.held")
     assert not catalog.table_exists(spark, "lake.held")
+
+
+def test_supervision_restarts_and_gives_up(job):
+    from tidemark.streaming.ingest import supervise
+
+    job.land(60, 3)
+    sink, failures = supervise(job.spec(fault=FaultOnce("staged", 1)), attempts=3, delay=0)
+    assert len(failures) == 1 and sink.outcomes[-1] == (2, "committed")
+    assert job.verdict()["complete"]
+
+    def always(point, batch_id):
+        raise RuntimeError("broken for good")
+
+    job.land(20)
+    with pytest.raises(PySparkException, match="broken for good"):
+        supervise(job.spec(fault=always), attempts=2, delay=0)
+
+
+def test_waits_end_one_way_or_the_other(job):
+    from tidemark.streaming import waits
+
+    job.land(80, 4)
+    query, _ = job.spec(interval="100 milliseconds").start()
+    try:
+        assert waits.wait_for_batches(query, 2, 60) >= 1
+        assert waits.wait_for_rows(job.table, 80, 60) >= 0
+        assert waits.wait_for_watermark(job.table, 3, 60) == 3
+        rows, _ = waits.wait_until_stable(job.table, 3, 0.2, 60, commit_interval=0.1)
+        assert rows == 80
+        with pytest.raises(Refused, match="did not reach 81 rows"):
+            waits.wait_for_rows(job.table, 81, 0.5)
+        with pytest.raises(Refused, match="did not reach 99"):
+            waits.wait_for_watermark(job.table, 99, 0.5)
+    finally:
+        query.stop()
+    with pytest.raises(Refused, match="ended while waiting"):
+        waits.wait_for_batches(query, 1000, 5)
+    with pytest.raises(Refused, match="cannot settle"):
+        waits.wait_until_stable(job.table, 3, 3, 60, commit_interval=10)
+    missing = LedgerTable(job.spark, f"{job.work}/nowhere", job.schema)
+    with pytest.raises(Refused, match="did not settle"):
+        waits.wait_until_stable(missing, 2, 0.1, 0.5, commit_interval=0.1)
+
+
+def test_a_commit_interval_makes_one_snapshot_per_trigger_with_data(job):
+    job.land(40)
+    query, _ = job.spec(interval="200 milliseconds").start()
+    try:
+        wait_until(lambda: True if job.table.rows_visible() == 40 else None, 60, "first rows")
+        # idle triggers commit nothing
+        import time
+        time.sleep(1)
+        assert job.table.snapshots().count() == 1
+        job.land(40)
+        wait_until(lambda: True if job.table.rows_visible() == 80 else None, 60, "more rows")
+        assert job.table.snapshots().count() == 2
+    finally:
+        query.stop()
+
+
+def test_documents_of_results_are_read_nested(spark, work):
+    from tidemark.operators.compare import one_configuration
+    from tidemark.sources.results import read_documents
+    from tidemark.workspace import Files
+
+    files = Files(spark)
+    files.mkdirs(f"{work}/docs")
+    files.write_text(f"{work}/docs/run.json", """{"configurations": [
+      {"mode": "a", "upsert": false, "landed": {"rows": 5, "runs": [{"start": 1, "end": 2}]}},
+      {"mode": "b", "upsert": true, "landed": {"rows": 7, "runs": []}}], "workload": {"events": 5}}""")
+    rows = read_documents(spark, f"{work}/docs").select(F.inline("configurations"))
+    assert one_configuration(rows, mode="b", upsert=True).first()["landed"]["rows"] == 7
+    for wrong in ({"mode": "c"}, {}):
+        with pytest.raises(Refused, match="configurations with"):
+            one_configuration(rows, **wrong)

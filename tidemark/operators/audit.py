@@ -289,8 +289,8 @@ def append_verdict(rows: DataFrame, lo: int, hi: int, seq: str = "seq") -> DataF
     )
 
 
-def _one_row(*parts: DataFrame) -> DataFrame:
-    """Put one-row frames side by side without a join."""
+def side_by_side(*parts: DataFrame) -> DataFrame:
+    """One-row frames as one row, without a join."""
     types = {f.name: f.dataType for p in parts for f in p.schema.fields}
     padded = None
     for part in parts:
@@ -328,13 +328,13 @@ def upsert_verdict(held: DataFrame, expected: DataFrame, key: str, seq: str) ->
 def measure_append(rows: DataFrame, lo: int, hi: int, key: str, seq: str) -> DataFrame:
     """Everything worth knowing about an append table, in one row."""
     keys = key_counts(rows, key).drop("rows")
-    return _one_row(append_verdict(rows, lo, hi, seq), keys)
+    return side_by_side(append_verdict(rows, lo, hi, seq), keys)
 
 
 def measure_upsert(held: DataFrame, expected: DataFrame, key: str, seq: str) -> DataFrame:
     """Everything worth knowing about a keyed table, in one row."""
     duplicates = seq_counts(held, seq).select("duplicate_seq_rows")
-    return _one_row(upsert_verdict(held, expected, key, seq), duplicates)
+    return side_by_side(upsert_verdict(held, expected, key, seq), duplicates)
 
 
 def rows_lost(expected: Column, distinct: Column, clamp: bool = True) -> Column:

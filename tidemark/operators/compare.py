@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.errors import Refused
+
 # A target this many times the average was never in reach.
 ORDERS_OF_MAGNITUDE = 1000
 
@@ -73,3 +75,14 @@ def merge_results(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
         new.select(*keys, F.lit(1).alias("__v"), F.struct(*values).alias("__r"))
     )
     return both.groupBy(*keys).agg(F.max_by("__r", "__v").alias("__r")).select(*keys, "__r.*")
+
+
+def one_configuration(configurations: DataFrame, **conditions) -> DataFrame:
+    """The one row with the given values (P8); none or several is refused."""
+    chosen = configurations
+    for column, value in conditions.items():
+        chosen = chosen.where(F.col(column).eqNullSafe(F.lit(value)))
+    found = chosen.limit(2).collect()
+    if len(found) != 1:
+        raise Refused(f"{'several' if found else 'no'} configurations with {conditions}")
+    return chosen

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import number_word, squash_whitespace, thousands, zero_event_bound
-from tidemark.operators import compare, evidence, lines
+from tidemark.operators import audit, compare, evidence, isolation, lines, published, samples
 from tidemark.plans.commit_plans import INTERVAL_SQL, interval_runs
 from tidemark.plans.registry import Registry
-from tidemark.plans.tables import read
+from tidemark.plans.tables import SAMPLES_SQL, feed, read, samples_by_hour
+from tidemark.plans.txn_plans import TIMEOUT_SQL, timed_transactions
 from tidemark.sources.results import read_results, write_results
 from tidemark.workspace import new_dir
 
@@ -120,22 +121,19 @@ def zero_event_bound_plan(spark, sf_dir):
 
 
 @REGISTRY.add(
-    "published_rows",
+    "published_runs",
     f"""WITH {RUNS_SQL}, r AS (SELECT 'run:' || run_key AS tag,
      '| `' || run_key || '` | ' || commits || ' | ' || format('{{:,}}', data_files) || ' | ' || format('{{:,}}', avg_data_file_bytes)
        || ' | ' || format('{{:.1f}}', seconds_to_visible) || ' s |' AS text FROM runs),
    p AS (SELECT 'total:rows' AS tag, 'a feed of ' || format('{{:,}}', CAST(sum(rows) AS BIGINT)) || ' events in '
        || CASE count(*) WHEN 0 THEN 'zero' WHEN 1 THEN 'one' WHEN 2 THEN 'two' WHEN 3 THEN 'three' WHEN 4 THEN 'four' WHEN 5 THEN 'five'
           ELSE format('{{:,}}', count(*)) END || ' runs' AS text FROM runs),
-   q AS (SELECT 'factor:size' AS tag, 'a factor of ' || format('{{:.1f}}', max(data_bytes) / min(data_bytes)) AS text FROM runs)
+   q AS (SELECT 'factor:data_bytes' AS tag, 'a factor of ' || format('{{:.1f}}', max(data_bytes) FILTER (run_key = 'view') / max(data_bytes) FILTER (run_key = 'click')) AS text FROM runs)
    SELECT * FROM r UNION ALL SELECT * FROM p UNION ALL SELECT * FROM q""",
 )
-def published_rows(spark, sf_dir):
+def published_runs(spark, sf_dir):
     """Table rows and sentences derived again from the runs."""
-    return published(typed_runs(spark, sf_dir))
-
-
-def published(runs):
+    runs = typed_runs(spark, sf_dir)
     rows = evidence.facts(
         runs, F.concat(F.lit("run:"), F.col("run_key")),
         evidence.table_row(
@@ -144,18 +142,102 @@ def published(runs):
             F.format_string("%.1f s", F.col("seconds_to_visible")),
         ),
     )
-    totals = runs.agg(
-        F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("n"),
-        (F.max("data_bytes") / F.min("data_bytes")).alias("factor"),
-    )
+    totals = runs.agg(F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("n"))
     total = evidence.facts(totals, F.lit("total:rows"), F.concat(
         F.lit("a feed of "), thousands(F.col("rows")), F.lit(" events in "),
         number_word(F.col("n")), F.lit(" runs"),
     ))
-    factor = evidence.facts(totals, F.lit("factor:size"), F.format_string("a factor of %.1f", F.col("factor")))
+    factor = published.factor_sentence(runs, "data_bytes", "click", "view")
     return evidence.union_facts([rows, total, factor])
 
 
+@REGISTRY.add(
+    "published_timeline",
+    f"""WITH {SAMPLES_SQL}, b AS (SELECT run, max(seconds) FILTER (checkpoint_id <= 11) AS last_frozen,
+     min(seconds) FILTER (checkpoint_id > 11) AS first_clear, min(rows_visible) FILTER (checkpoint_id <= 11) AS frozen_rows,
+     max_by(rows_visible, seconds) - min(rows_visible) FILTER (checkpoint_id <= 11) AS lump FROM samples GROUP BY run)
+   SELECT 'timeline:' || format('{{:.1f}}', seconds) AS tag, '| ' || format('{{:.1f}}', seconds) || ' | ' || checkpoint_id || ' | ' || job_state
+     || ' | ' || coalesce(format('{{:,}}', consumer_lag), 'not read') || ' | ' || format('{{:,}}', rows_visible) || ' |' AS text FROM samples
+   UNION ALL SELECT 'freeze:' || run, 'frozen at ' || format('{{:,}}', frozen_rows) || ' rows until somewhere in ['
+     || format('{{:.1f}}', last_frozen) || ', ' || format('{{:.1f}}', first_clear) || '], then ' || format('{{:,}}', lump) || ' rows at once'
+   FROM b WHERE last_frozen IS NOT NULL AND first_clear IS NOT NULL""",
+)
+def published_timeline(spark, sf_dir):
+    """Every sample as a published row, every freeze as a sentence."""
+    seen = samples_by_hour(spark, sf_dir)
+    sentence = published.freeze_sentence(
+        samples.freeze_bounds(seen, ["run"]), samples.freeze_window(seen, ["run"]), "run"
+    )
+    return evidence.union_facts([published.timeline_rows(seen), sentence])
+
+
+@REGISTRY.add(
+    "published_intervals",
+    f"""WITH {INTERVAL_SQL} SELECT 'interval:' || interval_seconds AS tag, '| `' || interval_seconds || 's` | default | ' || commits || ' | '
+   || data_files || ' | ' || format('{{:.1f}}', files_per_commit) || ' | ' || format('{{:,}}', avg_data_file_bytes) || ' | '
+   || format('{{:.1f}}', seconds_to_visible) || ' s |' AS text FROM layout""",
+)
+def published_intervals(spark, sf_dir):
+    runs = interval_runs(spark, sf_dir).select(
+        "*", F.col("interval_seconds").cast("string").alias("run_key"),
+        F.concat(F.col("interval_seconds").cast("string"), F.lit("s")).alias("interval"),
+        F.lit(None).cast("string").alias("target"),
+    )
+    return published.interval_rows(runs)
+
+
+@REGISTRY.add(
+    "published_transactions",
+    f"""WITH {TIMEOUT_SQL}, r AS (SELECT run_key, timeout_ms, CAST(sum(n) AS BIGINT) AS written,
+     CAST(coalesce(sum(n) FILTER (state = 'CompleteCommit'), 0) AS BIGINT) AS readable FROM timed GROUP BY ALL)
+   SELECT 'transactions:' || run_key AS tag, '| ' || format('{{:,}}', timeout_ms) || ' ms | 2880h | RUNNING | ' || format('{{:,}}', written)
+     || ' | ' || format('{{:,}}', readable) || ' | ' || format('{{:,}}', written - readable) || ' |' AS text FROM r
+   UNION ALL SELECT 'margin:' || run_key, 'the margin is ' || (10368000000 // timeout_ms) || ' to one' FROM r WHERE 10368000000 >= timeout_ms""",
+)
+def published_transactions(spark, sf_dir):
+    """Written, readable and never visible under either timeout."""
+    readable = F.sum(F.when(F.col("state") == isolation.COMMITTED, F.col("n")).otherwise(0))
+    runs = timed_transactions(spark, sf_dir).groupBy("run_key", "timeout_ms").agg(
+        F.sum("n").alias("events_in"), F.sum("n").alias("records_written"), readable.alias("records_readable")
+    ).withColumn("interval", F.lit("2880h")).withColumn("job_state", F.lit("RUNNING"))
+    return evidence.union_facts([published.transaction_rows(runs), published.margin_sentence(runs)])
+
+
+@REGISTRY.add(
+    "published_restarts",
+    """WITH replayed AS (SELECT event_id AS seq, user_id AS key FROM events
+     UNION ALL SELECT event_id, user_id FROM events WHERE event_type = 'signup'),
+   c AS (SELECT 'at-least-once' AS mode, 'append' AS w, count(*) AS rows, count(*) - count(DISTINCT seq) AS ds, count(*) - count(DISTINCT key) AS dk,
+       'duplicate rows' AS prediction, count(*) > count(DISTINCT seq) AS held FROM replayed
+     UNION ALL SELECT 'at-least-once', 'upsert on npi', count(DISTINCT key), 0, 0, 'no duplicates, idempotent by key', true FROM replayed
+     UNION ALL SELECT 'exactly-once', 'append', count(*), count(*) - count(DISTINCT event_id), count(*) - count(DISTINCT user_id), 'no duplicates', count(*) = count(DISTINCT event_id) FROM events
+     UNION ALL SELECT 'exactly-once', 'upsert on npi', count(DISTINCT user_id), 0, 0, 'no duplicates', true FROM events)
+   SELECT 'restart:`' || mode || '` + ' || w AS tag, '| `' || mode || '` + ' || w || ' | ' || format('{:,}', rows) || ' | ' || format('{:,}', ds) || ' | '
+     || format('{:,}', dk) || ' | 0 | ' || prediction || ' | ' || CASE WHEN held THEN 'held' ELSE 'REFUTED' END || ' |' AS text FROM c""",
+)
+def published_restarts(spark, sf_dir):
+    """Four configurations of one feed, the unguarded ones with a replay in it."""
+    rows = feed(spark, sf_dir).select("seq", "key", "source")
+    twice = rows.unionByName(rows.where(F.col("source") == "signup"))
+
+    def landed(table, mode, upsert, prediction):
+        held = audit.latest_per_key(table, "key", "seq") if upsert else table
+        counts = audit.side_by_side(audit.seq_counts(held), audit.key_counts(held, "key").drop("rows"))
+        return counts.select(
+            F.lit(mode).alias("mode"), F.lit(upsert).alias("upsert"), F.lit(prediction).alias("prediction"),
+            F.lit(prediction == "duplicate rows").alias("predicts_duplicates"),
+            "rows", "duplicate_seq_rows", "duplicate_key_rows", F.lit(0).alias("delete_files"),
+        )
+
+    runs = evidence.union_facts([
+        landed(twice, "AT_LEAST_ONCE", False, "duplicate rows"),
+        landed(twice, "AT_LEAST_ONCE", True, "no duplicates, idempotent by key"),
+        landed(rows, "EXACTLY_ONCE", False, "no duplicates"),
+        landed(rows, "EXACTLY_ONCE", True, "no duplicates"),
+    ])
+    return published.restart_rows(audit.prediction_verdict(runs))
+
+
 @REGISTRY.add(
     "results_merge",
     """WITH old AS (SELECT o_custkey AS part, count(*) AS rows, max(o_totalprice) AS worst FROM orders GROUP BY 1),

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators.layout import commit_layout
+from tidemark.operators.audit import append_verdict
+from tidemark.operators.compare import run_findings
+from tidemark.operators.layout import commit_layout, files_summary
 from tidemark.plans.registry import Registry
 from tidemark.plans.tables import WRITERS, highest, read
 from tidemark.sources.log import BLOCK, land, produce
@@ -51,6 +53,32 @@ def smoke_append(spark, sf_dir):
     return LedgerTable(spark, f"{root}/table", events.schema).read()
 
 
+@REGISTRY.add(
+    "ingest_verdict",
+    """SELECT count(*) AS rows, count(*) AS distinct_seq, CAST(0 AS BIGINT) AS duplicate_seq_rows,
+       CAST(0 AS BIGINT) AS missing_runs, CAST(0 AS BIGINT) AS missing_seqs, count(*) AS events_expected,
+       true AS complete FROM events""",
+)
+def ingest_verdict(spark, sf_dir):
+    """Ingest the feed, then prove that every event landed exactly once."""
+    hi = highest(read(spark, sf_dir, "events"), "event_id")
+    return append_verdict(smoke_append(spark, sf_dir), 0, hi, "event_id")
+
+
+@REGISTRY.add(
+    "ingest_json", "SELECT event_id, user_id, event_type, value, props FROM events"
+)
+def ingest_json(spark, sf_dir):
+    """From a landing directory of JSON files."""
+    events, root = read(spark, sf_dir, "events").drop("ts"), new_dir(spark, "json")
+    files = chunks_for(spark)
+    events.repartition(files).write.json(f"{root}/landing")
+    table = LedgerTable(spark, f"{root}/table", events.schema)
+    source = stream_files(spark, f"{root}/landing", events.schema, -(-files // BATCHES), fmt="json")
+    drain(IngestSpec("ingest-json", source, table, f"{root}/checkpoint", seq="event_id"))
+    return table.read()
+
+
 LATEST_SQL = """SELECT event_id, ts, user_id, event_type, value, props FROM events
 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1"""
 
@@ -158,3 +186,48 @@ def objects_listed(spark, sf_dir):
     return objects_under(spark, table.root).groupBy(kind.alias("kind")).agg(
         F.count(F.lit(1)).alias("objects"), F.sum("length").alias("bytes")
     )
+
+
+@REGISTRY.add(
+    "commit_interval_runs",
+    f"""SELECT count(*) AS rows_per_run, true AS every_run_whole, CAST(0 AS BIGINT) AS repeat_differed_by_files, CAST(0 AS BIGINT) AS control_differed_by_files,
+       true AS slow_gave_fewer_files, true AS slow_gave_larger_files, true AS files_per_commit_within_writers,
+       true AS control_within_noise, true AS prediction_held FROM events""",
+)
+def commit_interval_runs(spark, sf_dir):
+    """One landed feed, committed in many, some and one batch; then the first run
+    repeated, and once more with a target no file comes near (A16, A18, S12, I1)."""
+    events, root = read(spark, sf_dir, "events"), new_dir(spark, "intervals")
+    files = land(events, f"{root}/landing", chunks_for(spark))
+    target, writers = 1 << 40, 2
+    shapes = {
+        "short": (1, None), "middle": (2, None), "long": (BATCHES, None),
+        "short, repeated": (1, None), "short, large target": (1, target),
+    }
+    runs = []
+    for key, (share, limit) in shapes.items():
+        table = LedgerTable(spark, f"{root}/{key}/table", events.schema)
+        source = stream_files(spark, f"{root}/landing", events.schema, -(-files * share // BATCHES))
+        drain(IngestSpec(
+            f"interval {key}", source, table, f"{root}/{key}/checkpoint", seq="event_id",
+            writers=writers, max_records_per_file=limit,
+        ))
+        size = files_summary(table.files()).first()
+        commits = commit_layout(table.snapshots()).first()
+        # no clock runs in a drained feed: freshness is the share of the feed waited for
+        runs.append((
+            key, size["data_files"], size["avg_data_file_bytes"], commits["max_files_in_one_commit"],
+            float(share), table.rows_visible(),
+        ))
+    measured = spark.createDataFrame(
+        runs, "run_key string, data_files long, avg_data_file_bytes long, max_files_in_one_commit long,"
+        "seconds_to_visible double, rows long",
+    )
+    held = {r[-1] for r in runs}
+    return run_findings(
+        measured, "short", "short, repeated", "short, large target", "long", target, writers
+    ).select(
+        F.lit(max(held)).cast("long").alias("rows_per_run"), F.lit(len(held) == 1).alias("every_run_whole"),
+        "repeat_differed_by_files", "control_differed_by_files", "slow_gave_fewer_files",
+        "slow_gave_larger_files", "files_per_commit_within_writers", "control_within_noise", "prediction_held",
+    )

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -125,3 +128,22 @@ def drain(spec: IngestSpec, timeout: float = 3600) -> LedgerSink:
     finally:
         query.stop()
     return sink
+
+
+def supervise(
+    spec: IngestSpec, attempts: int, delay: float = 5.0, timeout: float = 3600
+) -> tuple[LedgerSink, list[str]]:
+    """Drain with a fixed-delay restart policy (S15); the last failure is raised.
+
+    Returns the sink of the run that ended well and the first line of each
+    failure before it.
+    """
+    failures: list[str] = []
+    while True:
+        try:
+            return drain(spec, timeout), failures
+        except (PySparkException, Py4JJavaError) as err:
+            failures.append(str(err).strip().splitlines()[0])
+            if len(failures) >= attempts:
+                raise
+            time.sleep(delay)

@@ -15,6 +15,8 @@ from tidemark.operators.audit import latest_per_key
 from tidemark.streaming.ledger import LedgerTable, StagedBatch
 
 POLICIES = ("hold", "reject", "dedupe", "skip")
+# The folder under data/ that holds compacted bases.
+BASE = "base-compaction"
 
 
 @dataclass
@@ -210,8 +212,20 @@ class UpsertSink(LedgerSink):
 
 
 def read_upsert(table: LedgerTable, key: str, seq: str = "seq") -> DataFrame:
-    """The keyed table: the latest record of each key."""
-    return latest_per_key(table.read(), key, seq)
+    """The keyed table: the latest record of each key.
+
+    A freshly compacted table is one base with one row per key, and is read as
+    it is; deltas on top of it are merged by key.
+    """
+    live = [r["path"] for r in table.live_paths().select("path").collect()]
+    rows = table.read()
+    if len(live) == 1 and is_base(live[0]):
+        return rows
+    return latest_per_key(rows, key, seq)
+
+
+def is_base(path: str) -> bool:
+    return path.startswith(f"data/{BASE}/")
 
 
 def compact_upsert(table: LedgerTable, key: str, seq: str, ratio: float = 0.5) -> bool:
@@ -220,13 +234,13 @@ def compact_upsert(table: LedgerTable, key: str, seq: str, ratio: float = 0.5) -
     Before there is a base, the largest delta stands in for it.
     """
     live = table.live_paths().collect()  # one row per live directory
-    deltas = [r["rows"] for r in live if "/base-" not in f"/{r['path']}"]
+    deltas = [r["rows"] for r in live if not is_base(r["path"])]
     base = sum(r["rows"] for r in live) - sum(deltas)
     if not deltas or sum(deltas) <= ratio * max(base, max(deltas)):
         return False
     merged = read_upsert(table, key, seq)
     started = time.time_ns()
-    staged = stage(table, merged, started, "base-compaction", seq)
+    staged = stage(table, merged, started, BASE, seq)
     staged.lineage, newest = _newest(table)
     staged.batch_id = newest
     table.commit([staged], operation="replace", removed=[r["path"] for r in live])
