@@ -129,3 +129,25 @@ def test_offset_lines(spark):
         [("GROUP TOPIC PARTITION OFFSET END",), ("g t 0 5 9",), ("g t 1 - 9",), ("h t 0 5 9",)], "line string"
     )
     assert [tuple(r) for r in log.parse_group_lines(group, "g").collect()] == [("t", 0, 5)]
+
+
+def test_known_ends_are_not_looked_up_again(spark, work):
+    rows = feed.generate_feed(spark, 50, start=11, providers=10)
+    log.produce(rows, f"{work}/log", "npi", "seq", partitions=2, ends={0: 100, 1: 200})
+    starts = log.read_log(spark, f"{work}/log").groupBy("partition").agg(F.min("offset").alias("o"))
+    assert {(r["partition"], r["o"]) for r in starts.collect()} == {(0, 100), (1, 200)}
+
+
+def test_a_hot_key_is_spread_and_stays_in_order(spark, work):
+    rows = spark.range(3000).select(
+        F.when(F.col("id") % 3 > 0, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("key"),
+        F.col("id").alias("seq"),
+    )
+    files = log.produce(rows, f"{work}/log", "key", "seq", partitions=4, files=8, block=128)
+    landed = log.read_log(spark, f"{work}/log")
+    hot = landed.where("key = 'hot'").select(
+        "offset", F.get_json_object("value", "$.seq").cast("long").alias("seq"), F.input_file_name().alias("f")
+    )
+    assert hot.select("f").distinct().count() > 1 and files > 1
+    ordered = [r["seq"] for r in hot.orderBy("offset").collect()]
+    assert ordered == sorted(ordered) and len(ordered) == 2000

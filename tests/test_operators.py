@@ -328,3 +328,11 @@ def test_kafka_options():
 def test_kafka_without_its_connector_is_refused(spark):
     with pytest.raises(Refused, match="class path"):
         kafka.read_topic(spark, "localhost:1", "t")
+
+
+def test_settings_follow_data_and_cluster():
+    from tidemark.session import settings_for
+
+    small, large = settings_for(10 << 20, 8), settings_for(100 << 40, 4000)
+    assert small["spark.sql.shuffle.partitions"] == "8"
+    assert large["spark.sql.shuffle.partitions"] == str((100 << 40) // (128 << 20))

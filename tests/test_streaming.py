@@ -384,7 +384,7 @@ def test_a_malformed_record_stops_the_job(spark, work):
 
 def test_transactional_copy(spark, work):
     rows = feed.generate_feed(spark, 90, providers=20)
-    log.land(rows, f"{work}/landing", 3)
+    files = log.land(rows, f"{work}/landing", 3)
     for name, timeout_ms, readable in (("short", 5_000, 0), ("long", 300_000, 90)):
         out = TransactionalLog(spark, f"{work}/{name}", rows.schema)
         assert out.read().count() == 0 and out.states().isEmpty()
@@ -396,7 +396,7 @@ def test_transactional_copy(spark, work):
         query.awaitTermination()
         assert out.read("read_uncommitted").count() == 90
         assert out.read("read_committed").count() == readable
-        assert out.states(name).count() == 3 and out.states("elsewhere").isEmpty()
+        assert out.states(name).count() == files and out.states("elsewhere").isEmpty()
 
 
 def test_results_are_merged_by_part(spark, work):
@@ -499,3 +499,19 @@ def test_documents_of_results_are_read_nested(spark, work):
     for wrong in ({"mode": "c"}, {}):
         with pytest.raises(Refused, match="configurations with"):
             one_configuration(rows, **wrong)
+
+
+def test_columns_that_hold_maps_are_fingerprinted(spark, work):
+    rows = spark.createDataFrame(
+        [(1, {"a": 1}, [{"x": "y"}]), (2, None, [])], "seq long, m map<string,int>, n array<map<string,string>>"
+    )
+    log.land(rows, f"{work}/landing", 1)
+    table = LedgerTable(spark, f"{work}/table", rows.schema)
+
+    def spec(fault):
+        source = stream_files(spark, f"{work}/landing", rows.schema)
+        return IngestSpec("maps", source, table, f"{work}/checkpoint", fault=fault)
+
+    sink = fail_and_restart(spec, FaultOnce("committed", 0))
+    assert sink.outcomes[0] == (0, "suppressed") and table.read().count() == 2
+    assert maintenance.readable(table)["readable"]

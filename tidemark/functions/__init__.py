@@ -4,6 +4,7 @@ from tidemark.functions.hashing import (
     fingerprint_text,
     hash_draw,
     pick,
+    row_hash,
 )
 from tidemark.functions.numbers import (
     clamp_zero,
@@ -18,6 +19,7 @@ from tidemark.functions.text import (
     first_line,
     is_blank,
     is_offset,
+    plain_blanks,
     split_lines,
     squash_whitespace,
     strip_ansi,
@@ -26,5 +28,5 @@ from tidemark.functions.text import (
 __all__ = [
     "FINGERPRINT_FIELDS", "basename", "clamp_zero", "duration_ms", "fingerprint_columns",
     "fingerprint_text", "first_line", "floor_average", "hash_draw", "is_blank",
-    "is_offset", "number_word", "pick", "split_lines", "squash_whitespace", "strip_ansi", "thousands", "zero_event_bound",
+    "is_offset", "number_word", "pick", "plain_blanks", "row_hash", "split_lines", "squash_whitespace", "strip_ansi", "thousands", "zero_event_bound",
 ]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FINGERPRINT_FIELDS = ("rows", "min_seq", "max_seq", "hash_xor", "hash_sum")
@@ -22,20 +22,29 @@ def pick(number: Column, field: str, options: Sequence[str], salt: str) -> Colum
     return F.element_at(F.array(*[F.lit(o) for o in options]), position)
 
 
-def fingerprint_columns(columns: Sequence[str], seq: str) -> list[Column]:
+def row_hash(rows: DataFrame) -> Column:
+    """A 64-bit hash of a whole row. Maps cannot be hashed, so a column that
+    holds one goes in as JSON."""
+    return F.xxhash64(*[
+        F.to_json(F.struct(f.name)) if "map<" in f.dataType.simpleString() else F.col(f.name)
+        for f in rows.schema.fields
+    ])
+
+
+def fingerprint_columns(rows: DataFrame, seq: str) -> list[Column]:
     """Order-insensitive aggregates that identify the content of a batch.
 
     All of them are plain BIGINT aggregates, so they ride along with a write
     (Dataset.observe). The sum runs over hashes reduced modulo a prime, which
     cannot overflow below 10^12 rows; the xor covers the whole 64 bits.
     """
-    row_hash = F.xxhash64(*[F.col(c) for c in columns])
+    hashed = row_hash(rows)
     return [
         F.count(F.lit(1)).alias("rows"),
         F.min(F.col(seq)).cast("long").alias("min_seq"),
         F.max(F.col(seq)).cast("long").alias("max_seq"),
-        F.bit_xor(row_hash).alias("hash_xor"),
-        F.sum(row_hash % F.lit(1_000_003)).alias("hash_sum"),
+        F.bit_xor(hashed).alias("hash_xor"),
+        F.sum(hashed % F.lit(1_000_003)).alias("hash_sum"),
     ]
 
 

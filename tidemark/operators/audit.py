@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions import clamp_zero
+from tidemark.functions import clamp_zero, row_hash
 
 WORD_BITS = 6
 OUTSIDE_GROUPS = 1024
@@ -361,7 +361,7 @@ def prediction_verdict(runs: DataFrame) -> DataFrame:
 
 def row_fingerprint(rows: DataFrame) -> DataFrame:
     """Order-insensitive digest of a whole table, in one pass."""
-    h = F.xxhash64(*[F.col(c) for c in rows.columns])
+    h = row_hash(rows)
     return rows.agg(
         F.count(F.lit(1)).alias("rows"),
         F.bit_xor(h).alias("hash_xor"),

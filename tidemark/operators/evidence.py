@@ -8,7 +8,7 @@ from itertools import islice
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions import squash_whitespace
+from tidemark.functions import plain_blanks, squash_whitespace
 
 # Fewer words than this leave a claim no whole word to look it up by.
 MIN_WORDS = 3
@@ -42,16 +42,16 @@ def find_claims(claims: DataFrame, documents: DataFrame, doc_id: str, body: str)
     looked for in whole documents, some per pass.
     """
     wanted = claims.select("tag", squash_whitespace(F.col("text")).alias("claim"))
-    texts = documents.select(F.col(doc_id).alias("__doc"), squash_whitespace(F.col(body)).alias("__body"))
+    texts = documents.select(F.col(doc_id).alias("__doc"), F.col(body).alias("__body"))
     words = wanted.withColumn("words", F.split("claim", " "))
     long = words.where(F.size("words") >= MIN_WORDS)
 
     inner = long.select(
         "claim", F.explode(F.array_distinct(F.expr("slice(words, 2, size(words) - 2)"))).alias("w")
     ).select("claim", F.xxhash64("w").alias("word")).distinct()
-    held = texts.select("__doc", F.explode(F.array_distinct(F.split("__body", " "))).alias("w")).select(
-        "__doc", F.xxhash64("w").alias("word")
-    )
+    held = texts.select(
+        "__doc", F.explode(F.array_distinct(F.split(plain_blanks(F.col("__body")), " "))).alias("w")
+    ).select("__doc", F.xxhash64("w").alias("word"))
     asked = held.join(inner.select("word").distinct(), "word", "left_semi")
     spread = asked.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     rarest = inner.join(spread, "word", "left").groupBy("claim").agg(
@@ -59,13 +59,16 @@ def find_claims(claims: DataFrame, documents: DataFrame, doc_id: str, body: str)
         F.min(F.coalesce("n", F.lit(0))).alias("n"),
     ).where(F.col("n") > 0)
     pairs = rarest.select("claim", "word").join(held, "word").select("claim", "__doc")
-    found = pairs.join(texts, "__doc").where(F.contains("__body", "claim")).select("claim").distinct()
+    # white space is evened out for the texts of these pairs only
+    flat = squash_whitespace(F.col("__body"))
+    found = pairs.join(texts, "__doc").where(F.contains(flat, "claim")).select("claim").distinct()
 
     short = words.where(F.size("words") < MIN_WORDS).select("claim").distinct()
     for claim_set in _passes(short):
         options = F.array(*[F.lit(c) for c in claim_set])
-        hits = F.filter(options, lambda c: F.contains(F.col("__body"), c))
-        found = found.unionByName(texts.select(F.explode(hits).alias("claim")).distinct())
+        whole = texts.select(flat.alias("__flat"))
+        hits = F.filter(options, lambda c: F.contains(F.col("__flat"), c))
+        found = found.unionByName(whole.select(F.explode(hits).alias("claim")).distinct())
     marked = found.withColumn("found", F.lit(True))
     return wanted.join(marked, "claim", "left").select(
         "tag", F.coalesce("found", F.lit(False)).alias("found")

@@ -94,20 +94,18 @@ def sample_states(observed: DataFrame, by: list[str]) -> DataFrame:
 def summarise_samples(samples: DataFrame, by: list[str]) -> DataFrame:
     """A run's polls: how many, how many with one ongoing, every state and timeout seen.
 
-    The arrays are unnested and reduced to distinct values before they are
-    collected: a handful of state names and configured timeouts.
+    One pass: what is collected are the different sets a poll can see, a handful
+    for a handful of state names and configured timeouts.
     """
-    counts = samples.groupBy(*by).agg(
+    def seen(column: str) -> Column:
+        return F.sort_array(F.array_distinct(F.flatten(F.collect_set(column))))
+
+    return samples.groupBy(*by).agg(
         F.count(F.lit(1)).alias("samples_taken"),
         F.count_if(F.col("ongoing") > 0).alias("samples_with_one_ongoing"),
+        seen("states").alias("states_observed"),
+        seen("timeouts").alias("timeouts_registered"),
     )
-    states = samples.select(*by, F.explode("states").alias("v")).distinct().groupBy(*by).agg(
-        F.sort_array(F.collect_set("v")).alias("states_observed")
-    )
-    timeouts = samples.select(*by, F.explode("timeouts").alias("v")).distinct().groupBy(*by).agg(
-        F.sort_array(F.collect_set("v")).alias("timeouts_registered")
-    )
-    return counts.join(states, by, "left").join(timeouts, by, "left")
 
 
 def timeout_findings(runs: DataFrame, short: str, long: str, key: str = "run_key") -> DataFrame:

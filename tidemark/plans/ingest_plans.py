@@ -15,7 +15,7 @@ from tidemark.sources.wire import to_wire
 from tidemark.streaming.ingest import IngestSpec, drain, stream_files, stream_log, stream_wire
 from tidemark.streaming.ledger import LedgerTable
 from tidemark.streaming.sink import read_upsert
-from tidemark.workspace import new_dir
+from tidemark.workspace import Files, new_dir
 
 REGISTRY = Registry()
 
@@ -36,6 +36,21 @@ def landed_stream(records: DataFrame, path: str, batches: int = BATCHES) -> Data
     return stream_files(spark, path, records.schema, -(-files // batches))
 
 
+def table_stream(
+    spark: SparkSession, sf_dir: str, name: str, landing: str, batches: int = BATCHES
+) -> DataFrame:
+    """A given table as a stream of about `batches` batches.
+
+    A table of many files is streamed where it lies; only one with fewer files
+    than batches is cut up into a landing directory first.
+    """
+    path, rows = f"{sf_dir}/{name}.parquet", read(spark, sf_dir, name)
+    files = sum(1 for n in Files(spark).names(path) if n.startswith("part-"))
+    if files >= batches:
+        return stream_files(spark, path, rows.schema, -(-files // batches))
+    return landed_stream(rows, landing, batches)
+
+
 def produce_log(events: DataFrame, path: str) -> int:
     """The feed as a log directory, in blocks small enough for several files."""
     files = chunks_for(events.sparkSession)
@@ -48,7 +63,7 @@ def smoke_append(spark, sf_dir):
     """Feed, landing files, streaming job, ledger table, fresh read."""
     events, root = read(spark, sf_dir, "events"), new_dir(spark, "smoke")
     table = LedgerTable(spark, f"{root}/table", events.schema)
-    source = landed_stream(events, f"{root}/landing")
+    source = table_stream(spark, sf_dir, "events", f"{root}/landing")
     drain(IngestSpec("smoke-append", source, table, f"{root}/checkpoint", seq="event_id"))
     return LedgerTable(spark, f"{root}/table", events.schema).read()
 
@@ -88,7 +103,7 @@ def ingest_upsert(spark, sf_dir):
     """The latest record of each key, from batches in no particular order."""
     events, root = read(spark, sf_dir, "events"), new_dir(spark, "upsert")
     table = LedgerTable(spark, f"{root}/table", events.schema)
-    source = landed_stream(events, f"{root}/landing")
+    source = table_stream(spark, sf_dir, "events", f"{root}/landing")
     drain(IngestSpec(
         "ingest-upsert", source, table, f"{root}/checkpoint", seq="event_id",
         key="user_id", upsert=True, compact_ratio=2.0,
@@ -136,7 +151,7 @@ def commit_per_batch(spark, sf_dir):
     """
     events, root = read(spark, sf_dir, "events"), new_dir(spark, "commits")
     table = LedgerTable(spark, f"{root}/table", events.schema)
-    source = landed_stream(events, f"{root}/landing")
+    source = table_stream(spark, sf_dir, "events", f"{root}/landing")
     drain(IngestSpec(
         "commit-per-batch", source, table, f"{root}/checkpoint", seq="event_id",
         writers=2, max_records_per_file=1 << 30,
@@ -160,7 +175,7 @@ def target_file_size(spark, sf_dir):
     """A small record target rolls files over within a commit."""
     events, root = read(spark, sf_dir, "events"), new_dir(spark, "target")
     table = LedgerTable(spark, f"{root}/table", events.schema)
-    source = landed_stream(events, f"{root}/landing")
+    source = table_stream(spark, sf_dir, "events", f"{root}/landing")
     per_file = max(1, events.count() // (BATCHES * 10))
     drain(IngestSpec(
         "target-file-size", source, table, f"{root}/checkpoint", seq="event_id",
@@ -180,7 +195,7 @@ def objects_listed(spark, sf_dir):
 
     events, root = read(spark, sf_dir, "events"), new_dir(spark, "objects")
     table = LedgerTable(spark, f"{root}/table", events.schema)
-    source = landed_stream(events, f"{root}/landing")
+    source = table_stream(spark, sf_dir, "events", f"{root}/landing")
     drain(IngestSpec("objects", source, table, f"{root}/checkpoint", seq="event_id"))
     kind = F.when(F.col("path").contains("/data/"), "data").otherwise("ledger")
     return objects_under(spark, table.root).groupBy(kind.alias("kind")).agg(

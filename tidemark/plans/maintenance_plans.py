@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import audit, storage_audit
-from tidemark.plans.ingest_plans import landed_stream
+from tidemark.plans.ingest_plans import table_stream
 from tidemark.plans.registry import Registry
 from tidemark.plans.tables import COMMITS_SQL, FILES_SQL, commits_by_hour, files_by_hour, highest, read
 from tidemark.sources.listing import objects_under
@@ -147,7 +147,7 @@ def maintenance_live_writer(spark, sf_dir):
     """
     events, root = read(spark, sf_dir, "events"), new_dir(spark, "maintenance")
     table = LedgerTable(spark, f"{root}/table", events.schema)
-    source = landed_stream(events, f"{root}/landing", 8)
+    source = table_stream(spark, sf_dir, "events", f"{root}/landing", 8)
     hi = highest(events, "event_id")
 
     def run(fault=None):

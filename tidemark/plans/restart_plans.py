@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.errors import Refused
 from tidemark.operators import audit, samples
-from tidemark.plans.ingest_plans import BATCHES, chunks_for, landed_stream, produce_log
+from tidemark.plans.ingest_plans import BATCHES, chunks_for, produce_log, table_stream
 from tidemark.plans.registry import Registry
 from tidemark.plans.tables import highest, read
 from tidemark.sources.log import end_offsets, land, read_log
@@ -43,7 +43,7 @@ def fail_and_restart(spec_for, fault: FaultOnce):
 def _restart(spark: SparkSession, sf_dir: str, point: str, delivery: str, key: str | None = None):
     events, root = read(spark, sf_dir, "events"), new_dir(spark, "restart")
     table = LedgerTable(spark, f"{root}/table", events.schema)
-    source = landed_stream(events, f"{root}/landing")
+    source = table_stream(spark, sf_dir, "events", f"{root}/landing")
 
     def spec(fault):
         return IngestSpec(

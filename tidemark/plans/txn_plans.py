@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.operators import isolation
-from tidemark.plans.ingest_plans import BATCHES, landed_stream
+from tidemark.plans.ingest_plans import BATCHES, table_stream
 from tidemark.plans.registry import Registry
 from tidemark.plans.tables import read
 from tidemark.streaming.transactions import TransactionalLog
@@ -183,7 +183,7 @@ def txn_findings(spark, sf_dir):
 def txn_copy(spark, sf_dir):
     """A transactional copy of the feed under a short and a long timeout."""
     events, root = read(spark, sf_dir, "events"), new_dir(spark, "copy")
-    source = landed_stream(events, f"{root}/landing")
+    source = table_stream(spark, sf_dir, "events", f"{root}/landing")
     rows = []
     for run_key, timeout_ms in (("short", 5_000), ("long", 3_600_000)):
         log = TransactionalLog(spark, f"{root}/{run_key}", events.schema)

@@ -79,24 +79,25 @@ def as_log(
 
 def produce(
     records: DataFrame, path: str, key: str, seq: str, partitions: int = 4, files: int = 8,
-    block: int = BLOCK,
+    block: int = BLOCK, ends: dict[int, int] | None = None,
 ) -> int:
     """Append records to a log directory, in partition and sequence order.
 
     Tasks get whole blocks of a log partition, not whole partitions, so a key
     holding a third of the feed is still written by many; the offset keeps its
-    records in order. Appending starts after the offsets already in the log.
+    records in order. Appending starts after the offsets already in the log,
+    which are looked up there unless the caller knows them (`ends`).
     Returns the number of files in the directory.
     """
     spark = records.sparkSession
     log = as_log(records, key, seq, partitions, block, files)
-    if Files(spark).exists(path):
-        ends = end_offsets(read_log(spark, path))
-        shift = {r["partition"]: r["end_offset"] for r in ends.collect()}  # one per partition
-        if shift:
-            start = F.create_map(*[F.lit(int(x)) for kv in shift.items() for x in kv])
-            base = F.coalesce(F.try_element_at(start, F.col("partition")), F.lit(0))
-            log = log.withColumn("offset", (F.col("offset") + base).cast("long"))
+    if ends is None and Files(spark).exists(path):
+        found = end_offsets(read_log(spark, path)).collect()  # one row per partition
+        ends = {r["partition"]: r["end_offset"] for r in found}
+    if ends:
+        start = F.create_map(*[F.lit(int(x)) for kv in ends.items() for x in kv])
+        base = F.coalesce(F.try_element_at(start, F.col("partition")), F.lit(0))
+        log = log.withColumn("offset", (F.col("offset") + base).cast("long"))
     log.write.mode("append").parquet(path)
     return _part_files(spark, path)
 

@@ -175,12 +175,14 @@ class LedgerTable:
         batches = self.entries().where((F.col("kind") == "batch") & (F.col("lineage") == lineage))
         return batches.agg(F.max("batch_id")).first()[0]
 
-    def fingerprints(self, lineage: str, batch_id: int) -> set[str]:
+    def fingerprints(self, lineage: str, first: int, last: int) -> set[tuple[int, str]]:
+        """(batch id, fingerprint) of the committed batches first..last of a lineage."""
         known = self.entries().where(
             (F.col("kind") == "batch") & (F.col("lineage") == lineage)
-            & (F.col("batch_id") == batch_id)
+            & F.col("batch_id").between(first, last)
         )
-        return {r["fingerprint"] for r in known.select("fingerprint").collect()}
+        return {(r["batch_id"], r["fingerprint"]) for r in
+                known.select("batch_id", "fingerprint").collect()}
 
     # -- writing -----------------------------------------------------------
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.errors import Refused
-from tidemark.functions import basename
+from tidemark.functions import basename, row_hash
 from tidemark.sources.listing import objects_under
 from tidemark.streaming.ledger import LedgerTable
 from tidemark.workspace import Files
@@ -95,7 +95,7 @@ def readable(table: LedgerTable) -> dict:
     try:
         rows = table.read()
         row = rows.agg(
-            F.count(F.lit(1)).alias("rows"), F.bit_xor(F.xxhash64(*rows.columns)).alias("h")
+            F.count(F.lit(1)).alias("rows"), F.bit_xor(row_hash(rows)).alias("h")
         ).first()
         return {"readable": True, "rows": row["rows"], "error": None}
     except PySparkException as err:

@@ -15,6 +15,8 @@ from tidemark.operators.audit import latest_per_key
 from tidemark.streaming.ledger import LedgerTable, StagedBatch
 
 POLICIES = ("hold", "reject", "dedupe", "skip")
+# Batch ids whose fingerprints are looked up together.
+LOOK_AHEAD = 63
 # The folder under data/ that holds compacted bases.
 BASE = "base-compaction"
 
@@ -49,6 +51,7 @@ class LedgerSink:
     outcomes: list[tuple[int, str]] = field(default_factory=list)
     rows_read: int = 0
     _watermarks: dict = field(default_factory=dict, repr=False)
+    _known: tuple = field(default=(), repr=False)
 
     def __post_init__(self):
         if self.policy not in POLICIES:
@@ -76,26 +79,48 @@ class LedgerSink:
         if watermark is None or batch_id > watermark:
             staged = self._stage(batch, batch_id, lineage)
             self._reached("staged", batch_id)
-            held = self._uncommitted(self.table.held(lineage), batch_id)
-            lump = held + [staged]
+            markers = self.table.held(lineage)
+            lump = self._uncommitted(markers, batch_id) + [staged]
             if self.policy == "dedupe":
                 lump = self._without_known(lump, batch_id, lineage)
             self._publish(lump, batch_id, lineage, guarded=True)
-            if held:
+            if markers:
                 self.table.release(lineage)
             return "committed", staged.rows
-        seen = batch.agg(*fingerprint_columns(batch.columns, self.seq)).first().asDict()
-        if fingerprint_text(seen) in self.table.fingerprints(lineage, batch_id):
-            return "suppressed", seen["rows"]
+        return self._take_again(batch, batch_id, lineage, watermark)
+
+    def _take_again(
+        self, batch: DataFrame, batch_id: int, lineage: str, watermark: int
+    ) -> tuple[str, int]:
+        """A batch id the table already has. Where it may have to be held it is
+        written at once, so that it is computed only once."""
+        keeps = self.policy in ("hold", "dedupe")
+        if keeps:
+            staged = self._stage(batch, batch_id, lineage)
+            seen, rows = staged.fingerprint, staged.rows
+        else:
+            values = batch.agg(*fingerprint_columns(batch, self.seq)).first().asDict()
+            seen, rows = fingerprint_text(values), values["rows"]
+        if (batch_id, seen) in self._known_fingerprints(lineage, batch_id):
+            if keeps:
+                self.table.fs.delete(f"{self.table.root}/{staged.path}")
+            return "suppressed", rows
         if self.policy == "reject":
             raise Refused(
                 f"batch {batch_id} of lineage {lineage} was committed with other content: "
                 f"the job was restored from a point older than the table (watermark {watermark})"
             )
-        if self.policy == "skip":
-            return "skipped", seen["rows"]
-        self.table.hold(self._stage(batch, batch_id, lineage))
-        return "held", seen["rows"]
+        if not keeps:
+            return "skipped", rows
+        self.table.hold(staged)
+        return "held", rows
+
+    def _known_fingerprints(self, lineage: str, batch_id: int) -> set[tuple[int, str]]:
+        """Looked up for a stretch of batch ids at a time."""
+        if not self._known or not self._known[0] <= batch_id <= self._known[1]:
+            last = batch_id + LOOK_AHEAD
+            self._known = (batch_id, last, self.table.fingerprints(lineage, batch_id, last))
+        return self._known[2]
 
     def _reached(self, point: str, batch_id: int) -> None:
         if self.fault is not None:
@@ -125,10 +150,11 @@ class LedgerSink:
     def _uncommitted(self, held: list[StagedBatch], batch_id: int) -> list[StagedBatch]:
         """Held batches still to be committed: a crash right after the commit
         of a lump leaves their markers behind."""
-        return [
-            b for b in held if b.batch_id < batch_id
-            and b.fingerprint not in self.table.fingerprints(b.lineage, b.batch_id)
-        ]
+        held = [b for b in held if b.batch_id < batch_id]
+        if not held:
+            return []
+        done = self.table.fingerprints(held[0].lineage, held[0].batch_id, held[-1].batch_id)
+        return [b for b in held if (b.batch_id, b.fingerprint) not in done]
 
     def _without_known(self, lump, batch_id: int, lineage: str) -> list[StagedBatch]:
         """The held batches and the new one, rewritten without sequence numbers
@@ -172,7 +198,7 @@ def stage(
     path = table.new_path(lineage, batch_id)
     out = batch if writers is None else batch.coalesce(writers)
     seen = Observation()
-    out = out.observe(seen, *fingerprint_columns(batch.columns, seq))
+    out = out.observe(seen, *fingerprint_columns(batch, seq))
     writer = out.write
     if max_records_per_file is not None:
         writer = writer.option("maxRecordsPerFile", max_records_per_file)

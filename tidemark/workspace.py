@@ -41,6 +41,7 @@ class Files:
         self._jvm = spark._jvm
         self._gateway = spark.sparkContext._gateway
         self._conf = spark._jsc.hadoopConfiguration()
+        self._context = None
 
     def _path(self, path: str):
         return self._jvm.org.apache.hadoop.fs.Path(path)
@@ -94,11 +95,11 @@ class Files:
         options = self._jvm.org.apache.hadoop.fs.Options
         none = self._gateway.new_array(options.Rename, 1)
         none[0] = options.Rename.NONE
-        context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(
-            self._path(dst).toUri(), self._conf
-        )
+        if self._context is None:
+            contexts = self._jvm.org.apache.hadoop.fs.FileContext
+            self._context = contexts.getFileContext(self._path(dst).toUri(), self._conf)
         try:
-            context.rename(self._path(src), self._path(dst), none)
+            self._context.rename(self._path(src), self._path(dst), none)
             return True
         except Py4JJavaError as err:
             if "FileAlreadyExistsException" in err.java_exception.getClass().getName():
@@ -108,7 +109,6 @@ class Files:
     def publish_text(self, path: str, text: str) -> bool:
         """Create a file with its whole content at once, or return False."""
         parent, name = path.rsplit("/", 1)
-        self.mkdirs(parent)
         staged = f"{parent}/.{name}.{uuid.uuid4().hex}"
         self.write_text(staged, text)
         if self.rename_new(staged, path):
