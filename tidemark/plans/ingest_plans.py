@@ -30,10 +30,10 @@ def chunks_for(spark: SparkSession, batches: int = BATCHES) -> int:
 
 
 def landed_stream(records: DataFrame, path: str, batches: int = BATCHES) -> DataFrame:
-    """Land records and read them back as a stream of about `batches` batches."""
+    """Land records and read them back as a stream of exactly `batches` batches."""
     spark = records.sparkSession
-    files = land(records, path, chunks_for(spark, batches))
-    return stream_files(spark, path, records.schema, -(-files // batches))
+    files = land(records, path, chunks_for(spark, batches), exact=True)
+    return stream_files(spark, path, records.schema, files // batches)
 
 
 def table_stream(
@@ -151,7 +151,7 @@ def commit_per_batch(spark, sf_dir):
     """
     events, root = read(spark, sf_dir, "events"), new_dir(spark, "commits")
     table = LedgerTable(spark, f"{root}/table", events.schema)
-    source = table_stream(spark, sf_dir, "events", f"{root}/landing")
+    source = landed_stream(events, f"{root}/landing")
     drain(IngestSpec(
         "commit-per-batch", source, table, f"{root}/checkpoint", seq="event_id",
         writers=2, max_records_per_file=1 << 30,
@@ -175,7 +175,7 @@ def target_file_size(spark, sf_dir):
     """A small record target rolls files over within a commit."""
     events, root = read(spark, sf_dir, "events"), new_dir(spark, "target")
     table = LedgerTable(spark, f"{root}/table", events.schema)
-    source = table_stream(spark, sf_dir, "events", f"{root}/landing")
+    source = landed_stream(events, f"{root}/landing")
     per_file = max(1, events.count() // (BATCHES * 10))
     drain(IngestSpec(
         "target-file-size", source, table, f"{root}/checkpoint", seq="event_id",
@@ -213,7 +213,7 @@ def commit_interval_runs(spark, sf_dir):
     """One landed feed, committed in many, some and one batch; then the first run
     repeated, and once more with a target no file comes near (A16, A18, S12, I1)."""
     events, root = read(spark, sf_dir, "events"), new_dir(spark, "intervals")
-    files = land(events, f"{root}/landing", chunks_for(spark))
+    files = land(events, f"{root}/landing", chunks_for(spark), exact=True)
     target, writers = 1 << 40, 2
     shapes = {
         "short": (1, None), "middle": (2, None), "long": (BATCHES, None),
@@ -222,7 +222,7 @@ def commit_interval_runs(spark, sf_dir):
     runs = []
     for key, (share, limit) in shapes.items():
         table = LedgerTable(spark, f"{root}/{key}/table", events.schema)
-        source = stream_files(spark, f"{root}/landing", events.schema, -(-files * share // BATCHES))
+        source = stream_files(spark, f"{root}/landing", events.schema, files * share // BATCHES)
         drain(IngestSpec(
             f"interval {key}", source, table, f"{root}/{key}/checkpoint", seq="event_id",
             writers=writers, max_records_per_file=limit,

@@ -8,8 +8,9 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.errors import Refused
 from tidemark.operators import audit, storage_audit
-from tidemark.plans.ingest_plans import table_stream
+from tidemark.plans.ingest_plans import landed_stream
 from tidemark.plans.registry import Registry
 from tidemark.plans.tables import COMMITS_SQL, FILES_SQL, commits_by_hour, files_by_hour, highest, read
 from tidemark.sources.listing import objects_under
@@ -147,7 +148,7 @@ def maintenance_live_writer(spark, sf_dir):
     """
     events, root = read(spark, sf_dir, "events"), new_dir(spark, "maintenance")
     table = LedgerTable(spark, f"{root}/table", events.schema)
-    source = table_stream(spark, sf_dir, "events", f"{root}/landing", 8)
+    source = landed_stream(events, f"{root}/landing", 8)
     hi = highest(events, "event_id")
 
     def run(fault=None):
@@ -158,6 +159,8 @@ def maintenance_live_writer(spark, sf_dir):
         except PySparkException:
             if fault is None or fault.fired_at is None:
                 raise
+        if fault is not None and fault.fired_at is None:
+            raise Refused("the job was never interrupted")
 
     now = timedelta(0)
     run(FaultOnce("committed", 3))

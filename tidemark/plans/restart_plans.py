@@ -209,7 +209,7 @@ def stale_restore(spark: SparkSession, sf_dir: str, policy: str, sample: bool =
             rows = rows.where(day >= F.lit(STAGE_ENDS[n - 2]).cast("timestamp_ntz"))
         if n < 4:
             rows = rows.where(day < F.lit(STAGE_ENDS[n - 1]).cast("timestamp_ntz"))
-        land(rows, landing, wide)
+        land(rows, landing, wide, exact=True)
 
     def run(checkpoint, files, after=None):
         source = stream_files(spark, landing, events.schema, files)

@@ -106,14 +106,15 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(LOG_SCHEMA).parquet(path)
 
 
-def land(records: DataFrame, path: str, chunks: int) -> int:
+def land(records: DataFrame, path: str, chunks: int, exact: bool = False) -> int:
     """Append records to a landing directory in at least `chunks` files.
 
     A streaming read with a file limit per trigger then sees a sustained feed
     in place of one backlog. Records already in enough partitions are copied
-    without a shuffle. Returns the number of files in the directory.
+    without a shuffle, unless `exact` asks for that many files and no more.
+    Returns the number of files in the directory.
     """
-    if records.rdd.getNumPartitions() < chunks:
+    if exact or records.rdd.getNumPartitions() < chunks:
         records = records.repartition(chunks)
     records.write.mode("append").parquet(path)
     return _part_files(records.sparkSession, path)
