@@ -10,6 +10,7 @@ from tidemark.operators.compare import run_findings
 from tidemark.operators.layout import commit_layout, files_summary
 from tidemark.plans.registry import Registry
 from tidemark.plans.tables import WRITERS, highest, read
+from tidemark.session import SCAN_BYTES
 from tidemark.sources.log import BLOCK, land, produce
 from tidemark.sources.wire import to_wire
 from tidemark.streaming.ingest import IngestSpec, drain, stream_files, stream_log, stream_wire
@@ -23,16 +24,20 @@ REGISTRY = Registry()
 BATCHES = 4
 
 
-def chunks_for(spark: SparkSession, batches: int = BATCHES) -> int:
-    """Landing files: as many as a shuffle has partitions, whole batches of them."""
-    wide = int(spark.conf.get("spark.sql.shuffle.partitions"))
+def chunks_for(spark: SparkSession, sf_dir: str, batches: int = BATCHES) -> int:
+    """Landing files for the feed: one per core, or more when that makes them
+    larger than a task should read; whole batches of them."""
+    size = Files(spark).total_bytes(f"{sf_dir}/events.parquet")
+    wide = max(spark.sparkContext.defaultParallelism, size // SCAN_BYTES)
     return max(batches, -(-wide // batches) * batches)
 
 
-def landed_stream(records: DataFrame, path: str, batches: int = BATCHES) -> DataFrame:
+def landed_stream(
+    records: DataFrame, sf_dir: str, path: str, batches: int = BATCHES
+) -> DataFrame:
     """Land records and read them back as a stream of exactly `batches` batches."""
     spark = records.sparkSession
-    files = land(records, path, chunks_for(spark, batches), exact=True)
+    files = land(records, path, chunks_for(spark, sf_dir, batches), exact=True)
     return stream_files(spark, path, records.schema, files // batches)
 
 
@@ -48,12 +53,12 @@ def table_stream(
     files = sum(1 for n in Files(spark).names(path) if n.startswith("part-"))
     if files >= batches:
         return stream_files(spark, path, rows.schema, -(-files // batches))
-    return landed_stream(rows, landing, batches)
+    return landed_stream(rows, sf_dir, landing, batches)
 
 
-def produce_log(events: DataFrame, path: str) -> int:
+def produce_log(events: DataFrame, sf_dir: str, path: str) -> int:
     """The feed as a log directory, in blocks small enough for several files."""
-    files = chunks_for(events.sparkSession)
+    files = chunks_for(events.sparkSession, sf_dir)
     block = max(1 << 8, min(BLOCK, highest(events, "event_id") // (2 * files)))
     return produce(events, path, "user_id", "event_id", WRITERS, files, block)
 
@@ -86,7 +91,7 @@ def ingest_verdict(spark, sf_dir):
 def ingest_json(spark, sf_dir):
     """From a landing directory of JSON files."""
     events, root = read(spark, sf_dir, "events").drop("ts"), new_dir(spark, "json")
-    files = chunks_for(spark)
+    files = chunks_for(spark, sf_dir)
     events.repartition(files).write.json(f"{root}/landing")
     table = LedgerTable(spark, f"{root}/table", events.schema)
     source = stream_files(spark, f"{root}/landing", events.schema, -(-files // BATCHES), fmt="json")
@@ -117,7 +122,7 @@ def ingest_upsert(spark, sf_dir):
 def ingest_log(spark, sf_dir):
     """From a keyed, partitioned log of JSON values."""
     events, root = read(spark, sf_dir, "events").drop("ts"), new_dir(spark, "log")
-    files = produce_log(events, f"{root}/log")
+    files = produce_log(events, sf_dir, f"{root}/log")
     table = LedgerTable(spark, f"{root}/table", events.schema)
     source = stream_log(spark, f"{root}/log", events.schema, files_per_trigger=-(-files // BATCHES))
     drain(IngestSpec("ingest-log", source, table, f"{root}/checkpoint", seq="event_id"))
@@ -130,7 +135,7 @@ def ingest_log(spark, sf_dir):
 def ingest_wire(spark, sf_dir):
     """From `key|{json}` text files, decoded strictly."""
     events, root = read(spark, sf_dir, "events").drop("ts"), new_dir(spark, "wire")
-    files = chunks_for(spark)
+    files = chunks_for(spark, sf_dir)
     to_wire(events, "user_id").repartition(files).write.text(f"{root}/landing")
     table = LedgerTable(spark, f"{root}/table", events.schema)
     source = stream_wire(spark, f"{root}/landing", events.schema, -(-files // BATCHES))
@@ -151,7 +156,7 @@ def commit_per_batch(spark, sf_dir):
     """
     events, root = read(spark, sf_dir, "events"), new_dir(spark, "commits")
     table = LedgerTable(spark, f"{root}/table", events.schema)
-    source = landed_stream(events, f"{root}/landing")
+    source = landed_stream(events, sf_dir, f"{root}/landing")
     drain(IngestSpec(
         "commit-per-batch", source, table, f"{root}/checkpoint", seq="event_id",
         writers=2, max_records_per_file=1 << 30,
@@ -175,7 +180,7 @@ def target_file_size(spark, sf_dir):
     """A small record target rolls files over within a commit."""
     events, root = read(spark, sf_dir, "events"), new_dir(spark, "target")
     table = LedgerTable(spark, f"{root}/table", events.schema)
-    source = landed_stream(events, f"{root}/landing")
+    source = landed_stream(events, sf_dir, f"{root}/landing")
     per_file = max(1, events.count() // (BATCHES * 10))
     drain(IngestSpec(
         "target-file-size", source, table, f"{root}/checkpoint", seq="event_id",
@@ -213,7 +218,7 @@ def commit_interval_runs(spark, sf_dir):
     """One landed feed, committed in many, some and one batch; then the first run
     repeated, and once more with a target no file comes near (A16, A18, S12, I1)."""
     events, root = read(spark, sf_dir, "events"), new_dir(spark, "intervals")
-    files = land(events, f"{root}/landing", chunks_for(spark), exact=True)
+    files = land(events, f"{root}/landing", chunks_for(spark, sf_dir), exact=True)
     target, writers = 1 << 40, 2
     shapes = {
         "short": (1, None), "middle": (2, None), "long": (BATCHES, None),

@@ -148,7 +148,7 @@ def maintenance_live_writer(spark, sf_dir):
     """
     events, root = read(spark, sf_dir, "events"), new_dir(spark, "maintenance")
     table = LedgerTable(spark, f"{root}/table", events.schema)
-    source = landed_stream(events, f"{root}/landing", 8)
+    source = landed_stream(events, sf_dir, f"{root}/landing", 8)
     hi = highest(events, "event_id")
 
     def run(fault=None):

@@ -117,7 +117,7 @@ GROUP, TOPIC = "readers", "feed"
 def _offset_jobs(spark: SparkSession, sf_dir: str):
     """Land a log, ingest it, rewind the committed offsets behind the job's back."""
     events, root = read(spark, sf_dir, "events").drop("ts"), new_dir(spark, "offsets")
-    files = produce_log(events, f"{root}/log")
+    files = produce_log(events, sf_dir, f"{root}/log")
     table = LedgerTable(spark, f"{root}/table", events.schema)
     store = OffsetStore(spark, f"{root}/offsets")
 
@@ -200,7 +200,7 @@ def stale_restore(spark: SparkSession, sf_dir: str, policy: str, sample: bool =
     events, root = read(spark, sf_dir, "events"), new_dir(spark, f"stale-{policy}")
     table = LedgerTable(spark, f"{root}/table", events.schema)
     landing, live, copy = f"{root}/landing", f"{root}/checkpoint", f"{root}/savepoint"
-    wide = chunks_for(spark, 4)
+    wide = chunks_for(spark, sf_dir, 4)
     day = F.col("ts")
 
     def land_stage(n: int) -> None:

@@ -183,7 +183,7 @@ def txn_findings(spark, sf_dir):
 def txn_copy(spark, sf_dir):
     """A transactional copy of the feed under a short and a long timeout."""
     events, root = read(spark, sf_dir, "events"), new_dir(spark, "copy")
-    source = landed_stream(events, f"{root}/landing")
+    source = landed_stream(events, sf_dir, f"{root}/landing")
     rows = []
     for run_key, timeout_ms in (("short", 5_000), ("long", 3_600_000)):
         log = TransactionalLog(spark, f"{root}/{run_key}", events.schema)

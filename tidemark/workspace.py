@@ -64,6 +64,10 @@ class Files:
             return []
         return [s.getPath().getName() for s in self._fs(path).listStatus(self._path(path))]
 
+    def total_bytes(self, path: str) -> int:
+        """Bytes of a file, or of everything below a directory."""
+        return self._fs(path).getContentSummary(self._path(path)).getLength()
+
     def sizes(self, path: str) -> dict[str, int]:
         """Name to size of the visible files directly under a directory."""
         return {
