@@ -59,7 +59,7 @@ def key_readback(rows: DataFrame, key: str, seq: str) -> DataFrame:
 
 def missing_runs(
     rows: DataFrame, lo: int, hi: int, seq: str = "seq",
-    top_words: int = 1 << 20, fan_bits: int = 14,
+    top_words: int = 1 << 16, fan_bits: int = 14,
 ) -> DataFrame:
     """Runs of `lo..hi` that are absent, as inclusive (run_start, run_end).
 
@@ -141,14 +141,13 @@ def expected_state(feed: DataFrame, key: str, seq: str) -> DataFrame:
 def latest_per_key(rows: DataFrame, key: str, seq: str) -> DataFrame:
     """The last assertion of each key, whole row.
 
-    max_by combines on the map side: a hot key costs one row per task, and a
-    late, older record never wins.
+    The filter on the first rank is applied before the shuffle as well, so each
+    task hands on one row per key however hot the key is, and a late, older
+    record never wins.
     """
-    columns = [F.col(c) for c in rows.columns]
-    best = rows.groupBy(F.col(key).alias("__key")).agg(
-        F.max_by(F.struct(*columns), F.col(seq)).alias("__row")
-    )
-    return best.select("__row.*")
+    newest_first = Window.partitionBy(key).orderBy(F.col(seq).desc())
+    ranked = rows.withColumn("__rank", F.row_number().over(newest_first))
+    return ranked.where(F.col("__rank") == 1).drop("__rank")
 
 
 def held_against_expected(
@@ -186,7 +185,7 @@ def held_against_expected(
 
 def seq_profile(
     rows: DataFrame, lo: int, hi: int, seq: str = "seq",
-    top_words: int = 1 << 20, fan_bits: int = 14,
+    top_words: int = 1 << 16, fan_bits: int = 14,
 ) -> DataFrame:
     """Counts, duplicates and gap totals over lo..hi, in one pass and one row.
 

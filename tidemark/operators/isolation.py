@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.errors import Refused
 from tidemark.functions import duration_ms
+from tidemark.operators.audit import latest_per_key
 
 COMMITTED, ABORTED, ONGOING = "CompleteCommit", "CompleteAbort", "Ongoing"
 
@@ -16,10 +17,8 @@ def latest_states(markers: DataFrame, prefix: str = "") -> DataFrame:
 
     Needs `txn_id`, `state`, `timeout_ms` and an ordering column `version`.
     """
-    return markers.where(F.col("txn_id").cast("string").startswith(prefix)).groupBy("txn_id").agg(
-        F.max_by("state", "version").alias("state"),
-        F.max_by("timeout_ms", "version").alias("timeout_ms"),
-    )
+    mine = markers.where(F.col("txn_id").cast("string").startswith(prefix))
+    return latest_per_key(mine, "txn_id", "version").select("txn_id", "state", "timeout_ms")
 
 
 def read_committed(records: DataFrame, states: DataFrame) -> DataFrame:
