@@ -1,7 +1,5 @@
 """Published tables derived from recorded results, and looked up where they are claimed."""
 
-from pyspark.sql import functions as F
-
 from tidemark.operators import evidence, published, samples
 
 

@@ -121,7 +121,6 @@ def test_an_abandoned_restore_leaves_nothing_behind(job):
     save(job.spark, f"{job.work}/checkpoint", f"{job.work}/saved-again")
     # a second restore from the same old point, reading in other batches
     job.land(400, 4)
-    job.save_again = f"{job.work}/again"
     job.table.release(lineage_of(job.spark, f"{job.work}/saved"))
     again = job.run(checkpoint="saved-again", files=2, policy="hold")
     assert {o for _, o in again.outcomes} == {"committed"}
@@ -207,7 +206,7 @@ def test_a_savepoint_of_a_running_query_is_refused(job):
 def test_an_upsert_needs_key_and_flag(job):
     for options in ({"upsert": True}, {"key": "npi"}):
         with pytest.raises(Refused, match="key and the flag"):
-            job.spec_with = IngestSpec("x", None, job.table, "c", **options).sink()
+            IngestSpec("x", None, job.table, "c", **options).sink()
     with pytest.raises(Refused, match="policy"):
         IngestSpec("x", None, job.table, "c", policy="maybe").sink()
 

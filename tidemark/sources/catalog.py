@@ -42,7 +42,7 @@ def drop_table(spark: SparkSession, name: str) -> None:
 
 
 def merge_upsert(batch: DataFrame, table: str, key: str, seq: str) -> None:
-    """Upsert into a table format that knows MERGE (Iceberg and the like).
+    """Upsert into a table format that knows MERGE (as Parquet tables do not).
 
     The batch must hold one row per key; an older record never replaces a newer.
     """

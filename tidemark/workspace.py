@@ -17,16 +17,20 @@ from tidemark.errors import Refused
 
 
 def base_dir(spark: SparkSession) -> str:
-    """The shared folder of this session, as named in `spark.checkpoint.dir`."""
+    """The shared folder of this session, as named in `spark.checkpoint.dir`.
+
+    Where that is unset, the checkpoint folder the context was given; a local
+    session that has neither gets a temporary one, a cluster is refused.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise Refused("spark.checkpoint.dir is unset: a cluster needs a shared folder")
-    fallback = tempfile.mkdtemp(prefix="tidemark-")
-    spark.sparkContext.setCheckpointDir(fallback)
-    spark.conf.set("spark.checkpoint.dir", fallback)
-    return fallback
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise Refused("spark.checkpoint.dir is unset: a cluster needs a shared folder")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
+    return context.getCheckpointDir()
 
 
 def new_dir(spark: SparkSession, label: str) -> str:
