@@ -30,6 +30,7 @@ FLUSH = 1 << 20
 HOT_DOCS = 256
 SPLITTER_SAMPLE = 100_000
 BUCKETS = 2  # to a shuffle partition
+RANGES = 8  # the same, of suffixes: what a task holds at once is small
 LOW40 = np.uint64((1 << 40) - 1)
 # What a bucket of documents is sent, in this order.
 COPIES, FOUND, TEXTS = 0, 1, 2
@@ -59,7 +60,7 @@ def anchors(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return start, (low[start] & np.uint64(0xFFFFFF)).astype(np.int64), h
 
 
-def split_long(data: np.ndarray, at: np.ndarray, limit: int = 8 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def split_long(data: np.ndarray, at: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """The buffers themselves, or overlapping pieces of a text beyond the reach of 24-bit places."""
     if len(data) <= limit:
         yield 0, data, at
@@ -178,6 +179,15 @@ def _covered_by_smaller(key: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return out
 
 
+def row_hashes(context: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each row of bytes, eight bytes at a time; the last eight may overlap."""
+    out = np.zeros(len(context), np.uint64)
+    for a in [*range(0, WIDTH - 7, 8), WIDTH - 8]:
+        word = np.ascontiguousarray(context[:, a : a + 8]).view("<u8").ravel()
+        out = mix(out ^ (word + np.uint64(a)))
+    return out
+
+
 def _contexts(n_docs: int, n_strings: int):
     """Rows (kind, bucket, body) from documents and the shared hashes of their bucket.
 
@@ -192,8 +202,7 @@ def _contexts(n_docs: int, n_strings: int):
     def flush(near, hot):
         if near:
             context, left, right, ids, rows, place = (np.concatenate(x) for x in zip(*near))
-            key = span_hashes(context.ravel(), np.arange(len(context)) * WIDTH, np.arange(1, len(context) + 1) * WIDTH)
-            key = mix(key ^ (left * 64 + right).astype(np.uint64))
+            key = mix(row_hashes(context) ^ (left * 64 + right).astype(np.uint64))
             again = _covered_by_smaller(key, ids)
             if again.any():
                 yield out(0, _span_rows(ids[again], rows[again], (place - left)[again], (place + GRAM + right)[again], n_docs))
@@ -257,7 +266,7 @@ def _contexts(n_docs: int, n_strings: int):
                         owned = start[np.isin(anchor, each[is_hot])]
                         hot.append((span_hashes(data, owned, owned + LENGTH), np.full(len(owned), me), np.full(len(owned), row), owned + shift))
                         size += len(owned) * 32
-                if size >= 16 << 20:
+                if size >= 8 << 20:
                     yield from flush(near, hot)
                     near, hot, size = [], [], 0
         yield from flush(near, hot)
@@ -479,7 +488,7 @@ def remove_repeats(
     """
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
-    n_docs, n_buckets = BUCKETS * parts, BUCKETS * parts
+    n_docs, n_buckets, n_ranges = BUCKETS * parts, BUCKETS * parts, RANGES * parts
     others = [F.col(f"`{c}`") for c in docs.columns if c not in (id_col, text_col)]
     source = docs.select(
         F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
@@ -511,7 +520,7 @@ def remove_repeats(
         return both.repartition(parts, "bucket").sortWithinPartitions("bucket", "kind")
 
     around = met(shared, pressed(ided, False).drop("rest"))
-    around = cut(around.mapInArrow(_contexts(n_docs, n_buckets), "kind int, bucket int, body binary"), "suffix")
+    around = cut(around.mapInArrow(_contexts(n_docs, n_ranges), "kind int, bucket int, body binary"), "suffix")
     known = around.where("kind = 0").select("bucket", "body")
     contexts = around.where("kind = 1").select("bucket", "body")
     strings = around.where("kind = 2").select("bucket", "body")
@@ -520,7 +529,7 @@ def remove_repeats(
     sampled = contexts.sample(min(1.0, SPLITTER_SAMPLE / 64 / rows), seed=1) if rows else contexts
     tokens = sampled.mapInArrow(_sample_tokens, "t0 long, t1 long").collect()
     lead = np.sort(np.array([np.array(t, np.int64).astype(">i8").tobytes() for t in tokens], f"S{GRAM}"))
-    splitters = np.unique(lead[np.linspace(0, len(lead) - 1, n_buckets + 1).astype(int)[1:-1]]) if len(lead) else lead
+    splitters = np.unique(lead[np.linspace(0, len(lead) - 1, n_ranges + 1).astype(int)[1:-1]]) if len(lead) else lead
 
     by_range = contexts.mapInArrow(_by_splitters(splitters), "bucket int, body binary")
     found = by_range.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_compare_contexts(n_docs), "bucket int, body binary")
