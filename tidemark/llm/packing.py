@@ -15,9 +15,10 @@ from tidemark.llm.tokens import BATCH_BYTES, Encoder, vocabulary
 
 CAPACITY = 2048
 END = 0
-STEP = 0.25  # share of a length's demand that one round may cover
+STEP = 1.0  # share of a length's demand that one round may cover
 ROUNDS = 3000  # what is left after them goes by best fit
-RATE = 1.0
+RATE = 0.02
+BIAS = 0.2
 PRICED = 192  # lengths a round may use: the dearest, and as many spread over all others
 SALT_ROWS = 100_000
 
@@ -100,7 +101,7 @@ def configurations(histogram: dict[int, int], capacity: int = CAPACITY, rounds:
         if not len(live):
             break
         share = left[live] / demand[live]
-        worth = lengths[live] * np.exp(RATE * (share - share.max())) * (1 + lengths[live] / capacity)
+        worth = lengths[live] * np.exp(RATE * (share - share.max())) * (1 + BIAS * lengths[live] / capacity)
         if len(live) > PRICED:
             order = np.argsort(-worth, kind="stable")
             rest = np.sort(order[PRICED // 2 :])

@@ -34,3 +34,23 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.toxicity import toxicity
 
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def vocabulary_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@REGISTRY.add("op3_packing")
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), vocabulary_path())
+
+
+@REGISTRY.add("op8_token_counts")
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.tokens import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"), vocabulary_path())
