@@ -18,7 +18,7 @@ END = 0
 STEP = 1.0  # share of a length's demand that one round may cover
 ROUNDS = 3000  # what is left after them goes by best fit
 RATE = 0.02
-BIAS = 0.2
+BIAS = 0.02
 PRICED = 192  # lengths a round may use: the dearest, and as many spread over all others
 SALT_ROWS = 100_000
 

@@ -54,3 +54,11 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.tokens import token_counts
 
     return token_counts(table(spark, sf_dir, "documents"), vocabulary_path())
+
+
+@REGISTRY.add("op1_decontamination")
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.decontamination import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select(
+        "doc_id", "item_id", "coverage", "n_tiles")
