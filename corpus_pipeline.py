@@ -2,22 +2,55 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import simhash
+from tidemark.llm import decontamination, packing, simhash, suffix_dedup, toxicity
 from tidemark.llm.common import cut
 
 
-def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score 0.5 or more go; the model learns from the labelled ones of `docs`."""
+    return toxicity.keep_clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, that with the least doc_id."""
     return simhash.keep_one(docs)
 
 
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that a document with a smaller doc_id has are cut out; `n_chars` follows the text, all documents stay."""
+    cleaned = suffix_dedup.remove_repeats(docs, as_text=True)
+    columns = []
+    for field in docs.schema:
+        value = {
+            "doc_id": F.col("id"), "text": F.col("kept"), "n_chars": F.length("kept"),
+        }.get(field.name, F.col("rest")[field.name])
+        columns.append(value.cast(field.dataType).alias(field.name))
+    return cleaned.select(*columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that cover a benchmark item go."""
+    return decontamination.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their places in sequences of 2048 tokens."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
 STAGES = [
-    ("simhash", near_copies),
+    ("toxicity", drop_toxic),
+    ("simhash", drop_near_copies),
+    ("suffix_dedup", cut_repeats),
+    ("decontamination", drop_contaminated),
+    ("packing", pack_sequences),
 ]
 
-# Trained models and Spark's own hashes decide here; the stages are tested against brute force.
+# A trained model, XXH64 and a tokenizer decide here: the stages are tested against brute force instead.
 ORACLE_SQL = None
 
 
