@@ -29,8 +29,8 @@ FLUSH = 1 << 20
 # An anchor in more documents than this exchanges hashes of whole strings, not contexts: no run gets long.
 HOT_DOCS = 256
 SPLITTER_SAMPLE = 100_000
-BUCKETS = 2  # to a shuffle partition
-RANGES = 8  # the same, of suffixes: what a task holds at once is small
+BUCKETS = 1  # to a shuffle partition
+RANGES = 4  # the same, of suffixes: what a task holds at once is small
 LOW40 = np.uint64((1 << 40) - 1)
 # What a bucket of documents is sent, in this order.
 COPIES, FOUND, TEXTS = 0, 1, 2
@@ -188,7 +188,7 @@ def row_hashes(context: np.ndarray) -> np.ndarray:
     return out
 
 
-def _contexts(n_docs: int, n_strings: int):
+def _contexts(n_docs: int):
     """Rows (kind, bucket, body) from documents and the shared hashes of their bucket.
 
     Kind 0: spans already known to be repeated, by what is equal inside this task. Kind 1:
@@ -214,7 +214,7 @@ def _contexts(n_docs: int, n_strings: int):
             if again.any():
                 yield out(0, _span_rows(ids[again], rows[again], place[again], place[again] + LENGTH, n_docs))
             keep = ~again
-            yield out(2, [(b, pack(p[0], deltas(p[1]), *p[2:])) for b, p in by_bucket((key[keep] >> np.uint64(40)).astype(np.int64) % n_strings, key[keep], ids[keep], rows[keep], place[keep])])
+            yield out(2, [(0, pack(key[keep], deltas(ids[keep]), rows[keep], place[keep]))])
 
     def run(batches):
         near, hot, size = [], [], 0
@@ -324,6 +324,18 @@ def _by_splitters(splitters: np.ndarray):
     return run
 
 
+def _by_hash(n_strings: int):
+    """Each hash of a string to its bucket."""
+    def run(batches):
+        for batch in batches:
+            for body in batch.column("body").to_pylist():
+                key, ids, rows, place = unpack(body)
+                bucket = (key >> np.uint64(40)).astype(np.int64) % n_strings
+                yield _batch([(b, pack(p[0], deltas(p[1]), *p[2:])) for b, p in by_bucket(bucket, key, np.cumsum(ids), rows, place)])
+
+    return run
+
+
 def repeated_around(context, left, right, ids) -> tuple[np.ndarray, np.ndarray]:
     """How far before and after its anchor each row is covered by strings a smaller id has: least and greatest start."""
     tokens = leading_tokens(context)
@@ -502,7 +514,7 @@ def remove_repeats(
 
     ided = source.where("id IS NOT NULL")
     hashes = ided.select("id", "text").mapInArrow(_anchor_hashes(n_buckets), "bucket int, body binary")
-    shared = hashes.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared_hashes(n_docs, hot_docs), "bucket int, body binary")
+    shared = hashes.repartitionById(parts, F.pmod("bucket", F.lit(parts))).sortWithinPartitions("bucket").mapInArrow(_shared_hashes(n_docs, hot_docs), "bucket int, body binary")
     shared = cut(shared, "suffix")
 
     rest_type = source.schema["rest"].dataType.simpleString()
@@ -517,10 +529,10 @@ def remove_repeats(
         lists = copies.withColumn("kind", F.lit(COPIES)).unionByName(bodies.withColumn("kind", F.lit(FOUND)))
         both = lists.select("kind", "bucket", "body", *[F.lit(None).cast(f.dataType).alias(f.name) for f in own]).unionByName(
             frame.select(F.lit(TEXTS).alias("kind"), "bucket", "body", *[f.name for f in own]))
-        return both.repartition(parts, "bucket").sortWithinPartitions("bucket", "kind")
+        return both.repartitionById(parts, F.pmod("bucket", F.lit(parts))).sortWithinPartitions("bucket", "kind")
 
     around = met(shared, pressed(ided, False).drop("rest"))
-    around = cut(around.mapInArrow(_contexts(n_docs, n_ranges), "kind int, bucket int, body binary"), "suffix")
+    around = cut(around.mapInArrow(_contexts(n_docs), "kind int, bucket int, body binary"), "suffix")
     known = around.where("kind = 0").select("bucket", "body")
     contexts = around.where("kind = 1").select("bucket", "body")
     strings = around.where("kind = 2").select("bucket", "body")
@@ -532,8 +544,8 @@ def remove_repeats(
     splitters = np.unique(lead[np.linspace(0, len(lead) - 1, n_ranges + 1).astype(int)[1:-1]]) if len(lead) else lead
 
     by_range = contexts.mapInArrow(_by_splitters(splitters), "bucket int, body binary")
-    found = by_range.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_compare_contexts(n_docs), "bucket int, body binary")
-    whole = strings.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_compare_strings(n_docs), "bucket int, body binary")
+    found = by_range.repartitionById(parts, F.pmod("bucket", F.lit(parts))).sortWithinPartitions("bucket").mapInArrow(_compare_contexts(n_docs), "bucket int, body binary")
+    whole = strings.mapInArrow(_by_hash(n_buckets), "bucket int, body binary").repartitionById(parts, F.pmod("bucket", F.lit(parts))).sortWithinPartitions("bucket").mapInArrow(_compare_strings(n_docs), "bucket int, body binary")
     spans = cut(known.unionByName(found).unionByName(whole), "suffix")
 
     return met(spans, pressed(source, True)).mapInArrow(
