@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm import quality
 from tidemark.plans.registry import Registry
 
 REGISTRY = Registry()
@@ -62,3 +63,8 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select(
         "doc_id", "item_id", "coverage", "n_tiles")
+
+
+@REGISTRY.add("op4_quality", quality.SQL)
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"))
