@@ -68,3 +68,11 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REGISTRY.add("op4_quality", quality.SQL)
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
+
+
+@REGISTRY.add("op6_url_filter")
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.url_filter import Rule, judge_urls
+
+    rules = [Rule("net/", "block"), Rule("example.net/en/", "allow"), Rule("example.com/de/", "block"), Rule("org/fr/", "allow")]
+    return judge_urls(table(spark, sf_dir, "pages"), rules)

@@ -29,8 +29,8 @@ FLUSH = 1 << 20
 # An anchor in more documents than this exchanges hashes of whole strings, not contexts: no run gets long.
 HOT_DOCS = 256
 SPLITTER_SAMPLE = 100_000
-BUCKETS = 1  # to a shuffle partition
-RANGES = 4  # the same, of suffixes: what a task holds at once is small
+RANGE_BYTES = 1 << 20  # packed suffixes of a range: what a task holds at once is small
+MOVED_BYTES = 16 << 20  # packed suffixes that one task deals to the ranges
 LOW40 = np.uint64((1 << 40) - 1)
 # What a bucket of documents is sent, in this order.
 COPIES, FOUND, TEXTS = 0, 1, 2
@@ -308,18 +308,31 @@ def _sample_tokens(batches):
                 [pa.array(lead[:, 0].view(np.int64)), pa.array(lead[:, 1].view(np.int64))], ["t0", "t1"])
 
 
+def _together(bodies: Iterator[pa.RecordBatch], limit: int = 32 << 20) -> Iterator[list[list[np.ndarray]]]:
+    """Unpacked bodies of several rows, about `limit` packed bytes of them at a time."""
+    held, size = [], 0
+    for batch in bodies:
+        for body in batch.column("body").to_pylist():
+            held.append(unpack(body))
+            size += len(body)
+            if size >= limit:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
 def _by_splitters(splitters: np.ndarray):
     """Each context to the bucket of its leading tokens; equal grams never part."""
     def run(batches):
-        for batch in batches:
-            for body in batch.column("body").to_pylist():
-                context, left, right, ids, rows, place = unpack(body)
-                context, ids = context.reshape(-1, WIDTH), np.cumsum(ids)
-                lead = np.ascontiguousarray(context[:, SIDE : SIDE + GRAM]).view(f"S{GRAM}").ravel()
-                index = np.arange(len(left))
-                bucket = np.searchsorted(splitters, lead, side="right")
-                for b, (i,) in by_bucket(bucket, index):
-                    yield _batch([(b, pack(context[i].ravel(), left[i], right[i], deltas(ids[i]), rows[i], place[i]))])
+        for parts in _together(batches, 8 << 20):
+            context = np.concatenate([p[0] for p in parts]).reshape(-1, WIDTH)
+            left, right, rows, place = (np.concatenate([p[i] for p in parts]) for i in (1, 2, 4, 5))
+            ids = np.concatenate([np.cumsum(p[3]) for p in parts])
+            lead = np.ascontiguousarray(context[:, SIDE : SIDE + GRAM]).view(f"S{GRAM}").ravel()
+            bucket = np.searchsorted(splitters, lead, side="right")
+            for b, (i,) in by_bucket(bucket, np.arange(len(left))):
+                yield _batch([(b, pack(context[i].ravel(), left[i], right[i], deltas(ids[i]), rows[i], place[i]))])
 
     return run
 
@@ -327,11 +340,11 @@ def _by_splitters(splitters: np.ndarray):
 def _by_hash(n_strings: int):
     """Each hash of a string to its bucket."""
     def run(batches):
-        for batch in batches:
-            for body in batch.column("body").to_pylist():
-                key, ids, rows, place = unpack(body)
-                bucket = (key >> np.uint64(40)).astype(np.int64) % n_strings
-                yield _batch([(b, pack(p[0], deltas(p[1]), *p[2:])) for b, p in by_bucket(bucket, key, np.cumsum(ids), rows, place)])
+        for parts in _together(batches):
+            key, rows, place = (np.concatenate([p[i] for p in parts]) for i in (0, 2, 3))
+            ids = np.concatenate([np.cumsum(p[1]) for p in parts])
+            bucket = (key >> np.uint64(40)).astype(np.int64) % n_strings
+            yield _batch([(b, pack(p[0], deltas(p[1]), *p[2:])) for b, p in by_bucket(bucket, key, ids, rows, place)])
 
     return run
 
@@ -500,7 +513,7 @@ def remove_repeats(
     """
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
-    n_docs, n_buckets, n_ranges = BUCKETS * parts, BUCKETS * parts, RANGES * parts
+    n_docs, n_buckets = parts, parts
     others = [F.col(f"`{c}`") for c in docs.columns if c not in (id_col, text_col)]
     source = docs.select(
         F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
@@ -537,7 +550,10 @@ def remove_repeats(
     contexts = around.where("kind = 1").select("bucket", "body")
     strings = around.where("kind = 2").select("bucket", "body")
 
-    rows = contexts.count()
+    rows, near = contexts.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("body")), F.lit(0))).first()
+    hot = strings.agg(F.coalesce(F.sum(F.octet_length("body")), F.lit(0))).first()[0]
+    n_ranges, n_strings = -(-near // RANGE_BYTES) + 1, -(-hot // RANGE_BYTES) + 1
+    contexts, strings = contexts.coalesce(near // MOVED_BYTES + 1), strings.coalesce(hot // MOVED_BYTES + 1)
     sampled = contexts.sample(min(1.0, SPLITTER_SAMPLE / 64 / rows), seed=1) if rows else contexts
     tokens = sampled.mapInArrow(_sample_tokens, "t0 long, t1 long").collect()
     lead = np.sort(np.array([np.array(t, np.int64).astype(">i8").tobytes() for t in tokens], f"S{GRAM}"))
@@ -545,7 +561,7 @@ def remove_repeats(
 
     by_range = contexts.mapInArrow(_by_splitters(splitters), "bucket int, body binary")
     found = by_range.repartitionById(parts, F.pmod("bucket", F.lit(parts))).sortWithinPartitions("bucket").mapInArrow(_compare_contexts(n_docs), "bucket int, body binary")
-    whole = strings.mapInArrow(_by_hash(n_buckets), "bucket int, body binary").repartitionById(parts, F.pmod("bucket", F.lit(parts))).sortWithinPartitions("bucket").mapInArrow(_compare_strings(n_docs), "bucket int, body binary")
+    whole = strings.mapInArrow(_by_hash(n_strings), "bucket int, body binary").repartitionById(parts, F.pmod("bucket", F.lit(parts))).sortWithinPartitions("bucket").mapInArrow(_compare_strings(n_docs), "bucket int, body binary")
     spans = cut(known.unionByName(found).unionByName(whole), "suffix")
 
     return met(spans, pressed(source, True)).mapInArrow(
