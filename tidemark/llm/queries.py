@@ -76,3 +76,10 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rules = [Rule("net/", "block"), Rule("example.net/en/", "allow"), Rule("example.com/de/", "block"), Rule("org/fr/", "allow")]
     return judge_urls(table(spark, sf_dir, "pages"), rules)
+
+
+@REGISTRY.add("op7_html_text")
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.html_text import main_text
+
+    return main_text(table(spark, sf_dir, "pages"))
