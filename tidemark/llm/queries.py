@@ -83,3 +83,10 @@ def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.html_text import main_text
 
     return main_text(table(spark, sf_dir, "pages"))
+
+
+@REGISTRY.add("op10_lm_score")
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.lm_scoring import lm_scores
+
+    return lm_scores(table(spark, sf_dir, "documents"), vocabulary_path())
