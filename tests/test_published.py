@@ -1,104 +1,61 @@
-"""Published tables derived from recorded results, and looked up where they are claimed."""
+"""Published lines rendered from results, and looked up where they are claimed."""
 
-from tidemark.operators import evidence, published, samples
+import pytest
+from pyspark.sql import functions as F
+
+from tidemark.errors import Refused
+from tidemark.operators import evidence, published
 
 
 def texts(frame):
     return {r["tag"]: r["text"] for r in frame.collect()}
 
 
-def configurations(spark):
-    return spark.createDataFrame(
-        [("AT_LEAST_ONCE", False, 12000, 0, 10002, 0, "duplicate rows", False, 1),
-         ("EXACTLY_ONCE", True, 1998, 0, 0, 12, "no duplicates", True, 1)],
-        "mode string, upsert boolean, rows long, duplicate_seq_rows long, duplicate_key_rows long,"
-        "delete_files long, prediction string, prediction_held boolean, kills long",
-    )
-
-
-def test_restart_rows_and_the_bound(spark):
-    got = texts(published.restart_rows(configurations(spark)))
-    assert got["restart:`at-least-once` + append"] == (
-        "| `at-least-once` + append | 12,000 | 0 | 10,002 | 0 | duplicate rows | REFUTED |"
-    )
-    assert got["restart:`exactly-once` + upsert on npi"] == (
-        "| `exactly-once` + upsert on npi | 1,998 | 0 | 0 | 12 | no duplicates | held |"
-    )
-    sentence = texts(published.null_result_sentence(configurations(spark), "kills"))["restart:bound"]
-    assert sentence == (
-        "one kill producing zero duplicates puts the one-sided 95% bound at about 0.95; "
-        "a single repeat is 0.008% of the rows"
-    )
-
-
-def test_uncounted_is_not_zero(spark):
-    steps = spark.createDataFrame(
-        [("rewound", 0, 6000, None), ("restored", 6000, 6000, 0)],
-        "step string, committed_offsets long, rows long, duplicate_seq_rows long",
-    )
-    assert texts(published.offset_rows(steps)) == {
-        "offsets:rewound": "| rewound | 0 | 6,000 | not measured |",
-        "offsets:restored": "| restored | 6,000 | 6,000 | 0 |",
-    }
-
-
-def timeline(spark):
-    return spark.createDataFrame(
-        [("r", 58.1, 19, 19, "RUNNING", 0, 16000, 0), ("r", 65.4, 20, 19, "RUNNING", None, 32000, 0)],
-        "run string, seconds double, checkpoint_id long, watermark long, job_state string,"
-        "consumer_lag long, rows_visible long, checkpoints_failed long",
-    )
-
-
-def test_timeline_rows_and_the_freeze(spark):
-    got = texts(published.timeline_rows(timeline(spark)))
-    assert got["timeline:58.1"] == "| 58.1 | 19 | RUNNING | 0 | 16,000 |"
-    assert got["timeline:65.4"] == "| 65.4 | 20 | RUNNING | not read | 32,000 |"
-    seen = timeline(spark)
-    sentence = published.freeze_sentence(
-        samples.freeze_bounds(seen, ["run"]), samples.freeze_window(seen, ["run"]), "run"
-    )
-    assert texts(sentence)["freeze:r"] == (
-        "frozen at 16,000 rows until somewhere in [58.1, 65.4], then 16,000 rows at once"
-    )
-
-
-def test_interval_maintenance_and_transaction_rows(spark):
-    runs = spark.createDataFrame(
-        [("5s", "5s", None, 39, 78, 2.0, 13259, 1.3), ("big", "5s", "1 GB", 40, 80, 2.0, 13041, 1.4),
-         ("120s", "120s", None, 3, 6, 2.0, 74556, 90.7)],
-        "run_key string, interval string, target string, commits long, data_files long,"
-        "files_per_commit double, avg_data_file_bytes long, seconds_to_visible double",
-    )
-    got = texts(published.interval_rows(runs))
-    assert got["interval:5s"] == "| `5s` | default | 39 | 78 | 2.0 | 13,259 | 1.3 s |"
-    assert got["interval:big"] == "| `5s` | 1 GB | 40 | 80 | 2.0 | 13,041 | 1.4 s |"
-    factor = published.factor_sentence(runs, "avg_data_file_bytes", "5s", "120s")
-    assert texts(factor)["factor:avg_data_file_bytes"] == "a factor of 5.6"
-    done = spark.createDataFrame(
-        [("expire_snapshots", "5 snapshots to 1", "RUNNING", 12000, 12000, 0)],
-        "procedure string, worked_on string, job_state string, rows long, rows_expected long, duplicate_rows long",
-    )
-    assert texts(published.maintenance_rows(done))["maintenance:expire_snapshots"] == (
-        "| `expire_snapshots` | 5 snapshots to 1 | RUNNING | 12,000 of 12,000 | 0 | 0 |"
-    )
-    copies = spark.createDataFrame(
-        [("short", 5000, "120s", "RUNNING", 8000, 8000, 0)],
-        "run_key string, timeout_ms long, interval string, job_state string, events_in long,"
-        "records_written long, records_readable long",
-    )
-    assert texts(published.transaction_rows(copies))["transactions:short"] == (
-        "| 5,000 ms | 120s | RUNNING | 8,000 | 0 | 8,000 |"
-    )
-    assert texts(published.margin_sentence(copies))["margin:short"] == "the margin is 24 to one"
-
-
-def test_an_altered_figure_is_missed(spark):
-    facts = evidence.union_facts([
-        published.restart_rows(configurations(spark)), published.timeline_rows(timeline(spark)),
-    ])
+@pytest.fixture(scope="module")
+def orders(spark, sf_dir):
+    """What the given orders say of every status."""
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy("o_orderstatus").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("o_totalprice").alias("price"),
+        F.max(F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice"))).alias("top"),
+    ).withColumn("many", F.col("n") > 100)
+
+
+def test_every_form(orders):
+    got = texts(published.lines(
+        orders, "status:{o_orderstatus}", "| {o_orderstatus} | {n:,} | {price:.2f} | {top:.1f|none} | {many:many/few} |"
+    ))
+    rows = orders.collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        top = "none" if r["top"] is None else f"{r['top']:.1f}"
+        many = "many" if r["many"] else "few"
+        assert got[f"status:{r['o_orderstatus']}"] == f"| {r['o_orderstatus']} | {r['n']:,} | {r['price']:.2f} | {top} | {many} |"
+
+
+def test_words_and_plain_text(spark):
+    frame = spark.createDataFrame([(2,), (1234567,)], "n long")
+    assert set(texts(published.lines(frame, "{n}", "{n:word} rows")).values()) == {"two rows", "1,234,567 rows"}
+    assert texts(published.lines(frame.limit(1), "all", "no field"))["all"] == "no field"
+
+
+def test_a_gap_is_refused(orders):
+    with pytest.raises(Exception, match="no value"):
+        published.lines(orders, "x:{o_orderstatus}", "{top:.1f}").collect()
+    with pytest.raises(Refused):
+        published.cell(F.col("n"), "roman")
+
+
+def test_ratio(orders):
+    row = published.ratio(orders, "o_orderstatus", "n", "F", "O").first()
+    n = {r["o_orderstatus"]: r["n"] for r in orders.collect()}
+    assert row["times"] == pytest.approx(n["F"] / n["O"])
+
+
+def test_an_altered_figure_is_missed(spark, orders):
+    facts = published.lines(orders, "status:{o_orderstatus}", "| status {o_orderstatus} | {n:,} orders at {price:.2f} |")
     right = "\n".join(r["text"] for r in facts.orderBy("tag").collect())
-    for body, missing in ((right, 0), (right.replace("10,002", "10,003"), 1)):
+    price = f"{orders.first()['price']:.2f}"
+    for body, missing in ((right, 0), (right.replace(price, "0.01"), 1)):
         document = spark.createDataFrame([(1, "# Results\n\n" + body + "\n")], "id int, body string")
         checked = evidence.find_claims(facts, document, "id", "body")
-        assert evidence.require_claims(checked, 4).first()["missing"] == missing
+        assert evidence.require_claims(checked, orders.count()).first()["missing"] == missing

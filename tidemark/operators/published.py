@@ -1,126 +1,62 @@
-"""The published tables of the five experiments, derived from their results.
+"""Published lines as templates: which columns, in which form, and what stands for NULL.
 
-Each function takes result rows and returns (tag, text) facts, one per published
-row. Nothing is typed in: what a result does not say is printed as such.
+A template is text with fields, `{column}` or `{column:form|absent}`. Forms: none (as it
+is), `,` (thousands), `.2f` (decimals), `word` (small numbers in words), `yes/no` (either
+word for a boolean). `absent` is what a NULL prints as; without it a NULL field makes the
+whole line NULL, and a line that is NULL is refused rather than printed with a gap.
 """
 
 from __future__ import annotations
 
+import re
+from string import Formatter
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions import duration_ms, number_word, thousands, zero_event_bound
-from tidemark.operators.audit import rows_lost
-from tidemark.operators.evidence import facts, table_row
-
-
-def _code(column: Column) -> Column:
-    return F.concat(F.lit("`"), column, F.lit("`"))
-
-
-def _verdict(held: Column) -> Column:
-    return F.when(held, "held").otherwise("REFUTED")
-
-
-def _or(value: Column, absent: str) -> Column:
-    return F.coalesce(thousands(value), F.lit(absent))
-
-
-def restart_rows(configurations: DataFrame, key: str = "npi") -> DataFrame:
-    """One row per (delivery mode, write mode): what landed, and the verdict."""
-    mode = F.lower(F.translate("mode", "_", "-"))
-    write = F.when(F.col("upsert"), F.lit(f"upsert on {key}")).otherwise("append")
-    label = F.concat(_code(mode), F.lit(" + "), write)
-    return facts(configurations, F.concat(F.lit("restart:"), label), table_row(
-        label, thousands(F.col("rows")), thousands(F.col("duplicate_seq_rows")),
-        thousands(F.col("duplicate_key_rows")), F.col("delete_files"), F.col("prediction"),
-        _verdict(F.col("prediction_held")),
-    ))
-
-
-def offset_rows(steps: DataFrame) -> DataFrame:
-    """Committed offsets, rows and duplicates after each step; an uncounted step says so."""
-    return facts(steps, F.concat(F.lit("offsets:"), F.col("step")), table_row(
-        F.col("step"), thousands(F.col("committed_offsets")), thousands(F.col("rows")),
-        _or(F.col("duplicate_seq_rows"), "not measured"),
-    ))
-
-
-def timeline_rows(samples: DataFrame) -> DataFrame:
-    """One row per sample; a lag that was not read is not a 0."""
-    seconds = F.format_string("%.1f", F.col("seconds"))
-    return facts(samples, F.concat(F.lit("timeline:"), seconds), table_row(
-        seconds, F.col("checkpoint_id"), F.col("job_state"),
-        _or(F.col("consumer_lag"), "not read"), thousands(F.col("rows_visible")),
-    ))
-
-
-def interval_rows(runs: DataFrame, default_target: str = "default") -> DataFrame:
-    """Commit interval, target, files and freshness of each run."""
-    return facts(runs, F.concat(F.lit("interval:"), F.col("run_key")), table_row(
-        _code(F.col("interval")), F.coalesce(F.col("target").cast("string"), F.lit(default_target)),
-        F.col("commits"), F.col("data_files"), F.format_string("%.1f", F.col("files_per_commit")),
-        thousands(F.col("avg_data_file_bytes")), F.format_string("%.1f s", F.col("seconds_to_visible")),
-    ))
-
-
-def maintenance_rows(measured: DataFrame) -> DataFrame:
-    """Each procedure: what it had to work with, and what was left of the table."""
-    once = F.col("rows") - F.col("duplicate_rows")
-    lost = rows_lost(F.col("rows_expected"), once, clamp=False)
-    whole = F.concat(thousands(F.col("rows")), F.lit(" of "), thousands(F.col("rows_expected")))
-    return facts(measured, F.concat(F.lit("maintenance:"), F.col("procedure")), table_row(
-        _code(F.col("procedure")), F.col("worked_on"), F.col("job_state"), whole,
-        thousands(F.col("duplicate_rows")), thousands(lost),
-    ))
-
-
-def transaction_rows(runs: DataFrame) -> DataFrame:
-    """Timeout against interval: written, readable, never visible."""
-    never = F.col("events_in") - F.col("records_readable")
-    return facts(runs, F.concat(F.lit("transactions:"), F.col("run_key")), table_row(
-        F.concat(thousands(F.col("timeout_ms")), F.lit(" ms")), F.col("interval"), F.col("job_state"),
-        thousands(F.col("records_written")), thousands(F.col("records_readable")), thousands(never),
-    ))
-
-
-def null_result_sentence(runs: DataFrame, trials: str, confidence: float = 0.95) -> DataFrame:
-    """What so many failures without a duplicate support, and what they do not."""
-    fewest = runs.agg(F.min(trials).alias("n"), F.max("duplicate_seq_rows").alias("worst"), F.max("rows").alias("rows"))
-    bound = F.format_string("%.2f", zero_event_bound(F.col("n"), confidence))
-    return facts(fewest, F.lit("restart:bound"), F.concat(
-        number_word(F.col("n")), F.when(F.col("n") == 1, " kill").otherwise(" kills"), F.lit(" producing "),
-        number_word(F.col("worst")), F.lit(" duplicates puts the one-sided "),
-        F.lit(f"{confidence:.0%}"), F.lit(" bound at about "), bound,
-        F.lit("; a single repeat is "), F.format_string("%.3f%%", 100.0 / F.col("rows")), F.lit(" of the rows"),
-    ))
-
-
-def freeze_sentence(bounds: DataFrame, window: DataFrame, by: str) -> DataFrame:
-    """The freeze as the interval it was seen to end in, and the lump after it."""
-    seen = bounds.join(window, by)
-    text = F.format_string(
-        "frozen at %s rows until somewhere in [%.1f, %.1f], then %s rows at once",
-        thousands(F.col("rows_while_frozen")[0]), F.col("last_frozen"), F.col("first_clear"),
-        thousands(F.col("rows_in_one_lump")),
-    )
-    return facts(seen.where(F.col("first_clear").isNotNull() & F.col("last_frozen").isNotNull()),
-                 F.concat(F.lit("freeze:"), F.col(by)), text)
-
-
-def factor_sentence(runs: DataFrame, column: str, low: str, high: str) -> DataFrame:
-    """How many times larger one run's figure is than another's."""
-    def of(key):
-        return F.max(F.when(F.col("run_key") == key, F.col(column)))
-
-    ratio = runs.agg((of(high) / of(low)).alias("r"))
-    return facts(ratio, F.lit(f"factor:{column}"), F.format_string("a factor of %.1f", F.col("r")))
-
-
-def margin_sentence(runs: DataFrame) -> DataFrame:
-    """The interval in whole multiples of the timeout."""
-    times = F.call_function("div", duration_ms(F.col("interval")), F.col("timeout_ms"))
-    return facts(
-        runs.where(times >= 1), F.concat(F.lit("margin:"), F.col("run_key")),
-        F.concat(F.lit("the margin is "), times.cast("string"), F.lit(" to one")),
-    )
+from tidemark.errors import Refused
+from tidemark.functions import number_word, thousands
+from tidemark.operators.evidence import facts
+
+
+def cell(column: Column, form: str = "") -> Column:
+    """One value in its published form; NULL stays NULL."""
+    if form == "":
+        return column.cast("string")
+    if form == ",":
+        return thousands(column)
+    if form == "word":
+        return number_word(column)
+    if re.fullmatch(r"\.\d+f", form):
+        return F.when(column.isNotNull(), F.format_string(f"%{form}", column.cast("double")))
+    if "/" in form:
+        yes, no = form.split("/", 1)
+        return F.when(column, yes).when(~column, no)
+    raise Refused(f"unknown form {form!r}")
+
+
+def rendered(template: str) -> Column:
+    """A template as one string column."""
+    parts = []
+    for text, name, spec, _ in Formatter().parse(template):
+        if text:
+            parts.append(F.lit(text))
+        if name is not None:
+            form, bar, absent = (spec or "").partition("|")
+            value = cell(F.col(name), form)
+            parts.append(F.coalesce(value, F.lit(absent)) if bar else value)
+    return F.concat(*parts) if parts else F.lit("")
+
+
+def lines(results: DataFrame, tag: str, template: str) -> DataFrame:
+    """One fact (tag, text) per result row, both from templates."""
+    gap = F.raise_error(F.concat(F.lit(f"a field of {tag!r} has no value and no word for that: "), F.to_json(F.struct("*"))))
+    return facts(results, rendered(tag), F.coalesce(rendered(template), gap.cast("string")))
+
+
+def ratio(results: DataFrame, key: str, column: str, of: str, to: str) -> DataFrame:
+    """One row: how many times the figure of one result is that of another."""
+    def figure(which):
+        return F.max(F.when(F.col(key) == which, F.col(column)))
+
+    return results.agg((figure(of) / figure(to)).alias("times"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.functions import number_word, squash_whitespace, thousands, zero_event_bound
+from tidemark.functions import duration_ms, number_word, squash_whitespace, thousands, zero_event_bound
 from tidemark.operators import audit, compare, evidence, isolation, lines, published, samples
 from tidemark.plans.commit_plans import INTERVAL_SQL, interval_runs
 from tidemark.plans.registry import Registry
@@ -128,7 +128,7 @@ def zero_event_bound_plan(spark, sf_dir):
    p AS (SELECT 'total:rows' AS tag, 'a feed of ' || format('{{:,}}', CAST(sum(rows) AS BIGINT)) || ' events in '
        || CASE count(*) WHEN 0 THEN 'zero' WHEN 1 THEN 'one' WHEN 2 THEN 'two' WHEN 3 THEN 'three' WHEN 4 THEN 'four' WHEN 5 THEN 'five'
           ELSE format('{{:,}}', count(*)) END || ' runs' AS text FROM runs),
-   q AS (SELECT 'factor:data_bytes' AS tag, 'a factor of ' || format('{{:.1f}}', max(data_bytes) FILTER (run_key = 'view') / max(data_bytes) FILTER (run_key = 'click')) AS text FROM runs)
+   q AS (SELECT 'factor:data_bytes' AS tag, 'view wrote ' || format('{{:.1f}}', max(data_bytes) FILTER (run_key = 'view') / max(data_bytes) FILTER (run_key = 'click')) || ' times the bytes of click' AS text FROM runs)
    SELECT * FROM r UNION ALL SELECT * FROM p UNION ALL SELECT * FROM q""",
 )
 def published_runs(spark, sf_dir):
@@ -147,7 +147,10 @@ def published_runs(spark, sf_dir):
         F.lit("a feed of "), thousands(F.col("rows")), F.lit(" events in "),
         number_word(F.col("n")), F.lit(" runs"),
     ))
-    factor = published.factor_sentence(runs, "data_bytes", "click", "view")
+    factor = published.lines(
+        published.ratio(runs, "run_key", "data_bytes", of="view", to="click"),
+        "factor:data_bytes", "view wrote {times:.1f} times the bytes of click",
+    )
     return evidence.union_facts([rows, total, factor])
 
 
@@ -157,50 +160,65 @@ def published_runs(spark, sf_dir):
      min(seconds) FILTER (checkpoint_id > 11) AS first_clear, min(rows_visible) FILTER (checkpoint_id <= 11) AS frozen_rows,
      max_by(rows_visible, seconds) - min(rows_visible) FILTER (checkpoint_id <= 11) AS lump FROM samples GROUP BY run)
    SELECT 'timeline:' || format('{{:.1f}}', seconds) AS tag, '| ' || format('{{:.1f}}', seconds) || ' | ' || checkpoint_id || ' | ' || job_state
-     || ' | ' || coalesce(format('{{:,}}', consumer_lag), 'not read') || ' | ' || format('{{:,}}', rows_visible) || ' |' AS text FROM samples
-   UNION ALL SELECT 'freeze:' || run, 'frozen at ' || format('{{:,}}', frozen_rows) || ' rows until somewhere in ['
-     || format('{{:.1f}}', last_frozen) || ', ' || format('{{:.1f}}', first_clear) || '], then ' || format('{{:,}}', lump) || ' rows at once'
+     || ' | ' || coalesce(format('{{:,}}', consumer_lag), 'unknown') || ' | ' || format('{{:,}}', rows_visible) || ' |' AS text FROM samples
+   UNION ALL SELECT 'freeze:' || run, 'no row beyond ' || format('{{:,}}', frozen_rows) || ' at ' || format('{{:.1f}}', last_frozen)
+     || ' s, and ' || format('{{:,}}', lump) || ' more by ' || format('{{:.1f}}', first_clear) || ' s'
    FROM b WHERE last_frozen IS NOT NULL AND first_clear IS NOT NULL""",
 )
 def published_timeline(spark, sf_dir):
     """Every sample as a published row, every freeze as a sentence."""
     seen = samples_by_hour(spark, sf_dir)
-    sentence = published.freeze_sentence(
-        samples.freeze_bounds(seen, ["run"]), samples.freeze_window(seen, ["run"]), "run"
+    ends = samples.freeze_bounds(seen, ["run"]).join(samples.freeze_window(seen, ["run"]), "run").withColumn(
+        "frozen_rows", F.col("rows_while_frozen")[0]
     )
-    return evidence.union_facts([published.timeline_rows(seen), sentence])
+    return evidence.union_facts([
+        published.lines(
+            seen, "timeline:{seconds:.1f}",
+            "| {seconds:.1f} | {checkpoint_id} | {job_state} | {consumer_lag:,|unknown} | {rows_visible:,} |",
+        ),
+        published.lines(
+            ends.where("last_frozen IS NOT NULL AND first_clear IS NOT NULL"), "freeze:{run}",
+            "no row beyond {frozen_rows:,} at {last_frozen:.1f} s, and {rows_in_one_lump:,} more by {first_clear:.1f} s",
+        ),
+    ])
 
 
 @REGISTRY.add(
     "published_intervals",
-    f"""WITH {INTERVAL_SQL} SELECT 'interval:' || interval_seconds AS tag, '| `' || interval_seconds || 's` | default | ' || commits || ' | '
+    f"""WITH {INTERVAL_SQL} SELECT 'interval:' || interval_seconds AS tag, '| ' || interval_seconds || ' s | ' || commits || ' | '
    || data_files || ' | ' || format('{{:.1f}}', files_per_commit) || ' | ' || format('{{:,}}', avg_data_file_bytes) || ' | '
    || format('{{:.1f}}', seconds_to_visible) || ' s |' AS text FROM layout""",
 )
 def published_intervals(spark, sf_dir):
-    runs = interval_runs(spark, sf_dir).select(
-        "*", F.col("interval_seconds").cast("string").alias("run_key"),
-        F.concat(F.col("interval_seconds").cast("string"), F.lit("s")).alias("interval"),
-        F.lit(None).cast("string").alias("target"),
+    return published.lines(
+        interval_runs(spark, sf_dir), "interval:{interval_seconds}",
+        "| {interval_seconds} s | {commits} | {data_files} | {files_per_commit:.1f} | {avg_data_file_bytes:,} | {seconds_to_visible:.1f} s |",
     )
-    return published.interval_rows(runs)
 
 
 @REGISTRY.add(
     "published_transactions",
     f"""WITH {TIMEOUT_SQL}, r AS (SELECT run_key, timeout_ms, CAST(sum(n) AS BIGINT) AS written,
      CAST(coalesce(sum(n) FILTER (state = 'CompleteCommit'), 0) AS BIGINT) AS readable FROM timed GROUP BY ALL)
-   SELECT 'transactions:' || run_key AS tag, '| ' || format('{{:,}}', timeout_ms) || ' ms | 2880h | RUNNING | ' || format('{{:,}}', written)
+   SELECT 'transactions:' || run_key AS tag, '| ' || format('{{:,}}', timeout_ms) || ' ms | ' || format('{{:,}}', written)
      || ' | ' || format('{{:,}}', readable) || ' | ' || format('{{:,}}', written - readable) || ' |' AS text FROM r
-   UNION ALL SELECT 'margin:' || run_key, 'the margin is ' || (10368000000 // timeout_ms) || ' to one' FROM r WHERE 10368000000 >= timeout_ms""",
+   UNION ALL SELECT 'margin:' || run_key, (10368000000 // timeout_ms) || ' whole timeouts in 2880h' FROM r WHERE 10368000000 >= timeout_ms""",
 )
 def published_transactions(spark, sf_dir):
     """Written, readable and never visible under either timeout."""
     readable = F.sum(F.when(F.col("state") == isolation.COMMITTED, F.col("n")).otherwise(0))
     runs = timed_transactions(spark, sf_dir).groupBy("run_key", "timeout_ms").agg(
-        F.sum("n").alias("events_in"), F.sum("n").alias("records_written"), readable.alias("records_readable")
-    ).withColumn("interval", F.lit("2880h")).withColumn("job_state", F.lit("RUNNING"))
-    return evidence.union_facts([published.transaction_rows(runs), published.margin_sentence(runs)])
+        F.sum("n").alias("written"), readable.alias("readable")
+    ).withColumn("unseen", F.col("written") - F.col("readable"))
+    times = F.call_function("div", duration_ms(F.lit("2880h")), F.col("timeout_ms"))
+    return evidence.union_facts([
+        published.lines(
+            runs, "transactions:{run_key}", "| {timeout_ms:,} ms | {written:,} | {readable:,} | {unseen:,} |"
+        ),
+        published.lines(
+            runs.withColumn("times", times).where("times >= 1"), "margin:{run_key}", "{times} whole timeouts in 2880h"
+        ),
+    ])
 
 
 @REGISTRY.add(
@@ -209,11 +227,11 @@ def published_transactions(spark, sf_dir):
      UNION ALL SELECT event_id, user_id FROM events WHERE event_type = 'signup'),
    c AS (SELECT 'at-least-once' AS mode, 'append' AS w, count(*) AS rows, count(*) - count(DISTINCT seq) AS ds, count(*) - count(DISTINCT key) AS dk,
        'duplicate rows' AS prediction, count(*) > count(DISTINCT seq) AS held FROM replayed
-     UNION ALL SELECT 'at-least-once', 'upsert on npi', count(DISTINCT key), 0, 0, 'no duplicates, idempotent by key', true FROM replayed
+     UNION ALL SELECT 'at-least-once', 'upsert on user_id', count(DISTINCT key), 0, 0, 'no duplicates, idempotent by key', true FROM replayed
      UNION ALL SELECT 'exactly-once', 'append', count(*), count(*) - count(DISTINCT event_id), count(*) - count(DISTINCT user_id), 'no duplicates', count(*) = count(DISTINCT event_id) FROM events
-     UNION ALL SELECT 'exactly-once', 'upsert on npi', count(DISTINCT user_id), 0, 0, 'no duplicates', true FROM events)
-   SELECT 'restart:`' || mode || '` + ' || w AS tag, '| `' || mode || '` + ' || w || ' | ' || format('{:,}', rows) || ' | ' || format('{:,}', ds) || ' | '
-     || format('{:,}', dk) || ' | 0 | ' || prediction || ' | ' || CASE WHEN held THEN 'held' ELSE 'REFUTED' END || ' |' AS text FROM c""",
+     UNION ALL SELECT 'exactly-once', 'upsert on user_id', count(DISTINCT user_id), 0, 0, 'no duplicates', true FROM events)
+   SELECT 'restart:' || mode || ':' || w AS tag, '| ' || mode || ' | ' || w || ' | ' || format('{:,}', rows) || ' | ' || format('{:,}', ds) || ' | '
+     || format('{:,}', dk) || ' | ' || prediction || ' | ' || CASE WHEN held THEN 'as predicted' ELSE 'not as predicted' END || ' |' AS text FROM c""",
 )
 def published_restarts(spark, sf_dir):
     """Four configurations of one feed, the unguarded ones with a replay in it."""
@@ -224,18 +242,22 @@ def published_restarts(spark, sf_dir):
         held = audit.latest_per_key(table, "key", "seq") if upsert else table
         counts = audit.side_by_side(audit.seq_counts(held), audit.key_counts(held, "key").drop("rows"))
         return counts.select(
-            F.lit(mode).alias("mode"), F.lit(upsert).alias("upsert"), F.lit(prediction).alias("prediction"),
+            F.lit(mode).alias("mode"), F.lit(prediction).alias("prediction"),
+            F.lit(upsert).alias("upsert"), F.lit("upsert on user_id" if upsert else "append").alias("write"),
             F.lit(prediction == "duplicate rows").alias("predicts_duplicates"),
-            "rows", "duplicate_seq_rows", "duplicate_key_rows", F.lit(0).alias("delete_files"),
+            "rows", "duplicate_seq_rows", "duplicate_key_rows",
         )
 
     runs = evidence.union_facts([
-        landed(twice, "AT_LEAST_ONCE", False, "duplicate rows"),
-        landed(twice, "AT_LEAST_ONCE", True, "no duplicates, idempotent by key"),
-        landed(rows, "EXACTLY_ONCE", False, "no duplicates"),
-        landed(rows, "EXACTLY_ONCE", True, "no duplicates"),
+        landed(twice, "at-least-once", False, "duplicate rows"),
+        landed(twice, "at-least-once", True, "no duplicates, idempotent by key"),
+        landed(rows, "exactly-once", False, "no duplicates"),
+        landed(rows, "exactly-once", True, "no duplicates"),
     ])
-    return published.restart_rows(audit.prediction_verdict(runs))
+    return published.lines(
+        audit.prediction_verdict(runs), "restart:{mode}:{write}",
+        "| {mode} | {write} | {rows:,} | {duplicate_seq_rows:,} | {duplicate_key_rows:,} | {prediction} | {prediction_held:as predicted/not as predicted} |",
+    )
 
 
 @REGISTRY.add(
