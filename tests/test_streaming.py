@@ -237,7 +237,7 @@ def test_two_commits_never_share_a_number(job):
     job.land(20)
     job.run()
     table = job.table
-    first = table._next_id()
+    first = table.next_id()
     assert table.fs.publish_text(f"{table.root}/ledger/{first:020d}.json", "") is True
     assert table.fs.publish_text(f"{table.root}/ledger/{first:020d}.json", "") is False
     batch = StagedBatch("other", 7, "data/other/none", 0, None, None, "f")
@@ -249,14 +249,77 @@ def test_two_queries_of_one_lineage_are_refused(job):
     job.run()
     lineage = lineage_of(job.spark, f"{job.work}/checkpoint")
     sink = job.spec().sink()
-    sink._watermarks[lineage] = 0
+    assert sink._watermark(lineage) == 0
     # somebody else commits batch 1 between the look and the publication
     job.table.commit([StagedBatch(lineage, 1, "data/x", 0, None, None, "f")])
-    job.table._next_id = lambda: 1
     with pytest.raises(Refused, match="two queries"):
         sink._publish([StagedBatch(lineage, 1, "data/y", 5, 1, 5, "g")], 1, lineage, guarded=True)
 
 
+def test_a_commit_between_check_and_publication_takes_the_number(job):
+    job.land(20)
+    job.run()
+    lineage = lineage_of(job.spark, f"{job.work}/checkpoint")
+    first, second = job.spec().sink(), job.spec().sink()
+    publish, asked = job.table.fs.publish_text, []
+
+    def late(path, text):
+        if not asked:  # the other sink is checked and published in between
+            asked.append(path)
+            second._publish([StagedBatch(lineage, 1, "data/x", 5, 1, 5, "f")], 1, lineage, guarded=True)
+        return publish(path, text)
+
+    job.table.fs.publish_text = late
+    try:
+        with pytest.raises(Refused, match="two queries"):
+            first._publish([StagedBatch(lineage, 1, "data/y", 5, 1, 5, "f")], 1, lineage, guarded=True)
+    finally:
+        del job.table.fs.publish_text
+    assert job.table.live_paths().where("path = 'data/y'").isEmpty()
+
+
+def test_two_sinks_on_one_lineage_land_a_batch_once(job):
+    """A driver thought dead and its successor: the second finds the batch committed."""
+    def batch(lo, hi):
+        return feed.generate_feed(job.spark, hi).where(F.col("seq").between(lo, hi))
+
+    job.land(1)
+    dead, successor = job.spec().sink(), job.spec().sink()
+    assert dead._take(batch(1, 100), 0, "one")[0] == "committed"
+    assert successor._take(batch(1, 100), 0, "one")[0] == "suppressed"
+    assert dead._take(batch(101, 200), 1, "one")[0] == "committed"
+    assert successor._take(batch(101, 200), 1, "one")[0] == "suppressed"
+    rows = job.table.read()
+    assert (rows.count(), rows.select("seq").distinct().count()) == (200, 200)
+
+
+def test_dedupe_lands_a_number_once_whatever_it_overlaps(job):
+    job.land(1)
+    sink = job.spec(policy="dedupe").sink()
+    rows = feed.generate_feed(job.spark, 20)
+    ten, more = rows.where("seq <= 10"), rows.where("seq > 5")
+    assert sink._take(ten.union(ten), 0, "one")[0] == "committed"
+    assert sink._take(more.union(more), 1, "one")[0] == "committed"
+    assert sorted(r.seq for r in job.table.read().select("seq").collect()) == list(range(1, 21))
+
+
+def test_the_watermark_costs_the_new_commits_only(job):
+    """Ten thousand commits on, a check still reads the one file that is new."""
+    job.land(1)
+    table, sink = job.table, job.spec().sink()
+    sink._watermarks["one"] = (10_000, 9_999)
+    table.commit([StagedBatch("one", 1, "data/a", 0, None, None, "f")])
+    read, texts = table.fs.read_text, []
+    table.fs.read_text = lambda path: texts.append(path) or read(path)
+    name = f"{table.root}/ledger/{10_000:020d}.json"
+    table.fs.write_text(name, read(f"{table.root}/ledger/{0:020d}.json").replace('"batch_id": 1', '"batch_id": 10000'))
+    try:
+        assert sink._watermark("one", 10_001) == 10_000
+    finally:
+        del table.fs.read_text
+    assert texts == [name]
+
+
 def test_folding_keeps_rows_watermark_and_replay_memory(job):
     job.land(200, 4)
     job.run()
@@ -297,6 +360,47 @@ def test_orphans_are_found_and_held_and_young_files_are_not(job):
     assert maintenance.readable(table)["rows"] == 1700
 
 
+def test_orphans_of_a_table_below_a_folder_named_data(spark, work):
+    root = f"{work}/data/tables/t"
+    rows = feed.generate_feed(spark, 100)
+    table = LedgerTable(spark, root, rows.schema)
+    sink = IngestSpec("t", rows, table, f"{work}/c").sink()
+    for i in range(4):
+        assert sink._take(rows.where(F.col("seq") % 4 == i), i, "one")[0] == "committed"
+    assert maintenance.table_orphans(table, NOW).count() == 0
+    assert maintenance.remove_orphan_files(table, NOW, NOW, dry_run=False) == 0
+    live = table.live_paths().first()["path"]
+    left = [f"{root}/data/one/000000000009-x/_temporary/0/_temporary/a/part-0", f"{root}/{live}/_temporary/0/part-1",
+            f"{root}/data/one/000000000008-y/part-0.parquet", f"{root}/ledger/.base-abc/part-0.json", f"{root}/ledger/.00000000000000000007.json.ab"]
+    for path in left:
+        table.fs.mkdirs(path.rsplit("/", 1)[0])
+        table.fs.write_text(path, "left over")
+    found = {r.path.split("/t/")[1] for r in maintenance.table_orphans(table, NOW).collect()}
+    assert found == {p.split("/t/")[1] for p in left}
+    assert maintenance.remove_orphan_files(table, timedelta(hours=1), NOW, dry_run=False) == 0
+    assert maintenance.remove_orphan_files(table, NOW, NOW, dry_run=False) == len(left)
+    assert maintenance.table_orphans(table, NOW).count() == 0
+    assert not any(table.fs.exists(p) for p in left)
+    assert maintenance.readable(table)["rows"] == 100
+
+
+def test_orphans_are_refused_where_a_live_folder_is_not_listed(job):
+    job.land(100, 2)
+    job.run()
+    job.table.fs.delete(f"{job.table.root}/{job.table.live_paths().first()['path']}")
+    with pytest.raises(Refused, match="not listed"):
+        maintenance.table_orphans(job.table, NOW)
+
+
+@pytest.mark.parametrize("parts", [1, 4, 8])
+def test_writers_write_as_many_files_whatever_the_input(job, parts):
+    job.land(1)
+    rows = feed.generate_feed(job.spark, 1000).repartition(parts)
+    sink = job.spec(writers=2).sink()
+    sink._take(rows, 0, "one")
+    assert job.table.files().count() == 2
+
+
 def test_a_removed_file_shows_when_the_table_is_read(job):
     job.land(100, 2)
     job.run()

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import time
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,10 +79,16 @@ class OffsetStore:
 
 
 def from_position(offsets: dict[int, int]) -> Column:
-    """Keep the records at or after a starting position; unnamed partitions from 0."""
+    """Keep the records at or after a starting position; unnamed partitions from 0.
+
+    Plain comparisons of `partition` and `offset`, so that the scan skips row
+    groups below the position. A position without any offset is refused: a
+    group that never committed has none, and reading all is another request.
+    """
     if not offsets:
-        return F.lit(True)
-    start = F.create_map(*[F.lit(int(x)) for kv in sorted(offsets.items()) for x in kv])
-    return F.col("offset") >= F.coalesce(
-        F.try_element_at(start, F.col("partition")), F.lit(0)
-    ).cast("long")
+        raise Refused("no committed offsets to start from")
+    unnamed = ~F.col("partition").isin(sorted(offsets))
+    return reduce(or_, [
+        (F.col("partition") == int(p)) & (F.col("offset") >= F.lit(int(o)).cast("long"))
+        for p, o in sorted(offsets.items())
+    ], unnamed)

@@ -175,6 +175,21 @@ class LedgerTable:
         batches = self.entries().where((F.col("kind") == "batch") & (F.col("lineage") == lineage))
         return batches.agg(F.max("batch_id")).first()[0]
 
+    def watermark_before(self, lineage: str, commit_id: int, known: tuple[int, int | None]) -> int | None:
+        """Watermark of a lineage over all commits below `commit_id`, from one over
+        the commits below `known[0]`: only the files in between are read, however
+        long the ledger is. Files a fold has taken meanwhile are asked of the base."""
+        first, watermark = known
+        for number in range(first, commit_id):
+            path = f"{self.root}/ledger/{number:020d}.json"
+            if not self.fs.exists(path):
+                return self.watermark(lineage)
+            for line in self.fs.read_text(path).splitlines():
+                entry = json.loads(line)
+                if entry["kind"] == "batch" and entry["lineage"] == lineage:
+                    watermark = max(entry["batch_id"], -1 if watermark is None else watermark)
+        return watermark
+
     def fingerprints(self, lineage: str, first: int, last: int) -> set[tuple[int, str]]:
         """(batch id, fingerprint) of the committed batches first..last of a lineage."""
         known = self.entries().where(
@@ -186,7 +201,7 @@ class LedgerTable:
 
     # -- writing -----------------------------------------------------------
 
-    def _next_id(self) -> int:
+    def next_id(self) -> int:
         names = self.fs.names(f"{self.root}/ledger")
         return max((_number(n) for n in names if not n.startswith(".")), default=-1) + 1
 
@@ -198,8 +213,12 @@ class LedgerTable:
         recheck=None,
         extra: dict[str, str] | None = None,
     ) -> int:
-        """Publish one snapshot. Another writer may win the number; then the
-        commit is rechecked against the ledger and tried under the next one."""
+        """Publish one snapshot.
+
+        The number is taken first and the check reads the ledger after that, so
+        whatever is committed between the check and the rename has taken the
+        number: the rename fails, and number and check are made again.
+        """
         newest = max(batches, key=lambda b: b.batch_id)
         summary = {
             "added-data-files": str(sum(b.files for b in batches)),
@@ -209,8 +228,10 @@ class LedgerTable:
             "lineage": newest.lineage,
             **(extra or {}),
         }
-        commit_id = self._next_id()
         while True:
+            commit_id = self.next_id()
+            if recheck is not None:
+                recheck(commit_id)
             stamp = datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%S.%fZ")
             head = {"commit_id": commit_id, "committed_at": stamp, "operation": operation}
             lines = [{**head, "kind": "commit", "lineage": newest.lineage,
@@ -226,9 +247,6 @@ class LedgerTable:
             text = "\n".join(json.dumps(line) for line in lines) + "\n"
             if self.fs.publish_text(f"{self.root}/ledger/{commit_id:020d}.json", text):
                 return commit_id
-            if recheck is not None:
-                recheck()
-            commit_id = max(commit_id + 1, self._next_id())
 
     def new_path(self, lineage: str, batch_id: int) -> str:
         return f"data/{lineage}/{batch_id:012d}-{uuid.uuid4().hex[:12]}"

@@ -10,9 +10,8 @@ from pyspark.sql import functions as F
 
 from tidemark.errors import Refused
 from tidemark.functions import basename, row_hash
-from tidemark.sources.listing import objects_under
+from tidemark.sources.listing import hidden_under, objects_under
 from tidemark.streaming.ledger import LedgerTable
-from tidemark.workspace import Files
 
 # Default guards: nothing younger is expired or removed unless asked for.
 MIN_RETENTION = timedelta(days=7)
@@ -48,25 +47,49 @@ def orphans(objects: DataFrame, files: DataFrame, cutoff, protected: list[str] =
     return data.withColumn("base", basename(F.col("path"))).join(named, "base", "left_anti").drop("base")
 
 
+def _placed(table: LedgerTable) -> DataFrame:
+    """Every object of a table, hidden ones too, with its place below the table's root."""
+    root = table.fs.qualified(table.root)
+    objects = objects_under(table.spark, table.root).unionByName(hidden_under(table.spark, root, 3))
+    return objects.withColumn("place", F.when(
+        F.startswith("path", F.lit(f"{root}/")), F.substring("path", len(root) + 2, 1 << 20)))
+
+
 def table_orphans(table: LedgerTable, older_than: timedelta) -> DataFrame:
     """Unreferenced objects of a table that no held batch and no writer may need.
 
-    Unlike an upload in progress, a Spark task's output is an object before it
-    is committed. Held batches are always left alone; a batch being written is
-    told by its age, so the guard must outlast a batch.
+    An object is told by its place below the qualified root, never by a folder
+    name anywhere in its path. What no snapshot refers to: data folders without
+    a commit, what killed tasks left hidden in any folder, staged ledger files
+    never renamed. Unlike an upload in progress, a Spark task's output is an
+    object before it is committed: held batches are always left alone, and a
+    batch being written is told by its age, so the guard must outlast a batch.
+
+    Refused where the listing and the ledger cannot be of one table: an object
+    that is not below the root, or a live folder that was not listed.
     """
-    lineages = Files(table.spark).names(f"{table.root}/held")
+    lineages = table.fs.names(f"{table.root}/held")
     held = [b.path for lineage in lineages for b in table.held(lineage)]
     cutoff = datetime.now(timezone.utc) - older_than
-    paths = table.live_paths().select(F.col("path"))
-    objects = objects_under(table.spark, table.root).where(F.col("path").contains("/data/"))
-    folder = F.regexp_extract("path", r"/(data/[^/]+/[^/]+)/", 1)
-    loose = objects.withColumn("__dir", folder).join(
-        paths.select(F.col("path").alias("__dir")), "__dir", "left_anti"
-    ).drop("__dir").where(F.col("modified_at") < F.lit(cutoff))
-    for prefix in held:
-        loose = loose.where(~F.contains("path", F.lit(f"/{prefix}/")))
-    return loose
+    placed = _placed(table).withColumn("folder", F.regexp_extract("place", r"^(data/[^/]+/[^/]+)/", 1))
+    live = table.live_paths().where("rows > 0").select(F.col("path").alias("folder")).distinct()
+    seen = placed.groupBy("folder").agg(F.count_if(F.col("place").isNull()).alias("strange"), F.lit(1).alias("listed"))
+    both = seen.join(live.withColumn("live", F.lit(1)), "folder", "full_outer").agg(
+        F.coalesce(F.sum("strange"), F.lit(0)).alias("strange"), F.count_if(F.expr("live IS NOT NULL AND listed IS NULL")).alias("unlisted")).first()
+    if both["strange"]:
+        raise Refused(f"{both['strange']} listed objects are not below {table.root}")
+    if both["unlisted"]:
+        raise Refused(f"{both['unlisted']} live folders of {table.root} were not listed; the listing is wrong")
+    hidden = F.col("place").rlike(r"(^|/)[_.][^/]*(/|$)")
+    marker = F.col("place").rlike(r"/[._]*_SUCCESS[^/]*$")
+    kept = live.withColumn("in_use", F.lit(True))
+    loose = placed.join(kept, "folder", "left").where(
+        ((F.col("folder") != "") & F.col("in_use").isNull())
+        | (hidden & ~marker & F.col("place").rlike("^(data|ledger)/"))
+    ).where(F.col("modified_at") < F.lit(cutoff))
+    for path in held:
+        loose = loose.where(F.col("folder") != path)
+    return loose.select("path", "length", "modified_at")
 
 
 def remove_orphan_files(
@@ -75,18 +98,32 @@ def remove_orphan_files(
 ) -> int:
     """Remove unreferenced objects; by default only say how many (I16).
 
-    Paths are walked one partition at a time, so the list is never whole in
-    the driver.
+    A folder that holds nothing else goes with one call; so the driver sees one
+    row per abandoned batch, and single objects only in folders still in use.
     """
     if older_than < min_retention:
         raise Refused(f"retention {older_than} is below the minimum of {min_retention}")
     loose = table_orphans(table, older_than).select("path")
     if dry_run:
         return loose.count()
-    removed = 0
-    for row in loose.toLocalIterator():
+    loose = loose.cache()
+    root = table.fs.qualified(table.root)
+    place = F.substring("path", len(root) + 2, 1 << 20)
+    folder = F.regexp_extract(place, r"^(data/[^/]+/[^/]+)/", 1)
+    mine = loose.groupBy(folder.alias("folder")).agg(F.count(F.lit(1)).alias("n"))
+    all_of = _placed(table).groupBy(F.regexp_extract("place", r"^(data/[^/]+/[^/]+)/", 1).alias("folder")).agg(
+        F.count(F.lit(1)).alias("of"))
+    empty = mine.join(all_of, "folder").where("folder <> '' AND n >= of").select("folder", "n")
+    removed, gone = 0, empty.collect()  # one row per abandoned batch
+    for row in gone:
+        table.fs.delete(f"{table.root}/{row['folder']}")
+        removed += row["n"]
+    whole = table.spark.createDataFrame([(r["folder"],) for r in gone], "folder string")
+    single = loose.withColumn("folder", folder).join(whole, "folder", "left_anti")
+    for row in single.toLocalIterator():
         table.fs.delete(row["path"])
         removed += 1
+    loose.unpersist()
     return removed
 
 

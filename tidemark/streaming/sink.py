@@ -101,7 +101,7 @@ class LedgerSink:
         else:
             values = batch.agg(*fingerprint_columns(batch, self.seq)).first().asDict()
             seen, rows = fingerprint_text(values), values["rows"]
-        if (batch_id, seen) in self._known_fingerprints(lineage, batch_id):
+        if (batch_id, seen) in self._known_fingerprints(lineage, batch_id, watermark):
             if keeps:
                 self.table.fs.delete(f"{self.table.root}/{staged.path}")
             return "suppressed", rows
@@ -115,10 +115,11 @@ class LedgerSink:
         self.table.hold(staged)
         return "held", rows
 
-    def _known_fingerprints(self, lineage: str, batch_id: int) -> set[tuple[int, str]]:
-        """Looked up for a stretch of batch ids at a time."""
+    def _known_fingerprints(self, lineage: str, batch_id: int, watermark: int) -> set[tuple[int, str]]:
+        """Looked up for a stretch of committed batch ids at a time; what is above
+        the watermark may still be committed and is not remembered."""
         if not self._known or not self._known[0] <= batch_id <= self._known[1]:
-            last = batch_id + LOOK_AHEAD
+            last = min(batch_id + LOOK_AHEAD, watermark)
             self._known = (batch_id, last, self.table.fingerprints(lineage, batch_id, last))
         return self._known[2]
 
@@ -126,10 +127,16 @@ class LedgerSink:
         if self.fault is not None:
             self.fault(point, batch_id)
 
-    def _watermark(self, lineage: str) -> int | None:
-        if lineage not in self._watermarks:
-            self._watermarks[lineage] = self.table.watermark(lineage)
-        return self._watermarks[lineage]
+    def _watermark(self, lineage: str, below: int | None = None) -> int | None:
+        """Watermark of a lineage over the commits below a number (the next one
+        by default); what an earlier call has read is not read again."""
+        below = self.table.next_id() if below is None else below
+        if lineage in self._watermarks:
+            now = self.table.watermark_before(lineage, below, self._watermarks[lineage])
+        else:
+            now = self.table.watermark(lineage) if below else None
+        self._watermarks[lineage] = (below, now)
+        return now
 
     def _stage(self, batch: DataFrame, batch_id: int, lineage: str) -> StagedBatch:
         return stage(
@@ -137,14 +144,13 @@ class LedgerSink:
         )
 
     def _publish(self, lump: list[StagedBatch], batch_id: int, lineage: str, guarded: bool) -> None:
-        def recheck():
-            now = self.table.watermark(lineage)
-            if guarded and now is not None and now >= batch_id:
+        def recheck(commit_id: int) -> None:
+            now = self._watermark(lineage, commit_id)
+            if now is not None and now >= batch_id:
                 raise Refused(f"lineage {lineage} is written by two queries at once")
 
         if any(b.rows for b in lump):
-            self.table.commit(lump, recheck=recheck)
-            self._watermarks[lineage] = max(batch_id, self._watermarks.get(lineage) or 0)
+            self.table.commit(lump, recheck=recheck if guarded else None)
         self._reached("committed", batch_id)
 
     def _uncommitted(self, held: list[StagedBatch], batch_id: int) -> list[StagedBatch]:
@@ -158,17 +164,19 @@ class LedgerSink:
 
     def _without_known(self, lump, batch_id: int, lineage: str) -> list[StagedBatch]:
         """The held batches and the new one, rewritten without sequence numbers
-        the table has. Only directories overlapping their range are read; an
-        ordered feed overlaps none and is not rewritten."""
+        the table has, each number once. Only directories overlapping their range
+        are read; a batch that overlaps none and repeats none is not rewritten,
+        which takes one pass over its numbers."""
         paths = [f"{self.table.root}/{b.path}" for b in lump if b.rows]
         if not paths:
             return lump
         low = min(b.min_seq for b in lump if b.rows)
         high = max(b.max_seq for b in lump if b.rows)
         overlap = (F.col("max_seq") >= low) & (F.col("min_seq") <= high)
-        if len(lump) == 1 and self.table.live_paths().where(overlap).isEmpty():
-            return lump
         rows = self.table.spark.read.schema(self.table.schema).parquet(*paths)
+        if len(lump) == 1 and self.table.live_paths().where(overlap).isEmpty():
+            if rows.select(self.seq).distinct().count() == lump[0].rows:
+                return lump
         known = self.table.read(low, high).where(F.col(self.seq).between(low, high)).select(self.seq)
         fresh = rows.dropDuplicates([self.seq]).join(known, self.seq, "left_anti")
         merged = self._stage(fresh.select(*self.table.schema.names), batch_id, lineage)
@@ -196,7 +204,8 @@ def stage(
     once however often tasks are retried.
     """
     path = table.new_path(lineage, batch_id)
-    out = batch if writers is None else batch.coalesce(writers)
+    # a shuffle, so that as many tasks write whatever the number of input files, and the scan stays wide
+    out = batch if writers is None else batch.repartition(writers)
     seen = Observation()
     out = out.observe(seen, *fingerprint_columns(batch, seq))
     writer = out.write
@@ -218,7 +227,7 @@ class UpsertSink(LedgerSink):
     Each batch is first reduced to its latest record per key, then appended as
     a delta; readers merge by key (`read_upsert`). A replayed or late record
     changes nothing, so any policy gives the same table. Deltas are folded into
-    one sorted base once they outweigh `compact_ratio` of it, which keeps the
+    one base once they outweigh `compact_ratio` of it, which keeps the
     total rewriting proportional to what was written.
     """
 

@@ -68,6 +68,23 @@ class Files:
             return []
         return [s.getPath().getName() for s in self._fs(path).listStatus(self._path(path))]
 
+    def qualified(self, path: str) -> str:
+        """The path as listings print it, with scheme and authority."""
+        return self._fs(path).makeQualified(self._path(path)).toString()
+
+    def glob(self, pattern: str) -> list[str]:
+        """Paths that match a pattern, hidden ones too; none where nothing does."""
+        found = self._fs(pattern).globStatus(self._path(pattern))
+        return [] if found is None else [s.getPath().toString() for s in found]
+
+    def files_below(self, path: str) -> list[tuple[str, int, int]]:
+        """(path, bytes, milliseconds of the last change) of a file, or of all files below a directory."""
+        out, files = [], self._fs(path).listFiles(self._path(path), True)
+        while files.hasNext():
+            status = files.next()
+            out.append((status.getPath().toString(), status.getLen(), status.getModificationTime()))
+        return out
+
     def total_bytes(self, path: str) -> int:
         """Bytes of a file, or of everything below a directory."""
         return self._fs(path).getContentSummary(self._path(path)).getLength()
