@@ -434,7 +434,22 @@ def test_samples_show_a_frozen_table_with_no_lag(job):
     assert [(r["checkpoint_id"], r["rows_visible"], r["consumer_lag"]) for r in rows] == [(1, 500, 200), (2, 500, 0)]
     assert {r["watermark"] for r in rows} == {4} and {r["snapshots"] for r in rows} == {5}
     blind = Sampler(job.table, f"{job.work}/blind").observe()
-    assert blind["consumer_lag"] is None
+    assert blind["consumer_lag"] is None and blind["job_state"] is None and blind["checkpoints_failed"] is None
+
+
+def test_state_and_failures_are_what_the_listener_saw(job):
+    job.land(100, 4)
+    seen = ProgressLog()
+    job.spark.streams.addListener(seen)
+    try:
+        sampler = Sampler(job.table, f"{job.work}/samples", progress=seen)
+        fail_and_restart(lambda f: job.spec(fault=f, after_batch=sampler), FaultOnce("committed", 2))
+        rows = read_samples(job.spark, f"{job.work}/samples").orderBy("checkpoint_id", "seconds").collect()
+    finally:
+        job.spark.streams.removeListener(seen)
+    assert {r["job_state"] for r in rows} == {"RUNNING"}
+    assert {r["checkpoints_failed"] for r in rows if r["checkpoint_id"] < 2} == {0}
+    assert {r["checkpoints_failed"] for r in rows if r["checkpoint_id"] > 2} <= {0, 1}
 
 
 def test_progress_and_failures_are_recorded(job):
@@ -458,6 +473,8 @@ def test_offsets_store_reset_and_startup(spark, work):
     landed = log.read_log(spark, f"{work}/log")
     store = OffsetStore(spark, f"{work}/offsets")
     assert store.group_offsets("g").isEmpty() and store.as_map("g", "t") == {}
+    with pytest.raises(Refused, match="no committed offsets"):
+        stream_log(spark, f"{work}/log", rows.schema, "group-offsets", store.as_map("g", "t"))
     store.commit("g", "t", log.end_offsets(landed).withColumnRenamed("end_offset", "offset"))
     ends = store.as_map("g", "t")
     assert sum(ends.values()) == 120

@@ -12,7 +12,7 @@ from tidemark.plans.registry import Registry
 from tidemark.plans.tables import WRITERS, highest, read
 from tidemark.session import SCAN_BYTES
 from tidemark.sources.log import BLOCK, land, produce
-from tidemark.sources.wire import to_wire
+from tidemark.sources.wire import JSON_TIMES, to_wire
 from tidemark.streaming.ingest import IngestSpec, drain, stream_files, stream_log, stream_wire
 from tidemark.streaming.ledger import LedgerTable
 from tidemark.streaming.sink import read_upsert
@@ -25,11 +25,10 @@ BATCHES = 4
 
 
 def chunks_for(spark: SparkSession, sf_dir: str, batches: int = BATCHES) -> int:
-    """Landing files for the feed: one per core, or more when that makes them
-    larger than a task should read; whole batches of them."""
+    """Landing files for the feed: as many as keep them to what a task should
+    read, two a batch at least, whole batches of them; the same on any machine."""
     size = Files(spark).total_bytes(f"{sf_dir}/events.parquet")
-    wide = max(spark.sparkContext.defaultParallelism, size // SCAN_BYTES)
-    return max(batches, -(-wide // batches) * batches)
+    return max(2, -(-size // (SCAN_BYTES * batches))) * batches
 
 
 def landed_stream(
@@ -42,17 +41,17 @@ def landed_stream(
 
 
 def table_stream(
-    spark: SparkSession, sf_dir: str, name: str, landing: str, batches: int = BATCHES
+    spark: SparkSession, sf_dir: str, name: str, landing: str, batches: int = BATCHES,
+    files_in_place: int | None = None,
 ) -> DataFrame:
     """A given table as a stream of about `batches` batches.
 
-    A table of many files is streamed where it lies; only one with fewer files
-    than batches is cut up into a landing directory first.
+    It is landed first, as a feed is; with `files_in_place`, the number of files
+    a large table lies in, it is streamed where it lies and nothing is copied.
     """
     path, rows = f"{sf_dir}/{name}.parquet", read(spark, sf_dir, name)
-    files = sum(1 for n in Files(spark).names(path) if n.startswith("part-"))
-    if files >= batches:
-        return stream_files(spark, path, rows.schema, -(-files // batches))
+    if files_in_place is not None:
+        return stream_files(spark, path, rows.schema, -(-files_in_place // batches))
     return landed_stream(rows, sf_dir, landing, batches)
 
 
@@ -86,13 +85,13 @@ def ingest_verdict(spark, sf_dir):
 
 
 @REGISTRY.add(
-    "ingest_json", "SELECT event_id, user_id, event_type, value, props FROM events"
+    "ingest_json", "SELECT * FROM events"
 )
 def ingest_json(spark, sf_dir):
     """From a landing directory of JSON files."""
-    events, root = read(spark, sf_dir, "events").drop("ts"), new_dir(spark, "json")
+    events, root = read(spark, sf_dir, "events"), new_dir(spark, "json")
     files = chunks_for(spark, sf_dir)
-    events.repartition(files).write.json(f"{root}/landing")
+    events.repartition(files).write.options(**JSON_TIMES).json(f"{root}/landing")
     table = LedgerTable(spark, f"{root}/table", events.schema)
     source = stream_files(spark, f"{root}/landing", events.schema, -(-files // BATCHES), fmt="json")
     drain(IngestSpec("ingest-json", source, table, f"{root}/checkpoint", seq="event_id"))
@@ -117,11 +116,11 @@ def ingest_upsert(spark, sf_dir):
 
 
 @REGISTRY.add(
-    "ingest_log", "SELECT event_id, user_id, event_type, value, props FROM events"
+    "ingest_log", "SELECT * FROM events"
 )
 def ingest_log(spark, sf_dir):
     """From a keyed, partitioned log of JSON values."""
-    events, root = read(spark, sf_dir, "events").drop("ts"), new_dir(spark, "log")
+    events, root = read(spark, sf_dir, "events"), new_dir(spark, "log")
     files = produce_log(events, sf_dir, f"{root}/log")
     table = LedgerTable(spark, f"{root}/table", events.schema)
     source = stream_log(spark, f"{root}/log", events.schema, files_per_trigger=-(-files // BATCHES))
@@ -130,11 +129,11 @@ def ingest_log(spark, sf_dir):
 
 
 @REGISTRY.add(
-    "ingest_wire", "SELECT event_id, user_id, event_type, value, props FROM events"
+    "ingest_wire", "SELECT * FROM events"
 )
 def ingest_wire(spark, sf_dir):
     """From `key|{json}` text files, decoded strictly."""
-    events, root = read(spark, sf_dir, "events").drop("ts"), new_dir(spark, "wire")
+    events, root = read(spark, sf_dir, "events"), new_dir(spark, "wire")
     files = chunks_for(spark, sf_dir)
     to_wire(events, "user_id").repartition(files).write.text(f"{root}/landing")
     table = LedgerTable(spark, f"{root}/table", events.schema)

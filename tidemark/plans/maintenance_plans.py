@@ -12,7 +12,7 @@ from tidemark.errors import Refused
 from tidemark.operators import audit, storage_audit
 from tidemark.plans.ingest_plans import landed_stream
 from tidemark.plans.registry import Registry
-from tidemark.plans.tables import COMMITS_SQL, FILES_SQL, commits_by_hour, files_by_hour, highest, read
+from tidemark.plans.tables import COMMITS_SQL, FILES_SQL, commits_by_hour, files_by_hour, highest, hour, read
 from tidemark.sources.listing import objects_under
 from tidemark.streaming import maintenance
 from tidemark.streaming.faults import FaultOnce
@@ -21,7 +21,15 @@ from tidemark.streaming.ledger import LedgerTable
 from tidemark.workspace import new_dir
 
 REGISTRY = Registry()
-CUTOFF = "2024-01-20"
+# Two thirds into the time the feed covers, to the hour.
+CUTOFF_SQL = """(SELECT make_timestamp((min(epoch_us(ts) // 3600000000) + 2 * max(epoch_us(ts) // 3600000000)) // 3 * 3600000000)
+   FROM events)"""
+
+
+def cutoff(spark, sf_dir):
+    """The same as a literal; two numbers pass the driver."""
+    first, last = read(spark, sf_dir, "events").agg(F.min(hour()), F.max(hour())).first()
+    return F.timestamp_seconds(F.lit((first + 2 * last) // 3 * 3600)).cast("timestamp_ntz")
 
 
 def listed(spark, sf_dir) -> DataFrame:
@@ -84,13 +92,12 @@ def unreferenced_objects(spark, sf_dir):
 @REGISTRY.add(
     "orphan_files",
     f"""WITH {OBJECTS_SQL} SELECT path, length FROM objects WHERE contains(path, '/data/')
-   AND modified_at < TIMESTAMP '{CUTOFF}' AND base NOT IN (SELECT base FROM named)""",
+   AND modified_at < {CUTOFF_SQL} AND base NOT IN (SELECT base FROM named)""",
 )
 def orphan_files(spark, sf_dir):
     """Unreferenced and old enough: what a removal would take (I16)."""
     objects = storage_audit.table_objects(listed(spark, sf_dir), "lake/events")
-    cutoff = F.lit(CUTOFF).cast("timestamp_ntz")
-    return maintenance.orphans(objects, referenced(spark, sf_dir), cutoff).select("path", "length")
+    return maintenance.orphans(objects, referenced(spark, sf_dir), cutoff(spark, sf_dir)).select("path", "length")
 
 
 @REGISTRY.add(
@@ -98,7 +105,7 @@ def orphan_files(spark, sf_dir):
     f"""WITH {OBJECTS_SQL},
 m AS (SELECT 'before' AS phase, path, length, base, modified_at FROM objects
       UNION ALL SELECT 'after', path, length, base, modified_at FROM objects
-      WHERE NOT (contains(path, '/data/') AND modified_at < TIMESTAMP '{CUTOFF}' AND base NOT IN (SELECT base FROM named)))
+      WHERE NOT (contains(path, '/data/') AND modified_at < {CUTOFF_SQL} AND base NOT IN (SELECT base FROM named)))
 SELECT phase, count(*) AS objects_on_disk, count(*) FILTER (contains(path, '/data/')) AS data_objects_on_disk,
   (SELECT count(DISTINCT base) FROM named) AS files_referenced,
   count(*) FILTER (contains(path, '/data/') AND base NOT IN (SELECT base FROM named)) AS data_objects_unreferenced,
@@ -109,7 +116,7 @@ def before_and_after(spark, sf_dir):
     """The same measurement around a removal of orphans."""
     objects = storage_audit.table_objects(listed(spark, sf_dir), "lake/events")
     files = referenced(spark, sf_dir)
-    taken = maintenance.orphans(objects, files, F.lit(CUTOFF).cast("timestamp_ntz"))
+    taken = maintenance.orphans(objects, files, cutoff(spark, sf_dir))
     left = objects.join(taken.select("path"), "path", "left_anti")
     return storage_audit.before_and_after(
         storage_audit.storage_vs_catalog(objects, files), storage_audit.storage_vs_catalog(left, files)
@@ -119,15 +126,13 @@ def before_and_after(spark, sf_dir):
 @REGISTRY.add(
     "expire_commits",
     f"""WITH {COMMITS_SQL} SELECT commit_id, committed_at, watermark FROM commits
-   WHERE committed_at >= TIMESTAMP '2024-03-01' OR committed_at = (SELECT max(committed_at) FROM commits)""",
+   WHERE committed_at >= {CUTOFF_SQL} OR committed_at = (SELECT max(committed_at) FROM commits)""",
 )
 def expire_commits(spark, sf_dir):
-    """A cutoff after every snapshot still leaves the newest, watermark and all."""
+    """The snapshots from the cutoff on stay, and the newest in any case."""
     from tidemark.operators.layout import WATERMARK_KEY, summary_value
 
-    kept = maintenance.snapshots_kept(
-        commits_by_hour(spark, sf_dir), F.lit("2024-03-01").cast("timestamp_ntz")
-    )
+    kept = maintenance.snapshots_kept(commits_by_hour(spark, sf_dir), cutoff(spark, sf_dir))
     return kept.select("commit_id", "committed_at", summary_value(WATERMARK_KEY).alias("watermark"))
 
 

@@ -6,31 +6,32 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import lag
 from tidemark.plans.registry import Registry
-from tidemark.plans.tables import LOG_SQL, log_of_events
+from tidemark.plans.tables import LOG_SQL, highest, hour, log_of_events
 from tidemark.sources.log import end_offsets, landed
 from tidemark.sources.offsets import newest_offsets, rewound
 
 REGISTRY = Registry()
-# The group had read the records of the first half of the month.
-READ_UNTIL = "2024-01-16"
+# The group had read the records of the first half of the numbers, the table shows the first sixth.
+NUMBERS_SQL = "(SELECT max(event_id) + 1 FROM events)"
 
 COMMITTED_SQL = LOG_SQL + f""", ends AS (SELECT "partition", max("offset") + 1 AS end_offset FROM log GROUP BY 1),
 committed AS (SELECT "partition", max("offset") + 1 AS "offset" FROM log
-  WHERE ts < TIMESTAMP '{READ_UNTIL}' GROUP BY 1)"""
+  WHERE event_id * 2 < {NUMBERS_SQL} GROUP BY 1)"""
 
 
-def _until():
-    return F.col("ts") < F.lit(READ_UNTIL).cast("timestamp_ntz")
+def _part(log, share: int):
+    """The records of the first 1/share of the numbers there are."""
+    numbers = highest(log, "event_id") + 1
+    return log.where(F.col("event_id") < -(-numbers // share))
 
 
 def committed(log):
-    """The group's history: one commit per day, of which the newest counts."""
-    daily = log.where(_until()).groupBy("partition", F.to_date("ts").alias("day")).agg(
-        (F.max("offset") + 1).alias("offset")
+    """The group's history: one commit per hour, of which the newest counts."""
+    hourly = _part(log, 2).groupBy("partition", hour().alias("h")).agg(
+        (F.max("offset") + 1).alias("offset"), F.max("event_id").alias("version")
     )
-    return newest_offsets(daily.select(
-        F.lit("readers").alias("group"), F.lit("feed").alias("topic"), "partition", "offset",
-        F.unix_date("day").cast("long").alias("version"),
+    return newest_offsets(hourly.select(
+        F.lit("readers").alias("group"), F.lit("feed").alias("topic"), "partition", "offset", "version",
     ))
 
 
@@ -69,30 +70,29 @@ def consumer_lag(spark, sf_dir):
 
 @REGISTRY.add(
     "lag_and_staleness",
-    f"""WITH {COMMITTED_SQL}, visible AS (SELECT count(*) AS n FROM events WHERE ts < TIMESTAMP '2024-01-06')
-   SELECT CAST((SELECT sum(end_offset) FROM ends) AS BIGINT) AS rows_in_log, CAST(0 AS BIGINT) AS consumer_lag,
+    f"""WITH {COMMITTED_SQL}, visible AS (SELECT count(*) AS n FROM events WHERE event_id * 6 < {NUMBERS_SQL})
+   SELECT CAST((SELECT sum(end_offset) FROM ends) AS BIGINT) AS rows_in_log,
+     CAST((SELECT sum(end_offset - "offset") FROM ends JOIN committed USING ("partition")) AS BIGINT) AS consumer_lag,
      n AS rows_visible, CAST((SELECT sum(end_offset) FROM ends) - n AS BIGINT) AS rows_behind FROM visible""",
 )
 def lag_and_staleness(spark, sf_dir):
-    """Everything read, the table still at its first week: lag 0, rows behind."""
+    """Half of the log read, a sixth of it in the table: the lag does not say how far the table is behind."""
     log = log_of_events(spark, sf_dir)
-    ends = end_offsets(log)
-    visible = log.where(F.col("ts") < F.lit("2024-01-06").cast("timestamp_ntz")).agg(
-        F.count(F.lit(1)).alias("rows_visible")
-    )
-    return lag.lag_and_staleness(ends.withColumnRenamed("end_offset", "offset"), ends, visible)
+    visible = _part(log, 6).agg(F.count(F.lit(1)).alias("rows_visible"))
+    return lag.lag_and_staleness(committed(log).select("partition", "offset"), end_offsets(log), visible)
 
 
 @REGISTRY.add(
     "landed_check",
-    f"""WITH fed AS (SELECT count(*) AS n FROM events WHERE ts >= TIMESTAMP '{READ_UNTIL}')
+    f"""WITH fed AS (SELECT count(*) AS n FROM events WHERE event_id * 2 >= {NUMBERS_SQL})
    SELECT n AS landed, n AS fed, true AS proven FROM fed""",
 )
 def landed_check(spark, sf_dir):
-    """The log grew by exactly the second half of the month."""
+    """The log grew by exactly the second half of the numbers."""
     log = log_of_events(spark, sf_dir)
-    before = end_offsets(log.where(_until()))
-    return landed(before, end_offsets(log), log.where(~_until()).agg(F.count(F.lit(1)).alias("fed")))
+    first = _part(log, 2)
+    fed = log.join(first.select("event_id"), "event_id", "left_anti").agg(F.count(F.lit(1)).alias("fed"))
+    return landed(end_offsets(first), end_offsets(log), fed)
 
 
 @REGISTRY.add(

@@ -16,7 +16,7 @@ from tidemark.sources.offsets import OffsetStore
 from tidemark.streaming.faults import FaultOnce
 from tidemark.streaming.ingest import IngestSpec, drain, stream_files, stream_log
 from tidemark.streaming.ledger import LedgerTable
-from tidemark.streaming.sampler import Sampler, read_samples
+from tidemark.streaming.sampler import ProgressLog, Sampler, read_samples
 from tidemark.streaming.savepoint import save
 from tidemark.streaming.sink import read_upsert
 from tidemark.workspace import new_dir
@@ -116,7 +116,7 @@ GROUP, TOPIC = "readers", "feed"
 
 def _offset_jobs(spark: SparkSession, sf_dir: str):
     """Land a log, ingest it, rewind the committed offsets behind the job's back."""
-    events, root = read(spark, sf_dir, "events").drop("ts"), new_dir(spark, "offsets")
+    events, root = read(spark, sf_dir, "events"), new_dir(spark, "offsets")
     files = produce_log(events, sf_dir, f"{root}/log")
     table = LedgerTable(spark, f"{root}/table", events.schema)
     store = OffsetStore(spark, f"{root}/offsets")
@@ -183,12 +183,11 @@ def offsets_trusted_replay(spark, sf_dir):
 
 # -- a checkpoint older than the table ---------------------------------------------
 
-# The feed in four stages by day: before the savepoint, after it, while the job
-# is down, after the restored job has caught up.
-STAGE_ENDS = ["2024-01-06", "2024-01-20", "2024-01-25"]
-STAGE_SQL = """stages AS (SELECT *, CASE WHEN ts < TIMESTAMP '2024-01-06' THEN 1
-  WHEN ts < TIMESTAMP '2024-01-20' THEN 2 WHEN ts < TIMESTAMP '2024-01-25' THEN 3 ELSE 4 END AS stage
-  FROM events)"""
+# The feed in four stages by shares of its numbers, in thirtieths: before the
+# savepoint, after it, while the job is down, after the restored job has caught up.
+STAGE_ENDS = [5, 19, 24, 31]
+STAGE_SQL = """stages AS (SELECT *, CASE WHEN p < 5 THEN 1 WHEN p < 19 THEN 2 WHEN p < 24 THEN 3 ELSE 4 END AS stage
+  FROM (SELECT *, event_id * 30 // ((SELECT max(event_id) FROM events) + 1) AS p FROM events))"""
 
 
 def stale_restore(spark: SparkSession, sf_dir: str, policy: str, sample: bool = False):
@@ -201,15 +200,13 @@ def stale_restore(spark: SparkSession, sf_dir: str, policy: str, sample: bool =
     table = LedgerTable(spark, f"{root}/table", events.schema)
     landing, live, copy = f"{root}/landing", f"{root}/checkpoint", f"{root}/savepoint"
     wide = chunks_for(spark, sf_dir, 4)
-    day = F.col("ts")
+    numbers = highest(events, "event_id") + 1
 
     def land_stage(n: int) -> None:
-        rows = events
-        if n > 1:
-            rows = rows.where(day >= F.lit(STAGE_ENDS[n - 2]).cast("timestamp_ntz"))
-        if n < 4:
-            rows = rows.where(day < F.lit(STAGE_ENDS[n - 1]).cast("timestamp_ntz"))
-        land(rows, landing, wide, exact=True)
+        low, high = ([0] + STAGE_ENDS)[n - 1 : n + 1]
+        # the least numbers whose thirtieth is `low` and `high`
+        inside = (F.col("event_id") >= -(-low * numbers // 30)) & (F.col("event_id") < -(-high * numbers // 30))
+        land(events.where(inside), landing, wide, exact=True)
 
     def run(checkpoint, files, after=None):
         source = stream_files(spark, landing, events.schema, files)
@@ -227,12 +224,16 @@ def stale_restore(spark: SparkSession, sf_dir: str, policy: str, sample: bool =
     land_stage(2)
     run(live, wide // 4)                 # batches 1 to 4
     land_stage(3)
-    sampler = None
+    sampler, progress = None, None
     if sample:
-        sampler = Sampler(table, f"{root}/samples", "restored", log_end, first.rows_read)
+        progress = ProgressLog()
+        spark.streams.addListener(progress)
+        sampler = Sampler(table, f"{root}/samples", "restored", log_end, first.rows_read, progress=progress)
     sink = run(copy, wide // 2, sampler)     # ids 1 to 4 again, larger batches
     land_stage(4)
     sink2 = run(copy, wide // 2, sampler)    # ids 5 and 6
+    if progress is not None:
+        spark.streams.removeListener(progress)
     return table, sink.outcomes + sink2.outcomes, f"{root}/samples"
 
 
@@ -296,14 +297,11 @@ def stale_restore_freeze(spark, sf_dir):
     """The restored job's own samples: healthy, reading, and frozen."""
     _, _, path = stale_restore(spark, sf_dir, "hold", sample=True)
     seen = read_samples(spark, path)
-    clear = seen.where(F.col("checkpoint_id") <= 5)
-    events = read(spark, sf_dir, "events")
-    backlog = events.where(
-        (F.col("ts") >= F.lit(STAGE_ENDS[0]).cast("timestamp_ntz"))
-        & (F.col("ts") < F.lit(STAGE_ENDS[2]).cast("timestamp_ntz"))
-    ).count()
-    window = samples.freeze_window(clear)
-    bounds = samples.freeze_bounds(clear).select("ids_below_watermark", "first_id_above", "boundary_holds")
+    numbers = highest(read(spark, sf_dir, "events"), "event_id") + 1
+    third = F.call_function("div", F.col("event_id") * 30, F.lit(numbers))
+    backlog = read(spark, sf_dir, "events").where(third.between(STAGE_ENDS[0], STAGE_ENDS[2] - 1)).count()
+    window = samples.freeze_window(seen)
+    bounds = samples.freeze_bounds(seen).select("ids_below_watermark", "first_id_above", "boundary_holds")
     b = bounds.first()
     return window.select(
         F.col("frozen_samples").cast("int").alias("frozen_samples"),

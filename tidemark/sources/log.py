@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.errors import Refused
+from tidemark.sources.wire import encode_json
 from tidemark.functions import is_offset
 from tidemark.workspace import Files
 
@@ -67,7 +68,7 @@ def as_log(
     files: int | None = None,
 ) -> DataFrame:
     """Records as a keyed log: key, JSON value, partition, offset."""
-    body = F.to_json(F.struct(*[F.col(c) for c in records.columns]))
+    body = encode_json(records.columns)
     keyed = records.select(
         F.col(key).cast("string").alias("key"),
         body.alias("value"),

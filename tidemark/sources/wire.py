@@ -7,14 +7,26 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+# Time stamps to the microsecond, with and without a zone.
+JSON_TIMES = {
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+}
+
+
+def encode_json(columns: list[str]) -> Column:
+    """Columns as one compact JSON object; `decode_json` gives them back."""
+    return F.to_json(F.struct(*[F.col(c) for c in columns]), JSON_TIMES)
+
+
 def decode_json(text: Column, schema: T.StructType, fail_fast: bool = True) -> Column:
     """JSON into a struct: an absent field is NULL, a malformed record fails the job."""
-    return F.from_json(text, schema, {"mode": "FAILFAST" if fail_fast else "PERMISSIVE"})
+    return F.from_json(text, schema, {"mode": "FAILFAST" if fail_fast else "PERMISSIVE", **JSON_TIMES})
 
 
 def to_wire(records: DataFrame, key: str, separator: str = "|") -> DataFrame:
     """One `line` column: the key, the separator, the record as compact JSON."""
-    body = F.to_json(F.struct(*[F.col(c) for c in records.columns]))
+    body = encode_json(records.columns)
     return records.select(F.concat(F.col(key).cast("string"), F.lit(separator), body).alias("line"))
 
 

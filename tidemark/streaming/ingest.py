@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from tidemark.errors import Refused
 from tidemark.sources.log import LOG_SCHEMA
 from tidemark.sources.offsets import from_position
-from tidemark.sources.wire import decode_json, from_wire
+from tidemark.sources.wire import JSON_TIMES, decode_json, from_wire
 from tidemark.streaming.ledger import LedgerTable
 from tidemark.streaming.sink import LedgerSink, UpsertSink
 
@@ -28,7 +28,7 @@ def stream_files(
     """Typed records from a landing directory; malformed JSON fails the job."""
     reader = spark.readStream.schema(schema).options(**options)
     if fmt == "json":
-        reader = reader.option("mode", "FAILFAST")
+        reader = reader.options(**{"mode": "FAILFAST", **JSON_TIMES, **options})
     if files_per_trigger is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     return reader.format(fmt).load(path)
