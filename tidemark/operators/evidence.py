@@ -12,6 +12,8 @@ from tidemark.functions import plain_blanks, squash_whitespace
 
 # Fewer words than this leave a claim no whole word to look it up by.
 MIN_WORDS = 3
+# Whole words of the run that stands for a claim, or as many as it has.
+RUN = 5
 # Short claims tried per pass over the documents.
 SHORT_CLAIMS_PER_PASS = 200
 
@@ -36,29 +38,34 @@ def find_claims(claims: DataFrame, documents: DataFrame, doc_id: str, body: str)
 
     `claims` has `tag` and `text`; the result is every (tag, found). A claim of
     three words or more holds whole words between its first and last, and a
-    document with the claim holds each of them. So documents and claims meet on
-    the claim's rarest inner word, and the few pairs left are compared in full:
-    no cross join, nothing broadcast by force. Claims too short for that are
-    looked for in whole documents, some per pass.
+    document with the claim holds each run of them. One run of up to RUN words
+    stands for each claim, so documents and claims meet on hashes of runs: a
+    small claim table filters the documents before any shuffle, and only
+    documents that hold a claim's run are read again and compared in full. No
+    cross join, nothing broadcast by force; a run that many documents hold is
+    spread by the skew handling of the join. Claims too short for a whole inner
+    word are looked for in whole documents, some per pass.
     """
     wanted = claims.select("tag", squash_whitespace(F.col("text")).alias("claim"))
     texts = documents.select(F.col(doc_id).alias("__doc"), F.col(body).alias("__body"))
     words = wanted.withColumn("words", F.split("claim", " "))
     long = words.where(F.size("words") >= MIN_WORDS)
 
-    inner = long.select(
-        "claim", F.explode(F.array_distinct(F.expr("slice(words, 2, size(words) - 2)"))).alias("w")
-    ).select("claim", F.xxhash64("w").alias("word")).distinct()
-    held = texts.select(
-        "__doc", F.explode(F.array_distinct(F.split(plain_blanks(F.col("__body")), " "))).alias("w")
-    ).select("__doc", F.xxhash64("w").alias("word"))
-    asked = held.join(inner.select("word").distinct(), "word", "left_semi")
-    spread = asked.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    rarest = inner.join(spread, "word", "left").groupBy("claim").agg(
-        F.min_by("word", F.coalesce("n", F.lit(0))).alias("word"),
-        F.min(F.coalesce("n", F.lit(0))).alias("n"),
-    ).where(F.col("n") > 0)
-    pairs = rarest.select("claim", "word").join(held, "word").select("claim", "__doc")
+    inner = long.select("claim", F.expr("transform(slice(words, 2, size(words) - 2), w -> xxhash64(w))").alias("codes"))
+    keys = inner.distinct().select(
+        "claim", F.least(F.size("codes"), F.lit(RUN)).alias("k"), "codes"
+    ).select("claim", "k", F.expr("array_min(transform(sequence(1, size(codes) - k + 1), i -> xxhash64(slice(codes, i, k))))").alias("run"))
+    sizes = sorted(r["k"] for r in keys.select("k").distinct().collect())  # RUN numbers at most
+    coded = texts.select("__doc", F.array_remove(F.split(plain_blanks(F.col("__body")), " "), "").alias("words")).select(
+        "__doc", F.expr("transform(words, w -> xxhash64(w))").alias("codes")
+    )
+    runs = [F.expr(
+        f"IF(size(codes) < {k}, array(), transform(sequence(1, size(codes) - {k} + 1), i -> xxhash64(slice(codes, i, {k}))))"
+    ) for k in sizes]
+    held = coded.select("__doc", F.explode(F.array_distinct(F.concat(*runs))).alias("run")) if runs else (
+        texts.select("__doc", F.lit(0).cast("long").alias("run")).limit(0)
+    )
+    pairs = held.join(keys.select("claim", "run"), "run").select("claim", "__doc").distinct()
     # white space is evened out for the texts of these pairs only
     flat = squash_whitespace(F.col("__body"))
     found = pairs.join(texts, "__doc").where(F.contains(flat, "claim")).select("claim").distinct()

@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 
 from tidemark.operators import audit
 from tidemark.plans.registry import Registry
-from tidemark.plans.tables import LOG_SQL, log_of_events, read
+from tidemark.plans.tables import LOG_SQL, log_of_events, read, micros
 from tidemark.sources import log as logs
 from tidemark.sources.feed import DEFAULT_SALT, with_feed_fields
 from tidemark.sources.wire import decode_json, from_wire, to_wire
@@ -122,3 +122,17 @@ def offset_lines(spark, sf_dir):
 def table_fingerprint(spark, sf_dir):
     """Order-insensitive digest of the feed (F13); the hash is Spark's own."""
     return audit.row_fingerprint(read(spark, sf_dir, "events"))
+
+
+@REGISTRY.add(
+    "table_digest",
+    """SELECT count(*) AS rows, CAST(sum(CAST('0x' || substr(md5(concat_ws('|', event_id, epoch_us(ts), user_id, event_type,
+     printf('%.6f', value), props)), 1, 15) AS HUGEINT)) AS VARCHAR) AS digest FROM events""",
+)
+def table_digest(spark, sf_dir):
+    """The feed's digest over a text of every column, which other engines can repeat."""
+    events = read(spark, sf_dir, "events")
+    text = F.concat_ws(
+        "|", "event_id", micros("ts"), "user_id", "event_type", F.format_string("%.6f", "value"), "props"
+    )
+    return audit.text_digest(events, text)
