@@ -37,6 +37,18 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def least_hashes(rows: DataFrame, total: int, wanted: int) -> list[tuple]:
+    """At most `wanted` rows with about the least values of their column `h`, in its order.
+
+    A bound on the hash keeps about twice as many of `total` rows, and never more
+    than four times as many are fetched, so tasks send the driver what it keeps
+    and no more, however many there are. A table of few rows is taken whole.
+    """
+    if total > 2 * wanted:
+        rows = rows.where(F.col("h") < F.lit(-(1 << 63) + (1 << 64) * 2 * wanted // total).cast("long"))
+    return sorted((tuple(r) for r in rows.limit(4 * wanted).collect()), key=lambda r: (r[0], str(r[1:])))[:wanted]
+
+
 def in_chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of Arrow batches whose texts have about `limit` bytes; a longer text stands alone."""
     for batch in batches:

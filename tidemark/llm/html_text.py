@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import in_chunks
+from tidemark.llm.common import in_chunks, least_hashes
 
 BUCKETS = 4096
 DIM = 12
@@ -340,17 +340,17 @@ def main_text(
 ) -> DataFrame:
     """`text` and `n_chars` of every page, one row per row of `pages`, with its id and url.
 
-    The labeller is fitted on at most `sample_pages` pages (the least hashes of ids and
-    urls) and on made layouts; then every block of every page is labelled with the whole page as
+    The labeller is fitted on at most `sample_pages` pages (by hash) and on made layouts; then every block of every page is labelled with the whole page as
     context. Character references are decoded, white space in a block becomes one space,
     blocks are trimmed and joined by one space. Null or empty html, and a page without main
     text, give an empty text. Null ids and urls and repeated rows are returned as they are;
     an empty table gives an empty result; other columns are not read.
     """
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
-    sample = rows.where((F.length("html") > 0) & (F.length("html") <= SAMPLE_LENGTH)).orderBy(
-        F.xxhash64("id", "url"), "id", "url", "html").limit(sample_pages).select("html")
-    shared = pages.sparkSession.sparkContext.broadcast(train([r.html for r in sample.collect()]))  # weights of a fixed size
+    sample = rows.where((F.length("html") > 0) & (F.length("html") <= SAMPLE_LENGTH)).select(
+        F.xxhash64("id", "url", "html").alias("h"), "html")
+    given = [html for _, html in least_hashes(sample, pages.count(), sample_pages)]
+    shared = pages.sparkSession.sparkContext.broadcast(train(given))  # weights of a fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader()

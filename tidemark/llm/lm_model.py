@@ -9,7 +9,7 @@ import numpy as np
 DIM = 16
 INNER = 32
 WINDOW = 32
-FRESH = 24  # positions a window adds; the others repeat as context
+FRESH = 28  # positions a window adds; the others repeat as context
 CLASSES = 128
 ALONE = 64  # most frequent ids that are a class of their own
 CONTEXT_IDS = 128
@@ -59,11 +59,11 @@ class Model:
         logit -= logit.max(axis=-1, keepdims=True)
         return logit - np.log(np.exp(logit).sum(axis=-1, keepdims=True))
 
-    def fast_hidden(self, ids: np.ndarray) -> np.ndarray:
+    def fast_hidden(self, slots: np.ndarray) -> np.ndarray:
         """What `hidden` returns, with few passes over the attention: sums come out of the product with the values."""
         w = self.weights
-        n, length = ids.shape
-        x = w["embed"][self.slot[ids]]
+        n, length = slots.shape
+        x = w["embed"][slots]
         x += w["place"][:length]
         score = np.matmul((x @ (w["q"] / np.float32(np.sqrt(DIM)))), (x @ w["k"]).transpose(0, 2, 1))
         np.minimum(score, 60, out=score)
@@ -129,6 +129,7 @@ class Model:
         out_at = (np.cumsum(inputs) - inputs)[of] + first
         out = np.empty(int(inputs.sum()))
         order = np.argsort(size, kind="stable")
+        slots, ones = self.slot[sequences], np.ones(CLASSES, np.float32)
         for a in range(0, len(order), SCORED):
             pick = order[a : a + SCORED]
             spot = np.arange(int(size[pick].max()))[None, :]
@@ -136,13 +137,12 @@ class Model:
             where = np.where(real, begin[pick][:, None] + spot, 0)
             scored = real & (spot >= old[pick][:, None])
             target = sequences[where[scored] + 1]
-            logit = self.fast_hidden(sequences[where])[scored] @ self.weights["classes"]
+            logit = self.fast_hidden(slots[where])[scored] @ self.weights["classes"]
             logit += self.weights["classes0"]
+            np.minimum(logit, 60, out=logit)  # far above any logit seen; the sum cannot overflow
             chosen = logit[np.arange(len(target)), self.kind[target]]
-            peak = logit.max(axis=1)
-            logit -= peak[:, None]
             np.exp(logit, out=logit)
-            out[(out_at[pick][:, None] + spot)[scored]] = chosen - peak - np.log(logit @ np.ones(CLASSES, np.float32)) + self.inside[target]
+            out[(out_at[pick][:, None] + spot)[scored]] = chosen - np.log(logit @ ones) + self.inside[target]
         return out
 
 

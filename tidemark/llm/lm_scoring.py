@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import LOWER, bytes_of, cut, in_chunks, keyed_groups, mix, runs_of, shuffle_partitions, span_hashes, words_of
+from tidemark.llm.common import LOWER, bytes_of, cut, in_chunks, keyed_groups, least_hashes, mix, runs_of, shuffle_partitions, span_hashes, words_of
 from tidemark.llm.lm_model import TRAIN_TOKENS, Model, train
 from tidemark.llm.packed import deltas, pack, unpack
 from tidemark.llm.tokens import Encoder, vocabulary
@@ -114,8 +114,8 @@ def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def _sample(docs: DataFrame, content, end: int) -> tuple[Model, np.ndarray]:
     """The attention model and the frequent words, from a bounded sample of the training texts."""
     rows = docs.where("learn").where(F.octet_length("text") <= SAMPLE_BYTES)
-    picked = rows.select(F.xxhash64("id", "text").alias("h"), "text").orderBy("h", "text").limit(SAMPLE_DOCS)
-    texts = pa.array([r.text for r in picked.collect()], pa.string())
+    picked = least_hashes(rows.select(F.xxhash64("id", "text").alias("h"), "text"), docs.count(), SAMPLE_DOCS)
+    texts = pa.array([text for _, text in picked], pa.string())
     hashes, _ = _words(texts)
     words, n = np.unique(hashes, return_counts=True)
     frequent = np.sort(words[np.argsort(-n, kind="stable")][:FREQUENT])

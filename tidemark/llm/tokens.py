@@ -113,7 +113,7 @@ class Encoder:
         if self.ranked is not None:
             for i, text in enumerate(texts):
                 if SETTLED.fullmatch(text):
-                    out[i] = np.array(self.ranked.encode(text, allowed_special="all"), "<u4").tobytes()
+                    out[i] = self.ranked.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False).tobytes()
         rest = [i for i, ids in enumerate(out) if ids is None]
         for i, found in zip(rest, self.encode([texts[i] for i in rest]) if rest else []):
             out[i] = np.array(getattr(found, "ids", found), "<u4").tobytes()
