@@ -116,3 +116,14 @@ def test_gradients(model):
         down = m.gradients(ids, real, target)[0]
         m.weights[name][at] = old
         assert abs((up - down) / 2e-4 - g[at]) < 1e-4 + 0.02 * abs(g[at]), name
+
+
+def test_windows_repeat_a_quarter_as_context(model):
+    _, first, _, old = lm_model.windows_of(np.array([5000]))
+    assert (old[1:] >= 8).all() and (np.diff(first) <= 24).all()
+    m, flat, _ = model
+    long = flat[:200]
+    changed = long.copy()
+    changed[24] = 7
+    # the first fresh position of the second window, 32, still sees input 24
+    assert not np.isclose(m.logs(long, np.array([200]))[32], m.logs(changed, np.array([200]))[32], rtol=0, atol=1e-7)
