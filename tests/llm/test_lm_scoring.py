@@ -127,3 +127,55 @@ def test_windows_repeat_a_quarter_as_context(model):
     changed[24] = 7
     # the first fresh position of the second window, 32, still sees input 24
     assert not np.isclose(m.logs(long, np.array([200]))[32], m.logs(changed, np.array([200]))[32], rtol=0, atol=1e-7)
+
+
+def held_out_gain(spark, docs):
+    """Mean by which `score` of a held-out token beats the base, in log10."""
+    out = [r for r in lm_scores(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), PATH).collect() if r.held_out]
+    return sum(r.score - r.base_score for r in out) / sum(r.n_tokens for r in out)
+
+
+def test_learns_from_long_texts_alone(spark):
+    pick = random.Random(4)
+    follows = {w: pick.sample(range(20), 2) for w in range(20)}
+    docs, word = [], 0
+    for i in range(6):
+        out = []
+        for _ in range(35_000):
+            word = pick.choice(follows[word])
+            out.append("w%d" % word)
+        docs.append((i, " ".join(out)))
+    held = [zlib.crc32(str(i).encode()) % 5 == 1 for i, _ in docs]
+    assert any(held) and not all(held) and min(len(t) for _, t in docs) > 100_000
+    assert held_out_gain(spark, docs) > 0  # without a text to learn from it is -0.3
+
+
+def test_shards_learn_what_the_start_has_not(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "START_IDS", 500)
+    monkeypatch.setattr(lm_scoring, "SHARD_IDS", 4000)
+    learnt = []
+    average = lm_scoring.moved
+    monkeypatch.setattr(lm_scoring, "moved", lambda *a: learnt.append(a[1]) or average(*a))
+    rows = [(i, t) for i, t in corpus()] * 4
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    out = [sorted((r.doc_id, round(r.score, 4)) for r in lm_scores(frame.repartition(n), PATH).collect()) for n in (2, 7)]
+    assert out[0] == out[1]
+    assert len(learnt) == 2 * lm_scoring.ROUNDS
+    encoder = Encoder.get("byte_bpe_50k.json", open(PATH, "rb").read())
+    kept = [" ".join(words(t)) for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1]
+    flat, _ = lm_scoring.sequences_of(encoder, kept, 50256)
+    met = np.bincount(flat)
+    # every id of the training texts that is there twice was learnt in some round
+    assert len(np.setdiff1d(np.unique(np.concatenate(learnt)), [0])) == (met >= 2).sum()
+
+
+def test_each_id_learnt_once_and_counted(spark):
+    texts = ["a b c " * n for n in (0, 1, 400, 2000)]
+    encoder = Encoder.get("byte_bpe_50k.json", open(PATH, "rb").read())
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "h long, text string")
+    content = spark.sparkContext.broadcast(("byte_bpe_50k.json", open(PATH, "rb").read()))
+    pieces = frame.mapInArrow(lm_scoring._cut_ids(content, 50256), "h long, opens boolean, n long, body binary")
+    flat, sizes = lm_scoring.sequences_of(encoder, lm_scoring.plain_texts(lm_scoring.pa.array(texts)), 50256)
+    assert sum(r.n for r in pieces.collect()) == (sizes - 1).sum()
+    got = {r.i: r.n for r in pieces.select("opens", "body").mapInArrow(lm_scoring._id_counts(50257), "i long, n long").groupBy("i").sum("n").toDF("i", "n").collect()}
+    assert got == Counter(flat.tolist())

@@ -15,23 +15,22 @@ ALONE = 64  # most frequent ids that are a class of their own
 CONTEXT_IDS = 128
 BATCH = 128
 SCORED = 64  # windows scored at a time
-TRAIN_TOKENS = 1_500_000
 EPOCHS = 2
 
 
-def windows_of(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def windows_of(sizes: np.ndarray, fresh: int = FRESH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Windows over sequences of `sizes` inputs: sequence, first input, number of inputs, how many of them were scored before."""
-    count = np.where(sizes > 0, 1 + np.maximum(0, -(-(sizes - WINDOW) // FRESH)), 0)
+    count = np.where(sizes > 0, 1 + np.maximum(0, -(-(sizes - WINDOW) // fresh)), 0)
     of = np.repeat(np.arange(len(sizes)), count)
     rank = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-    first = rank * FRESH
-    return of, first, np.minimum(WINDOW, sizes[of] - first), np.where(rank > 0, WINDOW - FRESH, 0)
+    first = rank * fresh
+    return of, first, np.minimum(WINDOW, sizes[of] - first), np.where(rank > 0, WINDOW - fresh, 0)
 
 
 @dataclass
 class Model:
     weights: dict[str, np.ndarray]
-    slot: np.ndarray  # row of the embedding for each id; 0 for ids not in the sample
+    slot: np.ndarray  # row of the embedding for each id; 0 for ids met less than twice
     kind: np.ndarray  # class of each id
     inside: np.ndarray  # log probability of each id in its class
 
@@ -146,13 +145,33 @@ class Model:
         return out
 
 
-def classes_of(sequences: np.ndarray, vocabulary: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Slot, class and log probability inside the class of every id, from a sample.
+def near_of(counts: np.ndarray) -> np.ndarray:
+    """The rank of each of the most frequent ids, -1 for all others."""
+    near = np.full(len(counts), -1)
+    top = np.argsort(-counts, kind="stable")[:CONTEXT_IDS]
+    near[top] = np.arange(len(top))
+    return near
+
+
+def context_cells(sequence: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and what stands beside them: the rank of the frequent id before, and CONTEXT_IDS on, of the one after."""
+    before, after = near[sequence[:-1]], near[sequence[1:]]
+    ids = np.concatenate([sequence[1:][before >= 0], sequence[:-1][after >= 0]])
+    return ids, np.concatenate([before[before >= 0], after[after >= 0] + CONTEXT_IDS])
+
+
+def profiles_of(cells: np.ndarray) -> np.ndarray:
+    """Roots of the shares of what stands beside an id, a row per id."""
+    return np.sqrt(cells / np.maximum(cells.sum(axis=1, keepdims=True), 1)).astype(np.float32)
+
+
+def classes_of(counts: np.ndarray, profiles: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Slot, class and log probability inside the class of every id, from its count and what stands beside it.
 
     The most frequent ids stand alone; the others are grouped by what they follow and what
-    follows them, by k-means; ids not in the sample share the last class with the rarest.
+    follows them, by k-means; ids met less than twice share the last class.
     """
-    counts = np.bincount(sequences, minlength=vocabulary)
+    vocabulary = len(counts)
     seen = np.flatnonzero(counts >= 2)
     slot = np.zeros(vocabulary, np.int32)
     slot[seen] = np.arange(1, len(seen) + 1)
@@ -161,15 +180,7 @@ def classes_of(sequences: np.ndarray, vocabulary: int, seed: int) -> tuple[np.nd
     alone = by_count[:ALONE][counts[by_count[:ALONE]] >= 2]
     rest = np.setdiff1d(seen, alone)
     if len(rest):
-        near = np.full(vocabulary, -1)
-        near[by_count[:CONTEXT_IDS]] = np.arange(CONTEXT_IDS)
-        row = np.full(vocabulary, -1)
-        row[rest] = np.arange(len(rest))
-        x = np.zeros((len(rest), 2 * CONTEXT_IDS), np.float32)
-        for shift, (a, b) in enumerate(((sequences[1:], sequences[:-1]), (sequences[:-1], sequences[1:]))):
-            ok = (row[a] >= 0) & (near[b] >= 0)
-            np.add.at(x, (row[a][ok], near[b][ok] + shift * CONTEXT_IDS), 1)
-        x = np.sqrt(x / np.maximum(x.sum(axis=1, keepdims=True), 1))
+        x = profiles[rest]
         groups = min(CLASSES - 1 - ALONE, len(rest))
         draw = np.random.default_rng(seed)
         weight = counts[rest].astype(float)
@@ -189,12 +200,10 @@ def classes_of(sequences: np.ndarray, vocabulary: int, seed: int) -> tuple[np.nd
     return slot, kind, inside
 
 
-def train(sequences: np.ndarray, sizes: np.ndarray, vocabulary: int, seed: int = 5, epochs: int = EPOCHS) -> Model:
-    """Fit on sequences that begin and end with the end id, lying one after the other."""
+def fresh_model(counts: np.ndarray, profiles: np.ndarray, seed: int = 5) -> Model:
+    """A model that has learnt no windows yet."""
     draw = np.random.default_rng(seed)
-    if not len(sequences):
-        sequences, sizes = np.array([vocabulary - 1, vocabulary - 1]), np.array([2])
-    slot, kind, inside = classes_of(sequences, vocabulary, seed)
+    slot, kind, inside = classes_of(counts, profiles, seed)
 
     def normal(*shape):
         return (draw.standard_normal(shape) / np.sqrt(shape[0])).astype(np.float32)
@@ -203,11 +212,15 @@ def train(sequences: np.ndarray, sizes: np.ndarray, vocabulary: int, seed: int =
         "embed": (0.3 * draw.standard_normal((int(slot.max()) + 1, DIM))).astype(np.float32), "place": np.zeros((WINDOW, DIM), np.float32),
         "q": normal(DIM, DIM), "k": normal(DIM, DIM), "v": normal(DIM, DIM), "o": normal(DIM, DIM), "up": normal(DIM, INNER),
         "up0": np.zeros(INNER, np.float32), "down": normal(INNER, DIM), "classes": normal(DIM, CLASSES), "classes0": np.zeros(CLASSES, np.float32)}
-    model = Model(weights, slot, kind, inside)
+    return Model(weights, slot, kind, inside)
+
+
+def fit(model: Model, sequences: np.ndarray, sizes: np.ndarray, seed: int, epochs: int, top: float = 0.01, fall: float = 0.05, fresh: int = FRESH) -> None:
+    """Go `epochs` times over the windows of sequences lying one after the other; the rate falls from `top` by `fall`."""
+    draw, weights = np.random.default_rng(seed), model.weights
     start, inputs = np.cumsum(sizes) - sizes, np.maximum(sizes - 1, 0)
-    of, first, size, _ = windows_of(inputs)
+    of, first, size, _ = windows_of(inputs, fresh)
     begin = start[of] + first
-    epochs = max(epochs, min(80, 150 * BATCH // max(1, len(of))))  # a small sample is gone over more often
     moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in weights.items()}
     step, steps = 0, epochs * (-(-len(of) // BATCH))
     for _ in range(epochs):
@@ -219,10 +232,53 @@ def train(sequences: np.ndarray, sizes: np.ndarray, vocabulary: int, seed: int =
             where = np.where(real, begin[pick][:, None] + spot, 0)
             _, grad = model.gradients(sequences[where], real, sequences[np.where(real, where + 1, 0)])
             step += 1
-            rate = 0.01 * min(1, step / 50) * 0.05 ** (step / steps)
+            rate = top * min(1, step / 50) * fall ** (step / steps)
             for name, g in grad.items():
                 m, v = moments[name]
                 m += 0.1 * (g - m)
                 v += 0.01 * (g * g - v)
                 weights[name] -= (rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
+
+
+def start_fit(model: Model, sequences: np.ndarray, sizes: np.ndarray, seed: int = 5, epochs: int = EPOCHS) -> None:
+    """Fit from nothing; few windows are gone over more often."""
+    count = len(windows_of(np.maximum(sizes - 1, 0))[0])
+    fit(model, sequences, sizes, seed, max(epochs, min(80, 150 * BATCH // max(1, count))))
+
+
+def train(sequences: np.ndarray, sizes: np.ndarray, vocabulary: int, seed: int = 5, epochs: int = EPOCHS) -> Model:
+    """Fit on sequences that begin and end with the end id, lying one after the other."""
+    counts = np.bincount(sequences, minlength=vocabulary)
+    cells = np.zeros((vocabulary, 2 * CONTEXT_IDS), np.float32)
+    np.add.at(cells, context_cells(sequences, near_of(counts)), 1)
+    model = fresh_model(counts, profiles_of(cells), seed)
+    start_fit(model, sequences, sizes, seed, epochs)
     return model
+
+
+def learn_apart(model: Model, sequences: np.ndarray, sizes: np.ndarray, seed: int, top: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+    """Learn every id after the first of each sequence once, from the given weights, which stay as they are.
+
+    Returned: rows of the embedding that were read, how often, their change, the change of
+    all other weights one after the other, the number of ids learnt.
+    """
+    rows, at, n = np.unique(model.slot[sequences], return_inverse=True, return_counts=True)
+    slot = np.zeros_like(model.slot)
+    slot[sequences] = at
+    own = Model({k: (v[rows] if k == "embed" else v.copy()) for k, v in model.weights.items()}, slot, model.kind, model.inside)
+    fit(own, sequences, sizes, seed, 1, top, 0.3, WINDOW)
+    others = np.concatenate([(own.weights[k] - v).ravel() for k, v in model.weights.items() if k != "embed"])
+    return rows, n, own.weights["embed"] - model.weights["embed"][rows], others, int(np.maximum(sizes - 1, 0).sum())
+
+
+def moved(model: Model, rows: np.ndarray, change: np.ndarray, others: np.ndarray) -> Model:
+    """The model with changes added to its weights."""
+    weights, at = {}, 0
+    for name, old in model.weights.items():
+        weights[name] = old.copy()
+        if name == "embed":
+            weights[name][rows] += change
+        else:
+            weights[name] += others[at : at + old.size].reshape(old.shape)
+            at += old.size
+    return Model(weights, model.slot, model.kind, model.inside)

@@ -2,8 +2,7 @@
 
 The attention model gives every word a probability as the product over its subword ids;
 the score mixes it, word by word, with the word's share of all training tokens. Counts of
-the most frequent words are made in one pass and broadcast, a table of fixed size; all
-other words meet in buckets of their hashes, with the documents that have them.
+the most frequent words of the corpus are broadcast, a table of fixed size; all other words meet in buckets of their hashes, with the documents that have them.
 """
 
 from __future__ import annotations
@@ -18,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import LOWER, bytes_of, cut, in_chunks, keyed_groups, least_hashes, mix, runs_of, shuffle_partitions, span_hashes, words_of
-from tidemark.llm.lm_model import TRAIN_TOKENS, Model, train
+from tidemark.llm.lm_model import CONTEXT_IDS, Model, context_cells, fresh_model, learn_apart, moved, near_of, profiles_of, start_fit
 from tidemark.llm.packed import deltas, pack, unpack
 from tidemark.llm.tokens import Encoder, vocabulary
 
@@ -26,10 +25,16 @@ FOLDS = 5
 HELD_OUT = 1
 SHARE = 0.5  # of the attention model in the mixture
 FREQUENT = 32_768  # words counted in a pass of their own; the choice changes the work only
-SAMPLE_DOCS = 2000  # most texts the attention model and the choice of words are fitted on
-SAMPLE_BYTES = 100_000  # a longer text is not in that sample
+PIECE = 1024  # ids of a training text that are dealt as one row
+START_IDS = 1_500_000  # ids the driver begins on; a corpus of more is then learnt whole on the executors
+ROUNDS = 4  # of that: each learns its share of all pieces, then the shards' changes are averaged
+SHARD_IDS = 1_000_000  # ids learnt in a row between averages
+RATE = 0.004
+ID_BLOCK = 256  # ids of a block of counts
+ROW_BLOCK = 1024  # rows of the embedding in a block of changes
 CHUNK = 256 << 10
 FLUSH = 1 << 20
+COUNTED = 4 << 20  # words counted before their counts go on
 
 
 @dataclass
@@ -111,38 +116,187 @@ def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return span_hashes(data, first, end), start
 
 
-def _sample(docs: DataFrame, content, end: int) -> tuple[Model, np.ndarray]:
-    """The attention model and the frequent words, from a bounded sample of the training texts."""
-    rows = docs.where("learn").where(F.octet_length("text") <= SAMPLE_BYTES)
-    picked = least_hashes(rows.select(F.xxhash64("id", "text").alias("h"), "text"), docs.count(), SAMPLE_DOCS)
-    texts = pa.array([text for _, text in picked], pa.string())
-    hashes, _ = _words(texts)
-    words, n = np.unique(hashes, return_counts=True)
-    frequent = np.sort(words[np.argsort(-n, kind="stable")][:FREQUENT])
-    encoder = Encoder.get(*content)
-    flat, lengths = sequences_of(encoder, plain_texts(texts), end)
-    whole = int(np.searchsorted(np.cumsum(lengths), TRAIN_TOKENS, side="right"))
-    whole = max(whole, min(1, len(lengths)))
-    return train(flat[: int(lengths[:whole].sum())], lengths[:whole], end + 1), frequent
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Word hashes with how often they are there, summed over some millions of words."""
+    def flush():
+        words, n = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n.astype(np.int64))], ["word", "n"])
+
+    held, size = [], 0
+    for batch in in_chunks(batches, "text", CHUNK):
+        hashes, _ = _words(batch.column("text"))
+        held.append(hashes)
+        size += len(hashes)
+        if size >= COUNTED:
+            yield flush()
+            held, size = [], 0
+    if size:
+        yield flush()
+
+
+def _frequent(learn: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+    """The most frequent words of all training texts in order of their hashes, their counts, and the number of all words."""
+    counted = cut(learn.select("text").mapInArrow(_count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "lm")
+    # by way of a table: a collected limit would send the driver that many rows from every partition
+    top = cut(counted.orderBy(F.desc("n"), "word").limit(FREQUENT), "lm").collect()
+    words = np.array([r.word for r in top], np.int64).view(np.uint64)
+    order = np.argsort(words)
+    return words[order], np.array([r.n for r in top], np.int64)[order], counted.agg(F.sum("n")).first()[0] or 0
+
+
+def _cut_ids(content, end: int):
+    """Training texts as pieces of ids; the last id of a piece is the first of the next, so each is learnt once."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder.get(*content.value)
+        for batch in in_chunks(batches, "text", CHUNK):
+            flat, sizes = sequences_of(encoder, plain_texts(batch.column("text")), end)
+            h = batch.column("h").to_numpy().view(np.uint64)
+            rows, begin = [], 0
+            for i, size in enumerate(sizes.tolist()):
+                for a in range(0, size - 1, PIECE):
+                    ids = flat[begin + a : begin + min(size, a + PIECE + 1)]
+                    rows.append((i, a, len(ids), pack(ids)))
+                begin += size
+            of, at = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(mix(h[of] + mix(at.astype(np.uint64))).view(np.int64)), pa.array(at == 0), pa.array([r[2] - 1 for r in rows], pa.int64()),
+                 pa.array([r[3] for r in rows], pa.binary())], ["h", "opens", "n", "body"])
 
+    return run
 
-def _count(frequent: np.ndarray):
+
+def _id_counts(vocabulary: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, tokens, texts = np.zeros(len(frequent), np.int64), 0, 0
-        for batch in in_chunks(batches, "text", CHUNK):
-            hashes, _ = _words(batch.column("text"))
-            if len(frequent):
-                spot = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
-                counts += np.bincount(spot[frequent[spot] == hashes], minlength=len(frequent))
-            tokens += len(hashes) + batch.num_rows
-            texts += batch.num_rows
-        places = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate([places, [-1, -2]])), pa.array(np.concatenate([counts[places], [tokens, texts]]))], ["place", "n"])
+        counts = np.zeros(vocabulary, np.int64)
+        for batch in batches:
+            for opens, body in zip(batch.column("opens").to_pylist(), batch.column("body").to_pylist()):
+                ids = unpack(body)[0]
+                np.add.at(counts, ids if opens else ids[1:], 1)
+        ids = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(counts[ids])], ["i", "n"])
 
     return run
 
 
+def _contexts(near):
+    """What stands beside the ids of a block, summed over a partition."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks = near.value
+        cells = np.zeros((len(ranks), 2 * CONTEXT_IDS), np.int32)
+        for batch in batches:
+            for body in batch.column("body").to_pylist():
+                np.add.at(cells, context_cells(unpack(body)[0], ranks), 1)
+        blocks, bodies = [], []
+        for a in range(0, len(ranks), ID_BLOCK):
+            block = cells[a : a + ID_BLOCK].ravel()
+            spot = np.flatnonzero(block)
+            if len(spot):
+                blocks.append(a // ID_BLOCK)
+                bodies.append(pack(deltas(spot), block[spot].astype(np.int64)))
+        yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array(bodies, pa.binary())], ["bucket", "body"])
+
+    return run
+
+
+def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for table in keyed_groups(batches, "bucket"):
+        for block, bodies in _grouped(table):
+            cells = np.zeros(ID_BLOCK * 2 * CONTEXT_IDS)
+            for spot, n in map(unpack, bodies):
+                cells[np.cumsum(spot)] += n
+            profile = profiles_of(cells.reshape(ID_BLOCK, -1)).astype("<f2")
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([pack(profile.view(np.uint8).ravel())], pa.binary())], ["bucket", "body"])
+
+
+def _learn(shared, rate: float):
+    """The changes of the weights that a shard's pieces make, in blocks of rows of the embedding; block -1 has all others."""
+    def change(held: list[np.ndarray], turn: int) -> pa.RecordBatch:
+        rows, n, embed, others, learnt = learn_apart(shared.value, np.concatenate(held), np.array([len(x) for x in held]), 7, rate)
+        out = [(-1, pack(np.array([learnt]), others.astype("<f4").view(np.uint8)))]
+        for block, (row, times, moves) in _by_bucket(rows // ROW_BLOCK, rows, n, embed):
+            out.append((block, pack(row, times, moves.astype("<f4").view(np.uint8).ravel())))
+        return pa.RecordBatch.from_arrays(
+            [pa.array([r[0] for r in out], pa.int32()), pa.array([TaskContext.get().partitionId()] * len(out), pa.int32()),
+             pa.array([turn] * len(out), pa.int32()), pa.array([r[1] for r in out], pa.binary())], ["bucket", "shard", "turn", "body"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, turn = [], 0, 0
+        for batch in batches:
+            for body in batch.column("body").to_pylist():
+                held.append(unpack(body)[0])
+                size += len(held[-1])
+                if size >= 2 * SHARD_IDS:  # equal rows may meet in one shard
+                    yield change(held, turn)
+                    held, size, turn = [], 0, turn + 1
+        if held:
+            yield change(held, turn)
+
+    return run
+
+
+def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The shards' changes, each row of the embedding by how often a shard read it, all else by ids learnt."""
+    for table in keyed_groups(batches, "bucket"):
+        for block, bodies in _grouped(table):
+            parts = [unpack(b) for b in bodies]
+            if block < 0:
+                total = sum(p[0][0] for p in parts)
+                mean = sum(p[1].view("<f4").astype(float) * (p[0][0] / total) for p in parts)
+                body = pack(mean.astype("<f4").view(np.uint8))
+            else:
+                times, moves = np.zeros(ROW_BLOCK), None
+                for row, n, raw in parts:
+                    change = raw.view("<f4").reshape(len(row), -1)
+                    moves = np.zeros((ROW_BLOCK, change.shape[1])) if moves is None else moves
+                    times[row % ROW_BLOCK] += n
+                    moves[row % ROW_BLOCK] += change * n[:, None]
+                row = np.flatnonzero(times)
+                body = pack(block * ROW_BLOCK + row, (moves[row] / times[row][:, None]).astype("<f4").view(np.uint8).ravel())
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([body], pa.binary())], ["bucket", "body"])
+
+
+def _model(learn: DataFrame, content, end: int, parts: int) -> Model:
+    """The attention model: counts, classes and windows of all training texts.
+
+    The driver begins on the pieces of least hash, some START_IDS ids. Where there are more,
+    all pieces are dealt to shards by hash and learnt there in ROUNDS rounds; what a shard
+    learns depends on the rows alone, not on how the table is partitioned.
+    """
+    spark = learn.sparkSession
+    hashed = learn.select(F.xxhash64("id", "text").alias("h"), "text")
+    pieces = cut(hashed.mapInArrow(_cut_ids(content, end), "h long, opens boolean, n long, body binary"), "lm")
+    n_pieces, ids = pieces.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    counts = np.zeros(end + 1, np.int64)
+    for i, n in pieces.select("opens", "body").mapInArrow(_id_counts(end + 1), "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).collect():
+        counts[i] = n
+    near = spark.sparkContext.broadcast(near_of(counts))
+    cells = pieces.select("body").mapInArrow(_contexts(near), "bucket int, body binary")
+    cells = cells.repartitionById(parts, F.pmod("bucket", F.lit(parts))).sortWithinPartitions("bucket")
+    profiles = np.zeros((-(-(end + 1) // ID_BLOCK) * ID_BLOCK, 2 * CONTEXT_IDS), np.float32)
+    for block, body in cells.mapInArrow(_profiles, "bucket int, body binary").collect():
+        profiles[block * ID_BLOCK : (block + 1) * ID_BLOCK] = unpack(bytes(body))[0].view("<f2").reshape(ID_BLOCK, -1)
+    model = fresh_model(counts, profiles)
+
+    wanted = max(1, -(-START_IDS * n_pieces // max(1, ids)))
+    begin = [unpack(bytes(body))[0] for _, body in least_hashes(pieces.select("h", "body"), n_pieces, wanted)]
+    begin = begin or [np.array([end, end])]  # no training text: classes of no use
+    start_fit(model, np.concatenate(begin), np.array([len(x) for x in begin]))
+    if ids <= START_IDS:
+        return model
+    shards = max(1, -(-ids // (ROUNDS * SHARD_IDS)))
+    for turn in range(ROUNDS):
+        shared = spark.sparkContext.broadcast(model)
+        mine = pieces.where(F.pmod("h", F.lit(ROUNDS)) == turn).select("h", "body")
+        dealt = mine.repartitionById(shards, F.pmod(F.shiftright("h", 8), F.lit(shards)).cast("int")).sortWithinPartitions("h", "body")
+        changes = dealt.select("body").mapInArrow(_learn(shared, RATE * 0.5**turn), "bucket int, shard int, turn int, body binary")
+        changes = changes.repartitionById(parts, F.pmod("bucket", F.lit(parts))).sortWithinPartitions("bucket", "shard", "turn")
+        found = {r.bucket: unpack(bytes(r.body)) for r in changes.select("bucket", "body").mapInArrow(_average, "bucket int, body binary").collect()}
+        others = found.pop(-1)[0].view("<f4")
+        rows = np.concatenate([x[0] for x in found.values()])
+        model = moved(model, rows, np.concatenate([x[1] for x in found.values()]).view("<f4").reshape(len(rows), -1), others)
+    return model
+
+
 def _score(shared, content, n_words: int, n_texts: int):
     """Kind 0: a text with what its frequent words and its end give. Kind 1: its other words, by hash."""
     def flush(held):
@@ -269,7 +423,7 @@ def lm_scores(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     Columns: id, `held_out` (crc32 of the id as text leaves 1 when divided by 5), `n_tokens`
     (words and one end), `n_known` (of them met in training texts), `train_tokens`, `base_score`
     (smoothed word counts) and `score` (the mixture). Training texts are all not held out.
-    The attention model is fitted on at most SAMPLE_DOCS of them; counts cover all.
+    The attention model learns from all of them, and all counts cover all.
 
     Null text is empty: its end alone is scored. A null id is not held out and its text is
     learnt from. Repeated rows count as often as they are there and are all returned. An
@@ -286,12 +440,12 @@ def lm_scores(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("learn", F.coalesce(F.crc32(F.col("id").cast("string")) % FOLDS != HELD_OUT, F.lit(True)))
-    model, frequent = _sample(rows, content.value, end)
-    found = rows.where("learn").select("text").mapInArrow(_count(frequent), "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).collect()
-    by_place = {r.place: r.n for r in found}
-    counts = np.array([by_place.get(i, 0) for i in range(len(frequent))], np.int64)
-    tokens, texts = by_place.get(-1, 0), by_place.get(-2, 0)
-    shared = spark.sparkContext.broadcast(Shared(model, frequent, counts, tokens, texts, end, spaced))  # a few MB whatever the corpus
+    learn = rows.where("learn").select("id", "text")
+    texts = learn.count()
+    frequent, counts, words_met = _frequent(learn)
+    tokens = words_met + texts
+    model = _model(learn, content, end, parts)
+    shared = spark.sparkContext.broadcast(Shared(model, frequent, counts, tokens, texts, end, spaced))  # some MB whatever the corpus
 
     columns = "kind int, bucket int, body binary, id long, learn boolean, key long, n_tokens long, n_known long, base double, score double"
     scored = cut(rows.mapInArrow(_score(shared, content, parts, parts), columns), "lm")
