@@ -87,3 +87,14 @@ def test_odd_rows(spark):
     assert by[None].text == "the one and only text of it"
     assert by[4].n_chars == len("word and more words here. ") * 20000 - 1
     assert H.main_text(frame.limit(0)).count() == 0
+
+
+def test_text_of_other_elements_is_read():
+    page = """<article><p>a<svg class="icon"/>b<p>x <math><mi>y</mi><mo/><mn>2</mn></math> z</p><noscript><p>plain</noscript>
+    <object data="f"><p>instead</object><template>later</template><iframe>framed</iframe><p>last<select><option>one<option>two</article><p>after<script>no</script>"""
+    found = H.blocks(page)
+    assert " ".join(t for t, *_ in found) == "a b x y 2 z plain instead later framed last one two after"
+    paths = {t: p for t, p, _ in found}
+    assert paths["y"] == ("article", "p", "math", "mi") and paths["2"] == ("article", "p", "math", "mn")
+    assert paths["b"][:1] == ("article",) and "svg" not in paths["b"] and paths["plain"] == ("article", "noscript", "p")
+    assert paths["instead"] == ("article", "object", "p") and paths["two"][-2:] == ("select", "option") and paths["after"] == ("p",)

@@ -28,7 +28,7 @@ BATCH_PAGES = 128
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>"
-    r"|<(script|style|noscript|template|svg|iframe|object|textarea|select|math)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|$)"
+    r"|<(script|style|textarea)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|$)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
 NAMES = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 NAME = re.compile(r"[a-z]+")
@@ -36,6 +36,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike "
     "strong sub sup time tt u var wbr".split())
+FOREIGN = frozenset("svg math".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 HOLDS = frozenset("article aside body div footer form header html main nav ol section table td th tr ul dl figure blockquote".split())
 # What the made pages call their parts.
@@ -61,8 +62,9 @@ class Block:
 def blocks(page: str) -> list[tuple[str, tuple[str, ...], int]]:
     """Text blocks of a page in order: text, the path of tags and names above it, characters inside links.
 
-    Inline tags do not end a block; block tags and line breaks do. Scripts, styles and other
-    raw elements, comments and declarations are no text. Open tags left open are closed by
+    Inline tags do not end a block; block tags and line breaks do. Scripts, styles,
+    text areas, comments and declarations are no text; every other element is read, and the
+    path says where. Open tags left open are closed by
     what cannot stand in them.
     """
     out: list[Block] = []
@@ -109,8 +111,9 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], int]]:
                 stack.append((tag, ()))
                 links += tag == "a"
             continue
-        if tag not in VOID:
-            ends = CLOSES.get(tag, set()) | {"p"} if tag != "br" else set()
+        foreign = tag in FOREIGN or any(t in FOREIGN for t, _ in stack)
+        if tag not in VOID and not (foreign and match[4].rstrip().endswith("/")):
+            ends = CLOSES.get(tag, set()) | {"p"} if tag != "br" and not foreign else set()
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] in ends:
                     del stack[i:]
