@@ -93,3 +93,21 @@ def test_empty_and_ids(spark):
     one = spark.createDataFrame([(1, "hello there")], "doc_id long, text string")
     row = pack(one, PATH, with_ids=True).first()
     assert np.frombuffer(row.ids, "<u4").tolist() == [*Tokenizer.from_file(PATH).encode("hello there").ids, 0]
+
+
+@pytest.mark.parametrize("histogram,best", [({1025: 3000, 682: 3000, 333: 3000}, 3000), ({1100: 4000, 600: 4000, 340: 4000}, 4000)])
+def test_hot_lengths_need_few_sequences(histogram, best):
+    found = configurations(histogram)
+    held = Counter()
+    for times, config in found:
+        assert sum(x * n for x, n in config.items()) <= 2048
+        held.update({x: times * n for x, n in config.items()})
+    assert held == Counter(histogram)
+    assert sum(t for t, _ in found) <= best * 1.02
+
+
+def test_fractions_come_near_the_program():
+    lengths, demand = np.array([1025, 682, 333]), np.array([3000, 3000, 3000])
+    found = packing.fractional(lengths, demand, 2048)
+    covered = sum(n * np.array([c.get(x, 0) for x in lengths.tolist()]) for n, c in found)
+    assert sum(n for n, _ in found) <= 3000 * 1.15 and (covered >= 0.9 * demand).all()

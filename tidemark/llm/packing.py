@@ -19,6 +19,8 @@ STEP = 1.0  # share of a length's demand that one round may cover
 ROUNDS = 3000  # what is left after them goes by best fit
 RATE = 0.02
 BIAS = 0.02
+DUAL_ROUNDS = 600  # configurations priced for the fractional solution, each over all lengths
+DUAL_STEP = 0.1  # most that a round lowers the logarithm of a length's worth
 PRICED = 192  # lengths a round may use: the dearest, and as many spread over all others
 SALT_ROWS = 100_000
 
@@ -79,9 +81,57 @@ def price(lengths: np.ndarray, worth: np.ndarray, room: np.ndarray, capacity: in
     return out
 
 
+def fractional(lengths: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = DUAL_ROUNDS) -> list[tuple[float, dict[int, int]]]:
+    """The configuration linear program by multiplicative weights: configurations and how often, in fractions, each is taken.
+
+    The worth of one piece of a length is a dual price. Each round prices the best
+    configuration over all lengths, covers the length it uses scarcest by one unit of demand,
+    and lowers the prices of what it covers by that. The last three quarters of the rounds are averaged:
+    what they take, scaled so that half of the lengths are covered.
+    """
+    dual = np.log(lengths / capacity)
+    spot = {x: i for i, x in enumerate(lengths.tolist())}
+    taken: dict[tuple, float] = {}
+    covered = np.zeros(len(lengths))
+    for turn in range(rounds):
+        chosen = price(lengths, np.exp(dual - dual.max()), demand, capacity)
+        where = np.array([spot[x] for x in chosen])
+        part = np.array(list(chosen.values())) / demand[where]
+        dual[where] -= DUAL_STEP * part / part.max()
+        if turn >= rounds // 4:
+            key = tuple(chosen.items())
+            taken[key] = taken.get(key, 0) + 1 / part.max()
+            covered[where] += part / part.max()
+    scale = 1 / max(np.median(covered), 1e-9)
+    return sorted(((n * scale, dict(key)) for key, n in taken.items()), key=lambda c: -c[0])
+
+
 def configurations(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[int, dict[int, int]]]:
     """Configurations (times, {length: copies}) that hold exactly the pieces of a histogram, in few sequences.
 
+    The fractional solution is rounded down, what it leaves is filled by `fullest`. That is
+    compared with `fullest` and with best fit over all pieces, and the fewest sequences win.
+    """
+    full = [(n, {capacity: 1}) for length, n in histogram.items() if length == capacity and n]
+    rest = {x: n for x, n in histogram.items() if n and x < capacity}
+    if not rest:
+        return full
+    lengths = np.array(sorted(rest, reverse=True), np.int64)
+    left, rounded = dict(rest), []
+    for share, config in fractional(lengths, np.array([rest[x] for x in lengths.tolist()], np.int64), capacity):
+        times = min(int(share + 1e-6), *(left[x] // n for x, n in config.items()))
+        if times:
+            rounded.append((times, config))
+            for x, n in config.items():
+                left[x] -= times * n
+    left = {x: n for x, n in left.items() if n}
+    found = [best_fit(rounded, left, capacity), rounded + fullest(left, capacity, rounds), fullest(rest, capacity, rounds), best_fit([], rest, capacity)]
+    return full + min(found, key=lambda groups: sum(times for times, _ in groups))
+
+
+def fullest(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[int, dict[int, int]]]:
+    """Whole numbers of configurations, the fullest first.
+
     Multiplicative weights: a length is worth its tokens times a weight that falls as its
     demand is covered. Each round prices the best configuration by dynamic programming and
     takes it for at most a share STEP of the demand of any of its lengths, rounded down to
