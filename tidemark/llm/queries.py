@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import quality
+from tidemark.llm import fill_in_middle, quality
 from tidemark.plans.registry import Registry
 
 REGISTRY = Registry()
@@ -90,3 +90,11 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.lm_scoring import lm_scores
 
     return lm_scores(table(spark, sf_dir, "documents"), vocabulary_path())
+
+
+@REGISTRY.add("op13_fill_in_middle", fill_in_middle.SQL)
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle.restore(fill_in_middle.rearrange(table(spark, sf_dir, "documents")))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
