@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import fill_in_middle, quality
+from tidemark.llm import fill_in_middle, hard_negatives, quality
 from tidemark.plans.registry import Registry
 
 REGISTRY = Registry()
@@ -98,3 +98,10 @@ def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select(
         "doc_id", "n", "form", "prefix_chars", "middle_chars",
         F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
+@REGISTRY.add("op12_hard_negatives", hard_negatives.SQL)
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("vec_id")
+    label = F.when(key % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), key % 50 == 0, label)
