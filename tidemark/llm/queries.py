@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import fill_in_middle, hard_negatives, quality
+from tidemark.llm import fill_in_middle, hard_negatives, near_vectors, quality
 from tidemark.plans.registry import Registry
 
 REGISTRY = Registry()
@@ -105,3 +105,8 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("vec_id")
     label = F.when(key % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), key % 50 == 0, label)
+
+
+@REGISTRY.add("op11_near_vectors", near_vectors.SQL)
+def op11_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_vectors(table(spark, sf_dir, "embeddings"))
