@@ -138,7 +138,7 @@ def test_as_of_walks_over_empty_buckets_and_ties(spark):
 
     asked = at(spark.createDataFrame([(n, float(n)) for n in (1, 10, 11, 5000, 5001, 99999)], "id long, s double"))
     known = at(spark.createDataFrame([(10.0, "a"), (5000.0, "b"), (5000.5, "c")], "s double, what string"))
-    got = samples.as_of(asked, known.select("at", "what"), "at", "at", ["what"], bucket_seconds=100)
+    got = samples.as_of(asked, known.select("at", "what"), "at", "at", ["what"], blocks=5)
     assert {r["id"]: r["what"] for r in got.collect()} == {
         1: None, 10: "a", 11: "a", 5000: "b", 5001: "c", 99999: "c"
     }

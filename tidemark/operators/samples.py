@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.errors import Refused
 from tidemark.functions import clamp_zero
+from tidemark.workspace import new_dir
 
 
 def is_frozen(checkpoint: str = "checkpoint_id", watermark: str = "watermark") -> Column:
@@ -143,56 +144,55 @@ def settled_at(
     )
 
 
+# Blocks of time for each task that walks them, and blocks a step of the running value covers.
+BLOCKS_A_TASK, BLOCKS_A_STEP = 4, 64
+
+
 def as_of(
-    samples: DataFrame,
-    facts: DataFrame,
-    at: str,
-    fact_at: str,
-    payload: list[str],
-    bucket_seconds: int = 3600,
-    salts: int = 8,
+    samples: DataFrame, facts: DataFrame, at: str, fact_at: str, payload: list[str], blocks: int | None = None,
 ) -> DataFrame:
-    """Each sample with the newest fact at or before it (J8); no join, no pairs.
+    """Each sample with the newest fact at or before it (J8); no join of rows, no pairs.
 
-    Time is cut into buckets. The newest fact before a bucket comes from a
-    running value over one row per bucket; inside a bucket samples and facts
-    are walked in order. Samples of a bucket are spread over `salts` groups,
-    each with its own copy of that bucket's few facts, so a crowded moment does
-    not sit in one task.
+    A segmented scan: samples and facts are cut together, in the order of time, into blocks of
+    about as many rows, wherever in time the rows crowd. Each block's last fact is carried over
+    the blocks after it, in steps of some blocks and then over the steps, and inside a block
+    the last fact so far wins over what was carried in. A sample without a time, or before the
+    first fact, has none; of facts at the same moment one wins, the same in every run.
     """
+    spark = samples.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    names = samples.columns
+
     def micros(c):
         return F.unix_micros(F.col(c).cast("timestamp"))
 
-    def bucket(c):
-        return F.floor(F.col(c) / (bucket_seconds * 1_000_000)).cast("long")
-
-    names = samples.columns
-    value = F.struct(*[F.col(c) for c in payload])
-    known = facts.select(micros(fact_at).alias("__us"), value.alias("__fact"))
-    known = known.withColumn("__bucket", bucket("__us"))
-    asked = samples.select(F.struct(*names).alias("__sample"), micros(at).alias("__us"))
-    asked = asked.withColumn("__bucket", bucket("__us"))
-
-    per_bucket = known.select("__bucket", "__us", "__fact").unionByName(
-        asked.groupBy("__bucket").agg(F.lit(None).cast("long").alias("__us")),
-        allowMissingColumns=True,
-    ).groupBy("__bucket").agg(F.max_by("__fact", "__us").alias("__newest"))
-    earlier = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    carried = per_bucket.select(
-        "__bucket",
-        (F.col("__bucket") * (bucket_seconds * 1_000_000)).alias("__us"),
-        F.last("__newest", ignorenulls=True).over(earlier).alias("__fact"),
-    ).where(F.col("__fact").isNotNull())
-    copies = known.withColumn("__rank", F.lit(1)).unionByName(
-        carried.withColumn("__rank", F.lit(0))
-    ).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    spread = asked.withColumn("__rank", F.lit(2)).withColumn(
-        "__salt", F.pmod(F.xxhash64("__sample"), F.lit(salts)).cast("int")
-    )
-    walk = Window.partitionBy("__bucket", "__salt").orderBy("__us", "__rank")
-    walked = spread.unionByName(copies, allowMissingColumns=True).withColumn(
-        "__asof", F.last("__fact", ignorenulls=True).over(walk)
-    )
-    return walked.where(F.col("__sample").isNotNull()).select(
-        "__sample.*", *[F.col(f"__asof.{c}").alias(c) for c in payload]
-    )
+    known = facts.select(micros(fact_at).alias("us"), F.struct(*payload).alias("fact")).where(F.col("us").isNotNull())
+    asked = samples.select(micros(at).alias("us"), F.struct(*names).alias("sample"))
+    walk = ["us", "rank", "tie"]
+    both = known.select("us", F.lit(0).alias("rank"), "fact", F.xxhash64(F.to_json("fact")).alias("tie")).unionByName(
+        asked.select("us", F.lit(1).alias("rank"), "sample", F.xxhash64(F.monotonically_increasing_id()).alias("tie")),
+        allowMissingColumns=True)
+    dealt = both.repartitionByRange(blocks or BLOCKS_A_TASK * tasks, *walk).withColumn("block", F.spark_partition_id())
+    # the blocks are read twice: written, they are the same both times
+    path = new_dir(spark, "as-of")
+    dealt.write.parquet(path)
+    dealt = spark.read.schema(dealt.schema).parquet(path)
+
+    last = dealt.where(F.col("fact").isNotNull()).groupBy("block").agg(F.max_by("fact", F.struct(*walk)).alias("last"))
+    blocks_there = dealt.select("block").distinct().join(last, "block", "left").withColumn(
+        "step", F.call_function("div", F.col("block"), F.lit(BLOCKS_A_STEP)))
+    in_step = Window.partitionBy("step").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    # a few rows: one for every 64 blocks
+    over_steps = Window.orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
+    steps = blocks_there.groupBy("step").agg(
+        F.max_by("last", F.when(F.col("last").isNotNull(), F.col("block"))).alias("of_step")
+    ).select("step", F.last("of_step", ignorenulls=True).over(over_steps).alias("earlier"))
+    carried = blocks_there.withColumn("near", F.last("last", ignorenulls=True).over(in_step)).join(steps, "step").select(
+        "block", F.coalesce("near", "earlier").alias("carried"))
+
+    # blocks in ranges of about as many rows, so that each task walks as much as the others
+    placed = dealt.join(carried, "block").repartitionByRange(tasks, "block")
+    inside = Window.partitionBy("block").orderBy(*walk).rowsBetween(Window.unboundedPreceding, 0)
+    newest = F.coalesce(F.last("fact", ignorenulls=True).over(inside), F.col("carried"))
+    walked = placed.withColumn("found", F.when(F.col("us").isNotNull(), newest))
+    return walked.where(F.col("rank") == 1).select("sample.*", *[F.col(f"found.{c}").alias(c) for c in payload])
