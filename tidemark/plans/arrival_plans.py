@@ -164,3 +164,37 @@ def landing_lineages(spark, sf_dir):
     return landing.rows().groupBy(LINEAGE).agg(
         F.count(F.lit(1)).alias("rows"), F.countDistinct("event_id").alias("distinct_seq")
     ).join(named, LINEAGE).select("lineage", "rows", "distinct_seq")
+
+
+TARGET_BYTES, WIDE = 1 << 16, 20
+
+
+@REGISTRY.add(
+    "target_file_bytes",
+    """SELECT width, count(*) AS rows, count(DISTINCT event_id) AS distinct_seq, CAST(sum(length(props)) AS BIGINT) AS props_chars,
+   true AS files_near_target FROM (SELECT 'narrow' AS width, event_id, props FROM events
+     UNION ALL SELECT 'wide', event_id, props || repeat(sha256(CAST(event_id AS VARCHAR)), 20) FROM events) GROUP BY width""",
+)
+def target_file_bytes(spark, sf_dir):
+    """Files of a target in bytes, whatever a row weighs (S12): none above twice the target, and none below half of it
+    unless it is all its batch had."""
+    whole = None
+    for width in ("narrow", "wide"):
+        root, events = new_dir(spark, width), read(spark, sf_dir, "events")
+        if width == "wide":
+            padding = F.expr(f"repeat(sha2(cast(event_id AS string), 256), {WIDE})")
+            events = events.withColumn("props", F.concat("props", padding))
+        hi = highest(events, "event_id")
+        arrivals = Arrivals(events, root, F.call_function("div", F.col("event_id") * 2, F.lit(hi + 1)), 2)
+        # a target for the given data and not far below what they are
+        target = max(TARGET_BYTES, Files(spark).total_bytes(f"{root}/staged") // 64)
+        landing = PartitionLanding(spark, f"{root}/table", arrivals.schema, bytes_per_file=target)
+        run_to_end(arrivals, landing, f"{root}/checkpoint", range(2))
+        of_batch = Window.partitionBy(LINEAGE, BATCH)
+        size = landing.files().withColumn("files", F.count(F.lit(1)).over(of_batch))
+        near = (F.col("file_size") <= 2 * target) & ((F.col("file_size") >= target / 2) | (F.col("files") == 1))
+        row = landing.read().agg(
+            F.count(F.lit(1)).alias("rows"), F.countDistinct("event_id").alias("distinct_seq"), F.sum(F.length("props")).alias("props_chars")
+        ).withColumn("width", F.lit(width)).withColumn("files_near_target", F.lit(size.agg(F.bool_and(near)).first()[0]))
+        whole = row if whole is None else whole.union(row)
+    return whole.select("width", "rows", "distinct_seq", "props_chars", "files_near_target")

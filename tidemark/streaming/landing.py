@@ -43,21 +43,35 @@ class PartitionLanding:
         query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
         self.attempts.append((query, batch_id))
         self._at("staged", batch_id)
-        self._dealt(batch).withColumns({LINEAGE: F.lit(query), BATCH: F.lit(batch_id).cast("long")}).write.mode(
-            "overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(LINEAGE, BATCH).parquet(self.path)
+        if self.bytes_per_file is None:
+            self._write(batch if self.writers is None else batch.repartition(self.writers), query, batch_id)
+        else:
+            self._write_by_size(batch, query, batch_id)
         self._at("committed", batch_id)
 
+    def _write(self, rows: DataFrame, query: str, batch_id: int) -> None:
+        rows.withColumns({LINEAGE: F.lit(query), BATCH: F.lit(batch_id).cast("long")}).write.mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic").partitionBy(LINEAGE, BATCH).parquet(self.path)
+
+    def _write_by_size(self, batch: DataFrame, query: str, batch_id: int) -> None:
+        """Even files of about `bytes_per_file` (S12): rows of the batch times the bytes a row had so far.
+
+        The first batch has nothing to go by; it is written as it comes, measured, and written
+        again over itself. A batch of less than a file is one file.
+        """
+        measured = self.bytes_per_row()
+        if measured is None:
+            self._write(batch, query, batch_id)
+            measured = self.bytes_per_row()
+            if measured is None:
+                return
+        files = max(1, round(batch.count() * measured / self.bytes_per_file))
+        self._write(batch.repartition(files), query, batch_id)
+
     def _at(self, point: str, batch_id: int) -> None:
         if self.fault is not None:
             self.fault(point, batch_id)
 
-    def _dealt(self, batch: DataFrame) -> DataFrame:
-        if self.writers is not None:
-            return batch.repartition(self.writers)
-        if self.bytes_per_file is not None:
-            return of_file_size(batch, self.bytes_per_file, self.bytes_per_row())
-        return batch
-
     def bytes_per_row(self) -> float | None:
         """Measured on what has landed so far; None before the first batch."""
         if not self.fs.exists(self.path):
@@ -83,15 +97,3 @@ class PartitionLanding:
     def counts_by_batch(self) -> DataFrame:
         return self.rows().groupBy(LINEAGE, BATCH).agg(F.count(F.lit(1)).alias("rows"))
 
-
-def of_file_size(rows: DataFrame, bytes_per_file: int, bytes_per_row: float | None) -> DataFrame:
-    """Rows rebalanced so that a task writes about `bytes_per_file`.
-
-    AQE rebalances by the size of shuffled rows, which is not that of files. Rows are
-    counted and each task given as many as make a file, at the bytes a row measured on
-    earlier files; without a measure the shuffled size has to do.
-    """
-    if bytes_per_row is None:
-        return rows.hint("rebalance")
-    files = max(1, round(rows.count() * bytes_per_row / bytes_per_file))
-    return rows.hint("rebalance", files)
