@@ -1,6 +1,7 @@
 import html
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -98,3 +99,19 @@ def test_text_of_other_elements_is_read():
     assert paths["y"] == ("article", "p", "math", "mi") and paths["2"] == ("article", "p", "math", "mn")
     assert paths["b"][:1] == ("article",) and "svg" not in paths["b"] and paths["plain"] == ("article", "noscript", "p")
     assert paths["instead"] == ("article", "object", "p") and paths["two"][-2:] == ("select", "option") and paths["after"] == ("p",)
+
+
+@pytest.mark.parametrize("page", ["<a " * 3_300_000, '"' * 10_000_000, '<p "' * 1_000_000, "<p '" * 1_000_000, "<!--" * 1_000_000, "<div>" * 100_000 + "</x>" * 100_000,
+                                  "<span>" * 50_000 + "<h1>" * 50_000, "<script>" + "</script " * 300_000, "<div>x" * 50_000])
+def test_broken_markup_takes_time_in_proportion(page):
+    started = time.time()
+    H.blocks(page)
+    assert time.time() - started < 20
+
+
+def test_what_is_left_open_is_no_text():
+    assert [b[0] for b in H.blocks('<p title="it>First.')] == ["First."]
+    assert [b[0] for b in H.blocks("a < b <p>one</p> <q two")] == ["a < b", "one"]
+    assert [b[0] for b in H.blocks("one<!-- two <p>three")] == ["one"]
+    assert [b[0] for b in H.blocks("<script>x<p>y</SCRIPT >one<style>z")] == ["one"]
+    assert [b[0] for b in H.blocks("<p title='a>b' id=x>one</p>")] == ["one"]

@@ -26,10 +26,11 @@ MADE_PAGES = 700
 EPOCHS = 12
 BATCH_PAGES = 128
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>"
-    r"|<(script|style|textarea)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|$)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
+TAG = re.compile(r"/?([a-zA-Z][a-zA-Z0-9:-]*)")
+BARE = re.compile(r"[^>\"']*")
+# Elements whose content is no text.
+RAW_ENDS = {name: re.compile(rf"</{name}\s*>", re.I) for name in ("script", "style", "textarea")}
+TRAIL = 32  # elements above a block that its path names, the nearest
 NAMES = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 NAME = re.compile(r"[a-z]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -59,6 +60,57 @@ class Block:
         return " ".join("".join(self.pieces).split())
 
 
+def markup(page: str) -> Iterator[tuple[int, int, str | None, bool, str]]:
+    """Begin, end, tag, whether it closes, and attributes of all markup in order; comments and declarations have no tag.
+
+    One pass that never goes back, whatever is left open: a quote that nothing closes ends
+    with the next `>`, and a tag, comment or declaration that nothing closes is the rest of
+    the page. A raw element is one piece with its content, as an opening tag.
+    """
+    size = len(page)
+    unclosed: set[str] = set()
+
+    def found(what: str, at: int) -> int:
+        """Where `what` is next; what is not there is not looked for again."""
+        if what in unclosed:
+            return -1
+        where = page.find(what, at)
+        if where < 0:
+            unclosed.add(what)
+        return where
+
+    at = 0
+    while (begin := found("<", at)) >= 0:
+        for opening, closing in (("<!--", "-->"), ("<![CDATA[", "]]>"), ("<!", ">"), ("<?", ">")):
+            if page.startswith(opening, begin):
+                where = found(closing, begin + len(opening))
+                at = size if where < 0 else where + len(closing)
+                yield begin, at, None, False, ""
+                break
+        else:
+            name = TAG.match(page, begin + 1)
+            if name is None:
+                at = begin + 1
+                continue
+            at = name.end()
+            while True:
+                at = BARE.match(page, at).end()
+                if at >= size or page[at] == ">":
+                    break
+                close = found(page[at], at + 1)
+                if close < 0:
+                    close = found(">", at)
+                    at = size if close < 0 else close
+                    break
+                at = close + 1
+            attributes, tag, closes = page[name.end() : at], name[1].lower(), page[begin + 1] == "/"
+            at = min(at + 1, size)
+            if tag in RAW_ENDS and not closes:
+                end = RAW_ENDS[tag].search(page, at)
+                at = size if end is None else end.end()
+            yield begin, at, tag, closes, attributes
+
+
 def blocks(page: str) -> list[tuple[str, tuple[str, ...], int]]:
     """Text blocks of a page in order: text, the path of tags and names above it, characters inside links.
 
@@ -69,61 +121,71 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], int]]:
     """
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
-    path: tuple[str, ...] = ()
-    now = Block(path)
-    links = 0
+    opened: dict[str, int] = {}
+    now = Block(())
 
     def add(raw: str) -> None:
-        nonlocal now
         text = references.unescape(raw) if "&" in raw else raw
+        if not now.pieces:
+            now.path = tuple(n for tag, names in stack[-TRAIL:] if tag not in INLINE for n in (tag, *names))
         now.pieces.append(text)
-        if links:
+        if opened.get("a"):
             now.linked += len(text)
 
     def turn() -> None:
-        nonlocal now, path
+        nonlocal now
         if any(p and not p.isspace() for p in now.pieces):
             out.append(now)
-        path = tuple(n for tag, names in stack if tag not in INLINE for n in (tag, *names))
-        now = Block(path)
+        now = Block(())
+
+    def push(tag: str, names: tuple[str, ...]) -> None:
+        stack.append((tag, names))
+        opened[tag] = opened.get(tag, 0) + 1
+
+    def cut_to(depth: int) -> None:
+        for tag, _ in stack[depth:]:
+            opened[tag] -= 1
+        del stack[depth:]
 
     at = 0
-    for match in TOKEN.finditer(page):
-        if match.start() > at:
-            add(page[at : match.start()])
-        at = match.end()
-        tag = match[3]
+    for begin, end, tag, closes, attributes in markup(page):
+        if begin > at:
+            add(page[at:begin])
+        at = end
         if tag is None:
-            if match[1] and match[1].lower() not in INLINE:
-                turn()
             continue
-        tag = tag.lower()
-        if match[2]:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if depth is not None and (tag in HOLDS or not any(t in HOLDS for t, _ in stack[depth + 1 :])):
-                del stack[depth:]
-            links = sum(t == "a" for t, _ in stack)
+        if tag in RAW_ENDS and not closes:
+            turn()
+            continue
+        if closes:
+            if opened.get(tag):
+                for i in range(len(stack) - 1, -1, -1):
+                    if stack[i][0] == tag:
+                        cut_to(i)
+                        break
+                    if stack[i][0] in HOLDS and tag not in HOLDS:
+                        break
             if tag not in INLINE:
                 turn()
             continue
+        alone = attributes.rstrip().endswith("/")
         if tag in INLINE:
-            if tag not in VOID and not match[4].rstrip().endswith("/"):
-                stack.append((tag, ()))
-                links += tag == "a"
+            if tag not in VOID and not alone:
+                push(tag, ())
             continue
-        foreign = tag in FOREIGN or any(t in FOREIGN for t, _ in stack)
-        if tag not in VOID and not (foreign and match[4].rstrip().endswith("/")):
-            ends = CLOSES.get(tag, set()) | {"p"} if tag != "br" and not foreign else set()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in ends:
-                    del stack[i:]
-                    break
-                if stack[i][0] in HOLDS and stack[i][0] not in ("tr",):
-                    break
-            names = tuple("." + n for value in NAMES.findall(match[4]) for n in NAME.findall(value.lower())) if match[4] else ()
-            stack.append((tag, names))
-            links = sum(t == "a" for t, _ in stack)
+        foreign = tag in FOREIGN or any(opened.get(t) for t in FOREIGN)
         turn()
+        if tag not in VOID and not (foreign and alone):
+            ends = CLOSES.get(tag, set()) | {"p"} if tag != "br" and not foreign else set()
+            if any(opened.get(t) for t in ends):
+                for i in range(len(stack) - 1, -1, -1):
+                    if stack[i][0] in ends:
+                        cut_to(i)
+                        break
+                    if stack[i][0] in HOLDS and stack[i][0] not in ("tr",):
+                        break
+            names = tuple("." + n for value in NAMES.findall(attributes) for n in NAME.findall(value.lower())) if attributes else ()
+            push(tag, names)
     if at < len(page):
         add(page[at:])
     turn()
