@@ -3,7 +3,7 @@ import re
 
 import pytest
 
-from tidemark.llm.url_filter import DAMPING, MARGIN, Rule, judge_urls
+from tidemark.llm.url_filter import DAMPING, MARGIN, Rule, judge_urls, propagate
 
 RULES = [Rule("net/", "block"), Rule("example.net/en/", "allow"), Rule("example.com/de/", "block"), Rule("org/fr/", "allow"), Rule("tie.org/aa", "allow"), Rule("b.tie.org/", "block")]
 
@@ -82,3 +82,11 @@ def test_empty_and_no_links(spark):
     assert judge_urls(frame, RULES).count() == 0
     frame = spark.createDataFrame([(1, "http://a.com/", None), (2, "http://a.net/", "")], "page_id long, url string, html string")
     assert sorted(map(tuple, judge_urls(frame, RULES).collect())) == [(1, "a.com", "/", None, "allow"), (2, "a.net", "/", "net/", "block")]
+
+
+def test_rounds_go_on_until_no_verdict_can_change(spark):
+    """Two hosts that link to one another; what the second gets comes over the margin after 40 rounds only."""
+    seeds = spark.createDataFrame([("a.info", 0.0, 0.1633), ("b.info", 0.0, 0.0)], "host string, allowed double, blocked double")
+    links = spark.createDataFrame([("a.info", "b.info", 1.0), ("b.info", "a.info", 1.0)], "src string, dst string, n double")
+    got = {r["host"]: r["distrust"] - r["trust"] for r in propagate(seeds, links).collect()}
+    assert got["b.info"] > MARGIN

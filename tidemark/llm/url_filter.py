@@ -11,8 +11,8 @@ from tidemark.llm.common import cut
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 DAMPING = 0.85
-ROUNDS = 40
-SETTLED = 1e-7
+# An error no verdict depends on, where a score lies on the margin itself.
+SETTLED = 1e-12
 # A host is blocked when its distrust exceeds its trust by what a host gets that lies alone
 # and has half its pages blocked.
 MARGIN = 0.5 * (1 - DAMPING)
@@ -66,12 +66,14 @@ def edges(pages: DataFrame) -> DataFrame:
     return links.where("dst <> '' AND src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("n"))
 
 
-def propagate(seeds: DataFrame, links: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def propagate(seeds: DataFrame, links: DataFrame) -> DataFrame:
     """`trust` and `distrust` of every host from seeds (host, allowed, blocked, each 0 to 1).
 
     Trust is personalised PageRank along links; distrust the same against their direction,
     from a blocked host to those that link to it. Both go in one join and one sum a round,
-    written below `spark.checkpoint.dir`, until no score moves by more than SETTLED.
+    written below `spark.checkpoint.dir`. A round shrinks the sum of all moves to DAMPING of
+    it at most, so what is still to come is bounded by the last round's sum; it ends when no
+    host with links lies nearer to MARGIN than that, or the bound is below SETTLED.
     """
     out = links.groupBy("src").agg(F.sum("n").alias("of"))
     into = links.groupBy("dst").agg(F.sum("n").alias("of"))
@@ -85,22 +87,23 @@ def propagate(seeds: DataFrame, links: DataFrame, rounds: int = ROUNDS) -> DataF
     now = start.select("host", F.col("own_trust").alias("trust"), F.col("own_distrust").alias("distrust"))
     if steps.isEmpty():
         return now
-    for _ in range(rounds):
+    while True:
         got = steps.join(now, steps.a == now.host).groupBy(F.col("b").alias("host")).agg(
             F.sum(F.col("trust") * F.col("forth")).alias("t"), F.sum(F.col("distrust") * F.col("back")).alias("d"))
         after = cut(start.join(got, "host", "left").select(
             "host", (F.col("own_trust") + DAMPING * F.coalesce("t", F.lit(0.0))).alias("trust"),
-            (F.col("own_distrust") + DAMPING * F.coalesce("d", F.lit(0.0))).alias("distrust")), "hosts")
-        moved = after.join(now.toDF("host", "t", "d"), "host").agg(
-            F.max(F.greatest(F.abs(F.col("trust") - F.col("t")), F.abs(F.col("distrust") - F.col("d"))))).first()[0]
-        now = after
-        if moved <= SETTLED:
-            break
-    return now
+            (F.col("own_distrust") + DAMPING * F.coalesce("d", F.lit(0.0))).alias("distrust"), F.col("t").isNotNull().alias("linked")), "hosts")
+        trust, distrust, gap = after.where("linked").join(now.toDF("host", "t", "d"), "host").agg(
+            F.sum(F.abs(F.col("trust") - F.col("t"))), F.sum(F.abs(F.col("distrust") - F.col("d"))),
+            F.min(F.abs(F.col("distrust") - F.col("trust") - MARGIN))).first()
+        now = after.select("host", "trust", "distrust")
+        to_come = (trust + distrust) * DAMPING / (1 - DAMPING)
+        if to_come < max(gap, SETTLED):
+            return now
 
 
 def judge_urls(
-    pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rounds: int = ROUNDS,
+    pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
 ) -> DataFrame:
     """`host`, `path`, `rule` and `verdict` of every url, one row per row of `pages`.
 
@@ -127,7 +130,7 @@ def judge_urls(
     seeds = ruled.where("host <> ''").groupBy("host").agg(
         F.avg((F.coalesce("rule_verdict", F.lit("")) == "allow").cast("double")).alias("allowed"),
         F.avg((F.coalesce("rule_verdict", F.lit("")) == "block").cast("double")).alias("blocked"))
-    scores = propagate(seeds, cut(edges(named), "hosts"), rounds)
+    scores = propagate(seeds, cut(edges(named), "hosts"))
     blocked = scores.select("host", (F.col("distrust") - F.col("trust") > MARGIN).alias("distrusted"))
     judged = ruled.join(blocked, "host", "left")
     return judged.select(
