@@ -2,8 +2,10 @@ import random
 import string
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from tidemark.llm import decontamination
 from tidemark.llm.decontamination import contaminated, keep_clean
 
 
@@ -98,3 +100,11 @@ def test_tiles_do_not_overlap(spark):
     bench = spark.createDataFrame([(1, "a b c d e f g h i j")], "item_id long, text string")
     row = contaminated(docs, bench, coverage=0.5).first()
     assert [tuple(t) for t in row.tiles] == [(6, 0, 9)] and np.isclose(row.coverage, 0.9)
+
+
+def test_any_number_of_marks_is_no_part_of_a_word():
+    texts = pa.array(["word", "." * 70 + "word" + "!" * 200, "..." * 100 + " word", "wo" + "." * 90 + "rd"])
+    found, start = decontamination.word_hashes(texts)
+    by_text = [found[a:b].tolist() for a, b in zip(start[:-1], start[1:])]
+    assert by_text[0] == by_text[1] == by_text[2] and len(by_text[0]) == 1
+    assert by_text[3] != by_text[0] and len(by_text[3]) == 1

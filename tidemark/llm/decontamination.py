@@ -30,13 +30,13 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     first, end, start = words_of(data, at)
     if not len(first):
         return np.zeros(0, np.uint64), start
-    for _ in range(64):
-        left = (first < end) & PUNCTUATION[data[np.minimum(first, len(data) - 1)]]
-        first = first + left
-        right = (first < end) & PUNCTUATION[data[end - 1]]
-        end = end - right
-        if not (left.any() or right.any()):
-            break
+    # the nearest byte that is no mark, from each place on and up to each place
+    real = ~PUNCTUATION[data]
+    place = np.arange(len(data))
+    following = np.minimum.accumulate(np.where(real, place, len(data))[::-1])[::-1]
+    preceding = np.maximum.accumulate(np.where(real, place, -1))
+    first = np.minimum(following[first], end)
+    end = np.maximum(preceding[end - 1] + 1, first)
     real = first < end
     hashes = span_hashes(data, first, end)[real]
     return hashes, np.concatenate([[0], np.cumsum(real)])[start]
