@@ -15,13 +15,12 @@ from tidemark.llm.tokens import BATCH_BYTES, Encoder, vocabulary
 
 CAPACITY = 2048
 END = 0
-STEP = 1.0  # share of a length's demand that one round may cover
-ROUNDS = 3000  # what is left after them goes by best fit
-RATE = 0.02
-BIAS = 0.02
-DUAL_ROUNDS = 600  # configurations priced for the fractional solution, each over all lengths
-DUAL_STEP = 0.1  # most that a round lowers the logarithm of a length's worth
-PRICED = 192  # lengths a round may use: the dearest, and as many spread over all others
+# How near the fractional solution comes to a lower bound, and the pricings one start has for that.
+GAP = 0.05
+PATIENCE = 1000
+# A step covers this share of a length's demand; a weight falls by e to the STEEP where a length is covered once more.
+STEP = 0.1
+STEEP = 8.0
 SALT_ROWS = 100_000
 
 
@@ -55,118 +54,121 @@ def pieces(docs: DataFrame, path: str, capacity: int, end: int, id_col: str, tex
     return rows.mapInArrow(run, f"id {kind}, piece int, start long, length long, ids_crc32 long, ids binary")
 
 
-def price(lengths: np.ndarray, worth: np.ndarray, room: np.ndarray, capacity: int) -> dict[int, int]:
-    """The fullest-valued configuration: knapsack over the capacity, each length at most `room` times."""
-    best = np.zeros(capacity + 1)
-    parts, taken = [], []
-    for length, value, most in zip(lengths.tolist(), worth.tolist(), room.tolist()):
-        copies, left = 1, min(most, capacity // length)
-        while left > 0:
-            k = min(copies, left)
-            size = k * length
-            trial = best[:-size] + k * value
-            better = trial > best[size:]
-            best[size:][better] = trial[better]
-            parts.append((length, k))
-            taken.append(better)
-            left -= k
-            copies *= 2
-    out: dict[int, int] = {}
-    at = capacity
-    for (length, k), better in zip(reversed(parts), reversed(taken)):
-        size = k * length
-        if at >= size and better[at - size]:
-            out[length] = out.get(length, 0) + k
-            at -= size
+def knapsack(lengths: np.ndarray, worth: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """For every capacity the greatest worth that fits, and the length last put in (0: a token is left empty).
+
+    One pass over the capacities, each over all lengths at once; copies are not limited.
+    """
+    best, choice = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
+    of_length = np.full(capacity + 1, -np.inf)
+    of_length[lengths] = worth
+    value = np.empty(capacity)
+    for at in range(1, capacity + 1):
+        now = np.add(best[at - 1 :: -1], of_length[1 : at + 1], out=value[:at])
+        k = now.argmax()
+        if now[k] > best[at - 1]:
+            best[at], choice[at] = now[k], k + 1
+        else:
+            best[at] = best[at - 1]
+    return best, choice
+
+
+def walk(choice: np.ndarray, at: int) -> list[int]:
+    """The lengths that make up the best of a capacity."""
+    out = []
+    while at > 0:
+        length = int(choice[at])
+        if length:
+            out.append(length)
+        at -= length or 1
     return out
 
 
-def fractional(lengths: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = DUAL_ROUNDS) -> list[tuple[float, dict[int, int]]]:
-    """The configuration linear program by multiplicative weights: configurations and how often, in fractions, each is taken.
+def fractional(lengths: np.ndarray, demand: np.ndarray, capacity: int, gap: float = GAP) -> tuple[list[tuple[float, dict[int, int]]], float]:
+    """The configuration linear program by multiplicative weights: configurations, how often, in fractions, each is taken, and a lower bound.
+
+    The worth of a length is its share of a sequence times a weight that falls exponentially
+    with how far it is covered ahead of the least covered one. One knapsack program prices all
+    configurations: it gives each length the best configuration that holds it. Those of the
+    least covered lengths are taken, each until the scarcest length in it is covered by one
+    step more. Scaled by the least coverage the sum covers all demand; any worths give a lower
+    bound, demand's worth over the best configuration's. Done when the two are within `gap`.
 
-    The worth of one piece of a length is a dual price. Each round prices the best
-    configuration over all lengths, covers the length it uses scarcest by one unit of demand,
-    and lowers the prices of what it covers by that. The last three quarters of the rounds are averaged:
-    what they take, scaled so that half of the lengths are covered.
+    A configuration with a length that is well ahead waits for the next pricing, which suits
+    the lengths of texts; where that does not end in PATIENCE pricings, another start takes
+    them too, and the better of the two solutions is the answer. The bound may lie below what
+    any solution reaches, so the gap is not always closed.
     """
-    dual = np.log(lengths / capacity)
-    spot = {x: i for i, x in enumerate(lengths.tolist())}
-    taken: dict[tuple, float] = {}
-    covered = np.zeros(len(lengths))
-    for turn in range(rounds):
-        chosen = price(lengths, np.exp(dual - dual.max()), demand, capacity)
-        where = np.array([spot[x] for x in chosen])
-        part = np.array(list(chosen.values())) / demand[where]
-        dual[where] -= DUAL_STEP * part / part.max()
-        if turn >= rounds // 4:
-            key = tuple(chosen.items())
-            taken[key] = taken.get(key, 0) + 1 / part.max()
-            covered[where] += part / part.max()
-    scale = 1 / max(np.median(covered), 1e-9)
-    return sorted(((n * scale, dict(key)) for key, n in taken.items()), key=lambda c: -c[0])
-
-
-def configurations(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[int, dict[int, int]]]:
-    """Configurations (times, {length: copies}) that hold exactly the pieces of a histogram, in few sequences.
+    spot = np.argsort(lengths)
+    sizes, wanted = lengths[spot], demand[spot].astype(np.float64)
+    place = {x: i for i, x in enumerate(sizes.tolist())}
+    bound, found = float((sizes * wanted).sum() / capacity), []
+    for waits in (True, False):
+        covered, total, least = np.zeros(len(sizes)), 0.0, 0.0
+        taken: dict[tuple, float] = {}
+        for _ in range(PATIENCE):
+            worth = sizes / capacity * np.exp(-STEEP * (covered - least))
+            best, choice = knapsack(sizes, worth, capacity)
+            bound = max(bound, float((wanted * worth).sum() / best[capacity]))
+            limit = least + STEP
+            for rank, i in enumerate(np.argsort(covered, kind="stable").tolist()):
+                if covered[i] >= limit:
+                    break
+                parts = [place[x] for x in walk(choice, capacity - int(sizes[i]))]
+                if waits and rank and any(covered[k] > limit + STEP for k in parts):
+                    continue
+                where, copies = np.unique([i, *parts], return_counts=True)
+                share = copies / wanted[where]
+                times = STEP / share.max()
+                covered[where] += times * share
+                total += times
+                key = tuple(zip(sizes[where].tolist(), copies.tolist()))
+                taken[key] = taken.get(key, 0.0) + times
+            least = covered.min()
+            if least > 0 and total / least <= (1 + gap) * bound:
+                break
+        if least > 0:
+            found.append((total / least, least, taken))
+            if total / least <= (1 + gap) * bound:
+                break
+    _, least, taken = min(found, key=lambda f: f[0])
+    return sorted(((n / least, dict(key)) for key, n in taken.items()), key=lambda c: -c[0]), bound
 
-    The fractional solution is rounded down, what it leaves is filled by `fullest`. That is
-    compared with `fullest` and with best fit over all pieces, and the fewest sequences win.
+
+def rounded(shares: list[tuple[float, dict[int, int]]], histogram: dict[int, int]) -> tuple[list[tuple[int, dict[int, int]]], dict[int, int]]:
+    """Whole numbers of configurations and the pieces they leave.
+
+    Shares are rounded along their running sum, so about as many sequences are taken as the
+    program asks for, and none of which a length has run out: what is not covered by whole
+    configurations stays for the rest.
     """
-    full = [(n, {capacity: 1}) for length, n in histogram.items() if length == capacity and n]
-    rest = {x: n for x, n in histogram.items() if n and x < capacity}
-    if not rest:
-        return full
-    lengths = np.array(sorted(rest, reverse=True), np.int64)
-    left, rounded = dict(rest), []
-    for share, config in fractional(lengths, np.array([rest[x] for x in lengths.tolist()], np.int64), capacity):
-        times = min(int(share + 1e-6), *(left[x] // n for x, n in config.items()))
+    left, out, running = dict(histogram), [], 0.0
+    for share, config in shares:
+        times = min(int(running + share + 1e-9) - int(running + 1e-9), *(left[x] // n for x, n in config.items()))
+        running += share
         if times:
-            rounded.append((times, config))
+            out.append((times, config))
             for x, n in config.items():
                 left[x] -= times * n
-    left = {x: n for x, n in left.items() if n}
-    found = [best_fit(rounded, left, capacity), rounded + fullest(left, capacity, rounds), fullest(rest, capacity, rounds), best_fit([], rest, capacity)]
-    return full + min(found, key=lambda groups: sum(times for times, _ in groups))
+    return out, {x: n for x, n in left.items() if n}
 
 
-def fullest(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[int, dict[int, int]]]:
-    """Whole numbers of configurations, the fullest first.
+def configurations(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, dict[int, int]]]:
+    """Configurations (times, {length: copies}) that hold exactly the pieces of a histogram, in few sequences.
 
-    Multiplicative weights: a length is worth its tokens times a weight that falls as its
-    demand is covered. Each round prices the best configuration by dynamic programming and
-    takes it for at most a share STEP of the demand of any of its lengths, rounded down to
-    a whole number, once at least and never beyond what is left; so the fractional
-    solution is rounded as it is made. What the last round leaves goes by best fit, the
-    longest first, into the room that is left, then into new sequences. The work depends on
-    the number of lengths, at most `capacity`, not on the number of pieces.
+    The fractional solution is rounded and what it leaves goes by best fit, the longest first,
+    into the room that is left, then into new sequences. Best fit over all pieces is tried
+    too, and the fewer sequences win. The work depends on the number of lengths, at most
+    `capacity`, not on the number of pieces.
     """
-    out = [(n, {capacity: 1}) for length, n in histogram.items() if length == capacity and n]
-    lengths = np.array(sorted((x for x, n in histogram.items() if n and x < capacity), reverse=True), np.int64)
-    demand = np.array([histogram[x] for x in lengths.tolist()], np.int64)
-    left = demand.copy()
-    spot = {x: i for i, x in enumerate(lengths.tolist())}
-    groups: list[tuple[int, dict[int, int]]] = []
-    for _ in range(rounds):
-        live = np.flatnonzero(left)
-        if not len(live):
-            break
-        share = left[live] / demand[live]
-        worth = lengths[live] * np.exp(RATE * (share - share.max())) * (1 + BIAS * lengths[live] / capacity)
-        if len(live) > PRICED:
-            order = np.argsort(-worth, kind="stable")
-            rest = np.sort(order[PRICED // 2 :])
-            pick = np.unique(np.concatenate([order[: PRICED // 2], rest[np.linspace(0, len(rest) - 1, PRICED // 2).astype(int)]]))
-            live, worth = live[pick], worth[pick]
-        chosen = price(lengths[live], worth, left[live], capacity)
-        if not chosen:
-            break
-        where = np.array([spot[x] for x in chosen])
-        copies = np.array(list(chosen.values()))
-        most = int((left[where] // copies).min())
-        times = max(1, min(most, int((STEP * demand[where] / copies).min())))
-        left[where] -= times * copies
-        groups.append((times, chosen))
-    return out + best_fit(groups, {x: n for x, n in zip(lengths.tolist(), left.tolist()) if n}, capacity)
+    full = [(n, {capacity: 1}) for length, n in histogram.items() if length == capacity and n]
+    rest = {x: n for x, n in histogram.items() if n and x < capacity}
+    if not rest:
+        return full
+    lengths = np.array(sorted(rest, reverse=True), np.int64)
+    shares, _ = fractional(lengths, np.array([rest[x] for x in lengths.tolist()], np.int64), capacity)
+    found = [best_fit(*rounded(shares, rest), capacity), best_fit([], rest, capacity)]
+    return full + min(found, key=lambda groups: sum(times for times, _ in groups))
 
 
 def best_fit(groups: list[tuple[int, dict[int, int]]], rest: dict[int, int], capacity: int) -> list[tuple[int, dict[int, int]]]:
@@ -225,7 +227,7 @@ def pack(
 
     The driver sees the histogram of lengths only. Pieces are ranked within their length
     by salted groups, and the rank says the place: the table of places has a row per length
-    and configuration, at most a few times the number of rounds.
+    and configuration, as many as the pricings found.
     """
     spark = docs.sparkSession
     cutting = cut(pieces(docs, path, capacity, end, id_col, text_col, with_ids), "packing")
