@@ -18,6 +18,7 @@ END = 0
 # How near the fractional solution comes to a lower bound, and the pricings one start has for that.
 GAP = 0.05
 PATIENCE = 1000
+FINER = 400
 # A step covers this share of a length's demand; a weight falls by e to the STEEP where a length is covered once more.
 STEP = 0.1
 STEEP = 8.0
@@ -94,8 +95,8 @@ def fractional(lengths: np.ndarray, demand: np.ndarray, capacity: int, gap: floa
     step more. Scaled by the least coverage the sum covers all demand; any worths give a lower
     bound, demand's worth over the best configuration's. Done when the two are within `gap`.
 
-    A configuration with a length that is well ahead waits for the next pricing, which suits
-    the lengths of texts; where that does not end in PATIENCE pricings, another start takes
+    A configuration with a length that is well ahead waits for the next pricing, and steps
+    become finer, which suits the lengths of texts; where that does not end in PATIENCE pricings, another start takes
     them too, and the better of the two solutions is the answer. The bound may lie below what
     any solution reaches, so the gap is not always closed.
     """
@@ -106,20 +107,21 @@ def fractional(lengths: np.ndarray, demand: np.ndarray, capacity: int, gap: floa
     for waits in (True, False):
         covered, total, least = np.zeros(len(sizes)), 0.0, 0.0
         taken: dict[tuple, float] = {}
-        for _ in range(PATIENCE):
-            worth = sizes / capacity * np.exp(-STEEP * (covered - least))
+        step, steep = STEP, STEEP
+        for turn in range(1, PATIENCE + 1):
+            worth = sizes / capacity * np.exp(-steep * (covered - least))
             best, choice = knapsack(sizes, worth, capacity)
             bound = max(bound, float((wanted * worth).sum() / best[capacity]))
-            limit = least + STEP
+            limit = least + step
             for rank, i in enumerate(np.argsort(covered, kind="stable").tolist()):
                 if covered[i] >= limit:
                     break
                 parts = [place[x] for x in walk(choice, capacity - int(sizes[i]))]
-                if waits and rank and any(covered[k] > limit + STEP for k in parts):
+                if waits and rank and any(covered[k] > limit + step for k in parts):
                     continue
                 where, copies = np.unique([i, *parts], return_counts=True)
                 share = copies / wanted[where]
-                times = STEP / share.max()
+                times = step / share.max()
                 covered[where] += times * share
                 total += times
                 key = tuple(zip(sizes[where].tolist(), copies.tolist()))
@@ -127,6 +129,8 @@ def fractional(lengths: np.ndarray, demand: np.ndarray, capacity: int, gap: floa
             least = covered.min()
             if least > 0 and total / least <= (1 + gap) * bound:
                 break
+            if waits and turn % FINER == 0:
+                step, steep = step / 2, steep * 1.5
         if least > 0:
             found.append((total / least, least, taken))
             if total / least <= (1 + gap) * bound:
