@@ -70,6 +70,7 @@ def test_watermark_is_the_newest_snapshots_or_null(spark):
 
 # -- samples -----------------------------------------------------------------------
 
+# The polls of a recorded run, its times, checkpoint ids, and row counts before and after id 19.
 SECONDS = [0.0, 7.2, 14.5, 21.7, 29.2, 36.4, 43.6, 50.9, 58.1, 65.4]
 IDS = [7, 9, 10, 12, 13, 14, 16, 17, 19, 20]
 
@@ -216,34 +217,27 @@ def test_sample_summary_and_findings(spark):
 
 # -- comparison --------------------------------------------------------------------
 
-def runs(spark, rows):
-    return spark.createDataFrame(
-        [(k, f, a, m, s) for k, (f, a, m, s) in rows.items()],
-        "run_key string, data_files long, avg_data_file_bytes long, max_files_in_one_commit long, seconds_to_visible double",
-    )
+def judged(spark, rows, claims, repeats):
+    frame = spark.createDataFrame([(k, *v) for k, v in rows.items()], "run string, files long, wait double")
+    found = compare.judge_claims(compare.long_form(frame, "run", ["files", "wait"]), claims, repeats).collect()
+    return {r["claim"]: (r["found"], r["allowed"], r["holds"]) for r in found}
 
 
-def find(spark, rows):
-    return compare.run_findings(
-        runs(spark, rows), "5s", "again", "1gb", "120s", target_bytes=1 << 30, writers=2
-    ).first()
-
-
-def test_control_comparison_can_come_out_either_way(spark):
-    row = find(spark, {
-        "120s": (6, 74556, 2, 90.7), "30s": (16, 34545, 2, 25.9), "5s": (78, 13259, 2, 1.3),
-        "again": (78, 13249, 2, 1.2), "1gb": (80, 13041, 2, 1.4),
-    })
-    assert (row["repeat_differed_by_files"], row["repeat_differed_by_avg_bytes"]) == (0, 10)
-    assert (row["control_differed_by_files"], row["control_differed_by_avg_bytes"]) == (2, 218)
-    assert not row["control_within_noise"] and not row["prediction_held"]
-    assert row["largest_avg_file_bytes"] == 74556 and row["slow_cost_seconds"] == 89.4
-    assert row["every_file_far_below_target"] and row["slow_gave_fewer_files"] and row["slow_gave_larger_files"]
-    quiet = find(spark, {
-        "5s": (78, 13259, 2, 1.0), "again": (70, 13000, 2, 1.0), "1gb": (77, 13200, 2, 1.0),
-        "120s": (8, 120000, 2, 1.0), "30s": (20, 50000, 2, 1.0),
-    })
-    assert quiet["control_within_noise"] and quiet["prediction_held"]
+def test_claims_are_judged_over_the_noise_of_repeats(spark):
+    rows = {"a": (50, 2.0), "a again": (47, 2.5), "b": (52, 2.25), "c": (9, 31.0), "c again": (9, 30.0)}
+    claims = [
+        compare.Claim("same files", compare.WITHIN_NOISE, "files", "b", "a"), compare.Claim("same wait", compare.WITHIN_NOISE, "wait", "c", "a"),
+        compare.Claim("fewer", compare.BELOW, "files", "c", "a"), compare.Claim("sooner", compare.BELOW, "wait", "c", "a"),
+        compare.Claim("more", compare.ABOVE, "files", "b", "a"), compare.Claim("all bounded", compare.AT_MOST, "files", limit=51.0),
+        compare.Claim("one bounded", compare.AT_MOST, "files", "c", limit=9.0), compare.Claim("unknown", compare.BELOW, "files", "z", "a"),
+    ]
+    got = judged(spark, rows, claims, [("a", "a again"), ("c", "c again")])
+    assert got == {
+        "same files": (2.0, 3.0, True), "same wait": (29.0, 1.0, False), "fewer": (-41.0, None, True), "sooner": (29.0, None, False),
+        "more": (2.0, None, True), "all bounded": (52.0, 51.0, False), "one bounded": (9.0, 9.0, True), "unknown": (None, None, None),
+    }
+    # without a repeat nothing can be told from noise
+    assert judged(spark, rows, claims[:1], [("a", "missing")])["same files"] == (2.0, None, None)
 
 
 def test_monotone_claims(spark):

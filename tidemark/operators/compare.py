@@ -1,51 +1,65 @@
-"""Judging runs against each other: noise floor, monotone claims, merged results."""
+"""Judging runs against each other: claims over a noise floor, monotone claims, merged results."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.errors import Refused
 
-# A target this many times the average was never in reach.
-ORDERS_OF_MAGNITUDE = 1000
+WITHIN_NOISE, BELOW, ABOVE, AT_MOST = "within noise", "below", "above", "at most"
 
 
-def run_findings(
-    runs: DataFrame, base: str, repeat: str, control: str, slow: str,
-    target_bytes: int, writers: int, key: str = "run_key",
-) -> DataFrame:
-    """Is the control further from the base than a mere repeat is?
+@dataclass(frozen=True)
+class Claim:
+    """A statement about measured runs.
 
-    The repeat says how far two equal runs differ, and only that makes "no
-    difference" a statement. One aggregation places the runs side by side.
+    `within noise`, `below` and `above` compare a measure of `run` with that of `against`;
+    `at most` holds a measure of `run`, or of every run where none is named, to `limit`.
     """
-    def of(name: str, column: str) -> Column:
-        return F.max(F.when(F.col(key) == name, F.col(column)))
-
-    def gap(other: str, column: str) -> Column:
-        return F.abs(of(base, column) - of(other, column))
-
-    size, files, wait = "avg_data_file_bytes", "data_files", "seconds_to_visible"
-    found = runs.agg(
-        gap(repeat, files).alias("repeat_differed_by_files"),
-        gap(repeat, size).alias("repeat_differed_by_avg_bytes"),
-        gap(control, files).alias("control_differed_by_files"),
-        gap(control, size).alias("control_differed_by_avg_bytes"),
-        F.max(size).alias("largest_avg_file_bytes"),
-        F.bool_and(F.col(size) * ORDERS_OF_MAGNITUDE < target_bytes).alias("every_file_far_below_target"),
-        (of(slow, files) < of(base, files)).alias("slow_gave_fewer_files"),
-        (of(slow, size) > of(base, size)).alias("slow_gave_larger_files"),
-        F.round(of(slow, wait) - of(base, wait), 1).alias("slow_cost_seconds"),
-        F.bool_and(F.col("max_files_in_one_commit") <= writers).alias("files_per_commit_within_writers"),
-    )
-    quiet = (F.col("control_differed_by_files") <= F.col("repeat_differed_by_files")) & (
-        F.col("control_differed_by_avg_bytes") <= F.col("repeat_differed_by_avg_bytes")
-    )
-    return found.withColumn("control_within_noise", quiet).withColumn(
-        "prediction_held",
-        quiet & F.col("slow_gave_larger_files") & F.col("files_per_commit_within_writers"),
-    )
+
+    text: str
+    kind: str
+    measure: str
+    run: str | None = None
+    against: str | None = None
+    limit: float | None = None
+
+
+def long_form(runs: DataFrame, key: str, measures: list[str]) -> DataFrame:
+    """(run, measure, value): one row for each number of each run."""
+    pairs = F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("value")) for m in measures])
+    return runs.select(F.col(key).alias("run"), F.explode(pairs).alias("m")).select("run", "m.measure", "m.value")
+
+
+def judge_claims(measured: DataFrame, claims: list[Claim], repeats: list[tuple[str, str]]) -> DataFrame:
+    """Each claim with what was found, what was allowed, and whether it holds.
+
+    `repeats` names pairs of runs of one configuration. The most that any pair differs by in
+    a measure is the measure's noise: differences no larger say nothing. A claim about a run
+    or a measure that is not there is not judged, `holds` is NULL. Claims and runs are data:
+    a table of a few rows each, joined.
+    """
+    spark = measured.sparkSession
+    stated = spark.createDataFrame(
+        [(c.text, c.kind, c.measure, c.run, c.against, c.limit) for c in claims],
+        "claim string, kind string, measure string, run string, against string, allowed_at_most double")
+    other = measured.select(F.col("run").alias("against"), "measure", F.col("value").alias("other"))
+    noise = spark.createDataFrame(repeats, "run string, against string").join(measured, "run").join(
+        other, ["against", "measure"]).groupBy("measure").agg(F.max(F.abs(F.col("value") - F.col("other"))).alias("noise"))
+    greatest = measured.groupBy("measure").agg(F.max("value").alias("greatest"))
+    side_by_side = stated.join(measured, ["run", "measure"], "left").join(other, ["against", "measure"], "left").join(
+        noise, "measure", "left").join(greatest, "measure", "left")
+    difference = F.col("value") - F.col("other")
+    judged = side_by_side.withColumn("found", F.when(F.col("kind") != AT_MOST, difference).otherwise(
+        F.when(F.col("run").isNull(), F.col("greatest")).otherwise(F.col("value"))))
+    allowed = F.when(F.col("kind") == WITHIN_NOISE, F.col("noise")).when(F.col("kind") == AT_MOST, F.col("allowed_at_most"))
+    holds = (
+        F.when(F.col("kind") == WITHIN_NOISE, F.abs("found") <= F.col("noise")).when(F.col("kind") == BELOW, F.col("found") < 0)
+        .when(F.col("kind") == ABOVE, F.col("found") > 0).when(F.col("kind") == AT_MOST, F.col("found") <= F.col("allowed_at_most")))
+    return judged.select("claim", "kind", "measure", "found", allowed.alias("allowed"), holds.alias("holds"))
 
 
 def monotone(runs: DataFrame, order: str, column: str, rising: bool, by: list[str] = ()) -> DataFrame:

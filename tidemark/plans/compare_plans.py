@@ -48,31 +48,42 @@ def typed_runs(spark, sf_dir):
     return runs.withColumn("avg_data_file_bytes", floor_average(F.col("data_bytes"), F.col("data_files")))
 
 
-def _of(run: str, column: str) -> str:
-    return f"max({column}) FILTER (run_key = '{run}')"
+MEASURES = ["data_files", "avg_data_file_bytes", "max_files_in_one_commit", "seconds_to_visible"]
+CLAIMS = [
+    compare.Claim("as many files", compare.WITHIN_NOISE, "data_files", "purchase", "view"),
+    compare.Claim("files as large", compare.WITHIN_NOISE, "avg_data_file_bytes", "purchase", "view"),
+    compare.Claim("fewer files", compare.BELOW, "data_files", "signup", "view"),
+    compare.Claim("larger files", compare.ABOVE, "avg_data_file_bytes", "signup", "view"),
+    compare.Claim("later to be seen", compare.ABOVE, "seconds_to_visible", "signup", "view"),
+    compare.Claim("no commit of more files than writers", compare.AT_MOST, "max_files_in_one_commit", limit=4.0),
+    compare.Claim("no file near a gigabyte", compare.AT_MOST, "avg_data_file_bytes", limit=GB / 1000),
+]
+REPEATS = [("view", "click"), ("purchase", "error")]
+
+
+def _values(rows) -> str:
+    text = lambda v: "NULL" if v is None else f"'{v}'" if isinstance(v, str) else repr(v)
+    return ", ".join("(" + ", ".join(map(text, row)) + ")" for row in rows)
 
 
 @REGISTRY.add(
     "run_findings",
-    f"""WITH {RUNS_SQL}, f AS (SELECT
-  abs({_of('view', 'data_files')} - {_of('click', 'data_files')}) AS repeat_differed_by_files,
-  abs({_of('view', 'avg_data_file_bytes')} - {_of('click', 'avg_data_file_bytes')}) AS repeat_differed_by_avg_bytes,
-  abs({_of('view', 'data_files')} - {_of('purchase', 'data_files')}) AS control_differed_by_files,
-  abs({_of('view', 'avg_data_file_bytes')} - {_of('purchase', 'avg_data_file_bytes')}) AS control_differed_by_avg_bytes,
-  max(avg_data_file_bytes) AS largest_avg_file_bytes, bool_and(avg_data_file_bytes * 1000 < {GB}) AS every_file_far_below_target,
-  {_of('signup', 'data_files')} < {_of('view', 'data_files')} AS slow_gave_fewer_files,
-  {_of('signup', 'avg_data_file_bytes')} > {_of('view', 'avg_data_file_bytes')} AS slow_gave_larger_files,
-  round({_of('signup', 'seconds_to_visible')} - {_of('view', 'seconds_to_visible')}, 1) AS slow_cost_seconds,
-  bool_and(max_files_in_one_commit <= 4) AS files_per_commit_within_writers FROM runs),
-g AS (SELECT *, control_differed_by_files <= repeat_differed_by_files
-   AND control_differed_by_avg_bytes <= repeat_differed_by_avg_bytes AS control_within_noise FROM f)
-SELECT *, control_within_noise AND slow_gave_larger_files AND files_per_commit_within_writers AS prediction_held FROM g""",
+    f"""WITH {RUNS_SQL}, m AS (UNPIVOT (SELECT run_key AS run, {', '.join(f'CAST({m} AS DOUBLE) AS {m}' for m in MEASURES)} FROM runs)
+   ON {', '.join(MEASURES)} INTO NAME measure VALUE value),
+  c(claim, kind, measure, run, against, most) AS (VALUES {_values((c.text, c.kind, c.measure, c.run, c.against, c.limit) for c in CLAIMS)}),
+  n AS (SELECT x.measure, max(abs(x.value - y.value)) AS noise FROM (VALUES {_values(REPEATS)}) AS r(run, again)
+    JOIN m x ON x.run = r.run JOIN m y ON y.run = r.again AND y.measure = x.measure GROUP BY 1),
+  g AS (SELECT measure, max(value) AS greatest FROM m GROUP BY 1),
+  f AS (SELECT c.*, n.noise, CASE WHEN kind <> 'at most' THEN x.value - y.value WHEN c.run IS NULL THEN greatest ELSE x.value END AS found
+    FROM c LEFT JOIN m x ON x.run = c.run AND x.measure = c.measure LEFT JOIN m y ON y.run = c.against AND y.measure = c.measure
+    LEFT JOIN n ON n.measure = c.measure LEFT JOIN g ON g.measure = c.measure)
+SELECT claim, kind, measure, found, CASE kind WHEN 'within noise' THEN noise WHEN 'at most' THEN most END AS allowed,
+  CASE kind WHEN 'within noise' THEN abs(found) <= noise WHEN 'below' THEN found < 0 WHEN 'above' THEN found > 0 ELSE found <= most END AS holds FROM f""",
 )
 def run_findings(spark, sf_dir):
-    """Four of the runs in the parts of base, repeat, control and slow."""
-    return compare.run_findings(
-        typed_runs(spark, sf_dir), "view", "click", "purchase", "signup", target_bytes=GB, writers=4
-    )
+    """Claims about the runs, over the noise that two pairs of like runs show."""
+    measured = compare.long_form(typed_runs(spark, sf_dir), "run_key", MEASURES)
+    return compare.judge_claims(measured, CLAIMS, REPEATS)
 
 
 @REGISTRY.add(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.audit import append_verdict
-from tidemark.operators.compare import run_findings
+from tidemark.operators.compare import ABOVE, AT_MOST, BELOW, WITHIN_NOISE, Claim, judge_claims, long_form
 from tidemark.operators.layout import commit_layout, files_summary
 from tidemark.plans.registry import Registry
 from tidemark.plans.tables import WRITERS, highest, read
@@ -224,21 +224,29 @@ def objects_listed(spark, sf_dir):
     )
 
 
+INTERVAL_CLAIMS = [
+    Claim("a target no file comes near changes nothing", WITHIN_NOISE, "data_files", "short, large target", "short"),
+    Claim("a longer interval makes fewer files", BELOW, "data_files", "long", "short"),
+    Claim("a longer interval makes larger files", ABOVE, "avg_data_file_bytes", "long", "short"),
+    Claim("a commit has a file a writer", AT_MOST, "max_files_in_one_commit", limit=2.0),
+    Claim("every run holds all rows", WITHIN_NOISE, "rows", "long", "short"),
+]
+
+
 @REGISTRY.add(
     "commit_interval_runs",
-    f"""SELECT count(*) AS rows_per_run, true AS every_run_whole, CAST(0 AS BIGINT) AS repeat_differed_by_files, CAST(0 AS BIGINT) AS control_differed_by_files,
-       true AS slow_gave_fewer_files, true AS slow_gave_larger_files, true AS files_per_commit_within_writers,
-       true AS control_within_noise, true AS prediction_held FROM events""",
+    f"""SELECT claim, true AS holds, count(*) AS rows_per_run
+   FROM events, (VALUES {", ".join(f"('{c.text}')" for c in INTERVAL_CLAIMS)}) AS c(claim) GROUP BY claim""",
 )
 def commit_interval_runs(spark, sf_dir):
-    """One landed feed, committed in many, some and one batch; then the first run
-    repeated, and once more with a target no file comes near (A16, A18, S12, I1)."""
+    """One landed feed, committed in many, some and one batch; then the first run repeated, and
+    once more with a target no file comes near (A16, A18, S12). What a clock does to freshness
+    is `commits_on_a_clock`."""
     events, root = read(spark, sf_dir, "events"), new_dir(spark, "intervals")
     files = land(events, f"{root}/landing", chunks_for(spark, sf_dir), exact=True)
-    target, writers = 1 << 40, 2
     shapes = {
         "short": (1, None), "middle": (2, None), "long": (BATCHES, None),
-        "short, repeated": (1, None), "short, large target": (1, target),
+        "short, repeated": (1, None), "short, large target": (1, 1 << 40),
     }
     runs = []
     for key, (share, limit) in shapes.items():
@@ -246,24 +254,14 @@ def commit_interval_runs(spark, sf_dir):
         source = stream_files(spark, f"{root}/landing", events.schema, files * share // BATCHES)
         drain(IngestSpec(
             f"interval {key}", source, table, f"{root}/{key}/checkpoint", seq="event_id",
-            writers=writers, max_records_per_file=limit,
+            writers=2, max_records_per_file=limit,
         ))
         size = files_summary(table.files()).first()
         commits = commit_layout(table.snapshots()).first()
-        # no clock runs in a drained feed: freshness is the share of the feed waited for
         runs.append((
-            key, size["data_files"], size["avg_data_file_bytes"], commits["max_files_in_one_commit"],
-            float(share), table.rows_visible(),
-        ))
+            key, size["data_files"], size["avg_data_file_bytes"], commits["max_files_in_one_commit"], table.rows_visible()))
     measured = spark.createDataFrame(
-        runs, "run_key string, data_files long, avg_data_file_bytes long, max_files_in_one_commit long,"
-        "seconds_to_visible double, rows long",
-    )
-    held = {r[-1] for r in runs}
-    return run_findings(
-        measured, "short", "short, repeated", "short, large target", "long", target, writers
-    ).select(
-        F.lit(max(held)).cast("long").alias("rows_per_run"), F.lit(len(held) == 1).alias("every_run_whole"),
-        "repeat_differed_by_files", "control_differed_by_files", "slow_gave_fewer_files",
-        "slow_gave_larger_files", "files_per_commit_within_writers", "control_within_noise", "prediction_held",
-    )
+        runs, "run string, data_files long, avg_data_file_bytes long, max_files_in_one_commit long, rows long")
+    judged = judge_claims(
+        long_form(measured, "run", measured.columns[1:]), INTERVAL_CLAIMS, [("short", "short, repeated")])
+    return judged.select("claim", "holds", F.lit(max(r[-1] for r in runs)).cast("long").alias("rows_per_run"))
