@@ -1,3 +1,5 @@
+import zlib
+
 """The pipeline on a small corpus, stage by stage against brute force."""
 
 import random
@@ -88,7 +90,9 @@ def test_contaminated_documents_go(stages):
 
 def test_packed_whole(stages):
     _, frames, _, _ = stages
-    test_packing.check(frames[5].collect(), pairs(frames[4]), 2048)
+    rows = frames[5].collect()
+    test_packing.check(rows, pairs(frames[4]), 2048)
+    assert all(len(r["ids"]) == 4 * r["length"] and zlib.crc32(r["ids"]) == r["ids_crc32"] for r in rows)
 
 
 def test_run_is_the_stages(spark, stages):
