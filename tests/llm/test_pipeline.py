@@ -1,8 +1,7 @@
-import zlib
-
 """The pipeline on a small corpus, stage by stage against brute force."""
 
 import random
+import zlib
 
 import pytest
 import test_decontamination
