@@ -581,7 +581,7 @@ def test_waits_end_one_way_or_the_other(job):
         query.stop()
     with pytest.raises(Refused, match="ended while waiting"):
         waits.wait_for_batches(query, 1000, 5)
-    with pytest.raises(Refused, match="cannot settle"):
+    with pytest.raises(Refused, match="polls span"):
         waits.wait_until_stable(job.table, 3, 3, 60, commit_interval=10)
     missing = LedgerTable(job.spark, f"{job.work}/nowhere", job.schema)
     with pytest.raises(Refused, match="did not settle"):

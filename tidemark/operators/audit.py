@@ -28,7 +28,7 @@ def seq_words(rows: DataFrame, seq: str = "seq") -> DataFrame:
 def seq_counts(rows: DataFrame, seq: str = "seq") -> DataFrame:
     """One row: `rows`, `distinct_seq`, `duplicate_seq_rows` (A1, A4, G1).
 
-    A duplicate is an extra row, so three copies of a number are two.
+    `duplicate_seq_rows` is the difference of the two; rows without a number count in it.
     """
     return seq_words(rows, seq).agg(
         F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"),
@@ -325,13 +325,13 @@ def upsert_verdict(held: DataFrame, expected: DataFrame, key: str, seq: str) ->
 
 
 def measure_append(rows: DataFrame, lo: int, hi: int, key: str, seq: str) -> DataFrame:
-    """Everything worth knowing about an append table, in one row."""
+    """`append_verdict` and `key_counts` of a table beside each other, one row."""
     keys = key_counts(rows, key).drop("rows")
     return side_by_side(append_verdict(rows, lo, hi, seq), keys)
 
 
 def measure_upsert(held: DataFrame, expected: DataFrame, key: str, seq: str) -> DataFrame:
-    """Everything worth knowing about a keyed table, in one row."""
+    """`upsert_verdict` and the count of repeated sequence numbers beside each other, one row."""
     duplicates = seq_counts(held, seq).select("duplicate_seq_rows")
     return side_by_side(upsert_verdict(held, expected, key, seq), duplicates)
 
@@ -344,11 +344,11 @@ def rows_lost(expected: Column, distinct: Column, clamp: bool = True) -> Column:
 
 
 def prediction_verdict(runs: DataFrame) -> DataFrame:
-    """Did each run's prediction about duplicates hold?
+    """Runs with `duplicates_judged` and `prediction_held`.
 
     Needs `upsert`, `predicts_duplicates`, `duplicate_seq_rows` and
-    `duplicate_key_rows`. What counts as a duplicate follows the write mode: a
-    key repeats in an append table by design, a sequence number must not.
+    `duplicate_key_rows`: keyed tables are judged by repeated keys, all others by
+    repeated sequence numbers.
     """
     duplicates = F.when(F.col("upsert"), F.col("duplicate_key_rows")).otherwise(
         F.col("duplicate_seq_rows")

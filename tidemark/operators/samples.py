@@ -24,11 +24,11 @@ def is_clear(checkpoint: str = "checkpoint_id", watermark: str = "watermark") ->
 
 
 def freeze_window(samples: DataFrame, by: list[str] = ()) -> DataFrame:
-    """The frozen part of each run, summed up.
+    """One row per run over its frozen samples.
 
-    Needs `seconds`, `checkpoint_id`, `watermark`, `rows_visible`, `job_state`,
-    `checkpoints_failed`, `consumer_lag`. A frozen sample without a lag is
-    refused by name: min() would skip it and publish a lag nobody measured.
+    Reads `seconds`, `checkpoint_id`, `watermark`, `rows_visible`, `job_state`,
+    `checkpoints_failed` and `consumer_lag`. The least lag is a minimum over frozen samples,
+    which leaves NULLs out, so a NULL among them raises an error with its time.
     """
     frozen = is_frozen()
     rows = F.sort_array(F.collect_set(F.when(frozen, F.col("rows_visible"))))
@@ -46,7 +46,7 @@ def freeze_window(samples: DataFrame, by: list[str] = ()) -> DataFrame:
         F.min(F.when(unread, F.col("seconds"))).alias("__unread"),
     )
     refusal = F.raise_error(F.format_string(
-        "no committed offsets were read at %s s, so the lag while frozen was not measured",
+        "consumer_lag is NULL in the frozen sample at %s s",
         F.col("__unread").cast("string"),
     )).cast("long")
     lag = F.when(F.col("__unread").isNotNull(), refusal).otherwise(
@@ -115,16 +115,15 @@ def settled_at(
     at: str = "seconds",
     rows: str = "rows_visible",
 ) -> DataFrame:
-    """First poll by which a run's row count had repeated `quiet_polls` times.
+    """Per run the first sample that ends a stretch of `quiet_polls` repeats of one row count.
 
-    A NULL count is a table that does not exist, which starts the count over. A
-    quiet window no longer than the commit interval is refused: a table does
-    not move between commits.
+    Any change of the count, and a NULL, begins a new stretch. The stretch has to span more
+    than one commit interval, or a count between two commits would pass for a final one.
     """
     if quiet_polls * poll_seconds <= commit_interval_seconds:
         raise Refused(
-            f"a quiet window of {quiet_polls * poll_seconds:g}s cannot settle a table that "
-            f"commits every {commit_interval_seconds:g}s"
+            f"{quiet_polls} polls span {quiet_polls * poll_seconds:g}s, not more than one commit "
+            f"interval of {commit_interval_seconds:g}s"
         )
     order = Window.partitionBy(*by).orderBy(at)
     moved = (

@@ -9,8 +9,7 @@ from tidemark.functions import basename
 
 
 def table_objects(objects: DataFrame, prefix: str) -> DataFrame:
-    """Objects below one table. The slash is part of the prefix: without it a
-    table whose name merely starts the same would be counted too."""
+    """Objects in the folder `prefix`, at any depth; `prefix` may end with a slash or without one."""
     return objects.where(F.col("path").startswith(prefix.rstrip("/") + "/"))
 
 
@@ -22,11 +21,11 @@ def unreferenced(objects: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def storage_vs_catalog(objects: DataFrame, files: DataFrame) -> DataFrame:
-    """One row: objects, data objects, files referred to, what nobody refers to.
+    """Counts of a listing and of a file table, side by side in one row.
 
-    Both sides meet in one aggregation by base name. A catalog that names files
-    while the listing shows no data object means the listing is wrong, and is
-    refused; "nothing unreferenced" would say nothing about the table.
+    One aggregation by base name over the union of both. The row cannot be read when the file
+    table has entries and the listing has no object below `/data/`: two inputs like these do
+    not belong to one table, and the count of loose objects would be 0 whatever it holds.
     """
     zero, one = F.lit(0), F.lit(1)
     listed = objects.select(
@@ -54,8 +53,8 @@ def storage_vs_catalog(objects: DataFrame, files: DataFrame) -> DataFrame:
     )
     blind = (F.col("files_referenced") > 0) & (F.col("data_objects_on_disk") == 0)
     refusal = F.raise_error(F.concat(
-        F.lit("the catalog refers to "), F.col("files_referenced").cast("string"),
-        F.lit(" data files and the listing found none; the listing is wrong"),
+        F.lit("no data object among those listed, but "), F.col("files_referenced").cast("string"),
+        F.lit(" entries in the file table: not the listing of this table"),
     )).cast("long")
     return total.withColumn(
         "data_objects_on_disk", F.when(blind, refusal).otherwise(F.col("data_objects_on_disk"))

@@ -61,7 +61,7 @@ def wait_until_stable(
     """
     if quiet_polls * poll <= commit_interval:
         raise Refused(
-            f"a quiet window of {quiet_polls * poll:g}s cannot settle a table that "
+            f"{quiet_polls} polls span {quiet_polls * poll:g}s, not more than the interval of a table that "
             f"commits every {commit_interval:g}s"
         )
     started, seen = time.monotonic(), []
