@@ -97,6 +97,18 @@ def test_empty_and_ids(spark):
     assert np.frombuffer(row.ids, "<u4").tolist() == [*Tokenizer.from_file(PATH).encode("hello there").ids, 0]
 
 
+def test_every_piece_keeps_its_own_ids(spark):
+    pick = random.Random(4)
+    docs = [(i, " ".join(pick.choice(["one", "two", "three"]) for _ in range(pick.randint(0, 90)))) for i in range(200)]
+    docs += [(7, "again and again")] * 30 + [(None, None)] * 5 + [(8, "other text, same id")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    rows = pack(frame, PATH, 32, with_ids=True).collect()
+    places = pack(frame, PATH, 32).collect()
+    assert all(zlib.crc32(r.ids) == r.ids_crc32 and len(r.ids) == 4 * r.length for r in rows)
+    assert Counter((r.doc_id, r.piece, r.start, r.ids_crc32) for r in rows) == Counter((r.doc_id, r.piece, r.start, r.ids_crc32) for r in places)
+    assert {(r.sequence_id, r.offset, r.length) for r in rows} == {(r.sequence_id, r.offset, r.length) for r in places}
+
+
 @pytest.mark.parametrize("histogram,best", [({1025: 3000, 682: 3000, 333: 3000}, 3000), ({1100: 4000, 600: 4000, 340: 4000}, 4000)])
 def test_hot_lengths_need_few_sequences(histogram, best):
     found = configurations(histogram)

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,6 +32,7 @@ def pieces(docs: DataFrame, path: str, capacity: int, end: int, id_col: str, tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.get(*shared.value)
         closing = np.array([end], "<u4").tobytes()
+        key = TaskContext.get().partitionId() << 40
         for batch in in_chunks(batches, "text", BATCH_BYTES):
             of, piece, start, length, crc, ids = [], [], [], [], [], []
             for i, raw in enumerate(encoder.ids(batch.column("text").to_pylist())):
@@ -47,12 +49,13 @@ def pieces(docs: DataFrame, path: str, capacity: int, end: int, id_col: str, tex
                     ids.append(part if with_ids else None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id").take(pa.array(of, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
-                 pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array(ids, pa.binary())],
-                ["id", "piece", "start", "length", "ids_crc32", "ids"])
+                 pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array(np.arange(key, key + len(of))), pa.array(ids, pa.binary())],
+                ["id", "piece", "start", "length", "ids_crc32", "key", "ids"])
+            key += len(of)
 
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, piece int, start long, length long, ids_crc32 long, ids binary")
+    return rows.mapInArrow(run, f"id {kind}, piece int, start long, length long, ids_crc32 long, key long, ids binary")
 
 
 def knapsack(lengths: np.ndarray, worth: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -231,7 +234,8 @@ def pack(
 
     The driver sees the histogram of lengths only. Pieces are ranked within their length
     by salted groups, and the rank says the place: the table of places has a row per length
-    and configuration, as many as the pricings found.
+    and configuration, as many as the pricings found. Token ids are not ranked or sorted: a
+    number that each piece was written with brings them to its place.
     """
     spark = docs.sparkSession
     cutting = cut(pieces(docs, path, capacity, end, id_col, text_col, with_ids), "packing")
@@ -243,8 +247,8 @@ def pack(
     per_salt = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     base = per_salt.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    inside = Window.partitionBy("length", "salt").orderBy("id", "piece", "ids_crc32")
-    ranked = salted.withColumn("at", F.row_number().over(inside) - 1).join(base, ["length", "salt"]).withColumn("rank", F.col("base") + F.col("at"))
+    inside = Window.partitionBy("length", "salt").orderBy("id", "piece", "ids_crc32", "key")
+    ranked = salted.drop("ids").withColumn("at", F.row_number().over(inside) - 1).join(base, ["length", "salt"]).withColumn("rank", F.col("base") + F.col("at"))
 
     lookup: dict[int, tuple[np.ndarray, ...]] = {}
     for length in {p[0] for p in places}:
@@ -264,11 +268,14 @@ def pack(
                 sequence[mine] = start[row] + inner // copies[row]
                 offset[mine] = where[row] + inner % copies[row] * each
             yield pa.RecordBatch.from_arrays(
-                [batch.column(c) for c in ("id", "piece", "start", "length", "ids_crc32")] + [pa.array(sequence), pa.array(offset), batch.column("ids")],
-                ["id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "ids"])
+                [batch.column(c) for c in ("id", "piece", "start", "length", "ids_crc32", "key")] + [pa.array(sequence), pa.array(offset)],
+                ["id", "piece", "start", "length", "ids_crc32", "key", "sequence_id", "offset"])
 
     kind = cutting.schema["id"].dataType.simpleString()
-    placed = ranked.select("id", "piece", "start", "length", "ids_crc32", "rank", "ids").mapInArrow(
-        place, f"id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, ids binary")
+    placed = ranked.select("id", "piece", "start", "length", "ids_crc32", "key", "rank").mapInArrow(
+        place, f"id {kind}, piece int, start long, length long, ids_crc32 long, key long, sequence_id long, offset long")
     columns = [F.col("id").alias(id_col), "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
-    return placed.select(*columns, "ids") if with_ids else placed.select(*columns)
+    if not with_ids:
+        return placed.select(*columns)
+    # places are hashed, some 100 bytes a piece; the ids pass by and are never sorted
+    return placed.hint("shuffle_hash").join(cutting.select("key", "ids"), "key").select(*columns, "ids")
