@@ -96,3 +96,23 @@ def test_the_scale_of_a_text_does_not_hide_a_word():
     feats, start = T.features(pa.array(["Rotten.", "(rotten)", "rotten!!", "other"]))
     assert feats[0].tolist() == feats[1].tolist() == feats[2].tolist() != feats[3].tolist()
     assert start.tolist() == [0, 1, 2, 3, 4]
+
+
+def test_marks_at_the_ends_of_words_are_left_out():
+    plain, start = T.features(pa.array(["some word here", "it's"]))
+    marked, _ = T.features(pa.array(["(((some*** " + "!" * 70 + "word" + "?" * 90 + " 'here'", "--it's..."]))
+    np.testing.assert_array_equal(plain, marked)
+    only, at = T.features(pa.array(["!!! !", "", None]))
+    assert at.tolist() == [0, 2, 2, 2] and (only[0] == only[1]).all()
+
+
+def test_the_sample_of_a_repeated_id_is_bounded(spark, monkeypatch):
+    fitted = []
+    monkeypatch.setattr(T, "train", lambda feats, start, label, seed: fitted.append((start, label)))
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(40)] + [(1, f"more {i}") for i in range(500)], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    for rows in (10, 1000):
+        T.fit(docs, labels, rows=rows)
+    assert len(fitted[0][1]) <= 20
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5]
+    assert len(fitted[1][1]) == len(ids) + 500 * (1 in ids)

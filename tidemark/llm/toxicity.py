@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import LOWER, Powers, bytes_of, in_chunks, mix, ranges, words_of
+from tidemark.llm.common import LOWER, Powers, bytes_of, cut, in_chunks, mix, ranges, words_of
 
 BUCKETS = 1 << 14
 VIEWS = 4  # the word, its first 4 bytes, its first 6, its last 4
@@ -26,14 +26,23 @@ PUNCTUATION = np.zeros(256, bool)
 PUNCTUATION[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
 
 
+def without_marks(data: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words without the ASCII marks at their ends, however many; of a word of marks only, the first stays."""
+    place = np.arange(len(data))
+    real = ~PUNCTUATION[data]
+    following = np.minimum.accumulate(np.where(real, place, len(data))[::-1])[::-1]
+    preceding = np.maximum.accumulate(np.where(real, place, -1))
+    inner = np.minimum(following[first], end)
+    some = inner < end
+    return np.where(some, inner, first), np.where(some, preceding[end - 1] + 1, first + 1)
+
+
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of every word of all texts, one column per view, and where each text begins."""
     data, at = bytes_of(texts)
     data = LOWER[data]
     first, end, start = words_of(data, at)
-    for _ in range(3):  # marks at the ends of a word are not part of it
-        end = end - ((end - first > 1) & PUNCTUATION[data[end - 1]])
-        first = first + ((end - first > 1) & PUNCTUATION[data[np.minimum(first, max(len(data) - 1, 0))]])
+    first, end = without_marks(data, first, end)
     up, down = Powers.get(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
@@ -279,7 +288,8 @@ def fit(
     """A model from at most `rows` labelled texts (of at most `longest` words), all outside the held-out fifth.
 
     Held out is an id whose crc32 as text leaves 0 when divided by 5. The sample takes
-    the least hashes of ids, half of it toxic where there are enough.
+    the least hashes of ids, half of it toxic where there are enough. Where an id has several
+    texts all carry its label; of more than `2 * rows` texts those of the least hashes stay.
     """
     ids = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(
         F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).where(
@@ -298,8 +308,10 @@ def fit(
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), batch.column("label"), pa.array(parts, pa.binary())], ["id", "label", "feats"])
 
-    found = texts.mapInArrow(run, "id long, label int, feats binary").toArrow()
-    order = np.argsort(found.column("id").to_numpy(), kind="stable")[: 2 * rows]
+    # a repeated id may have any number of rows: tasks keep 2 * rows at most, and the driver reads as many from a table
+    least = texts.mapInArrow(run, "id long, label int, feats binary").orderBy(F.xxhash64("id"), "id", F.xxhash64("feats")).limit(2 * rows)
+    found = cut(least, "toxicity").toArrow()
+    order = np.argsort(found.column("id").to_numpy(), kind="stable")
     parts = [np.frombuffer(found.column("feats")[int(i)].as_py(), "<u2").reshape(-1, VIEWS).astype(np.int32) for i in order]
     keep = [i for i, p in enumerate(parts) if len(p) <= longest]
     label = found.column("label").to_numpy()[order][keep].astype(np.int64)
