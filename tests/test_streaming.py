@@ -401,6 +401,18 @@ def test_writers_write_as_many_files_whatever_the_input(job, parts):
     assert job.table.files().count() == 2
 
 
+def test_the_manifest_names_files_without_rows(job):
+    path = job.table.new_path("lineage", 0)
+    rows = feed.generate_feed(job.spark, 10)
+    rows.where("seq < 0").coalesce(1).write.parquet(f"{job.table.root}/{path}")
+    rows.coalesce(1).write.mode("append").parquet(f"{job.table.root}/{path}")
+    job.table.commit([StagedBatch("lineage", 0, path, 10, 1, 10, "", 2, 0)])
+    listed = {r["path"].rsplit("/", 1)[1]: r["length"] for r in objects_under(job.spark, f"{job.table.root}/data").collect()}
+    manifest = job.table.files().collect()
+    assert {r["file_path"].rsplit("/", 1)[1]: r["file_size_in_bytes"] for r in manifest} == listed
+    assert sorted(r["record_count"] for r in manifest) == [0, 10]
+
+
 def test_a_removed_file_shows_when_the_table_is_read(job):
     job.land(100, 2)
     job.run()

@@ -121,10 +121,15 @@ class LedgerTable:
             live = live.where(F.col("max_seq").isNull() | (F.col("max_seq") >= min_seq))
         if max_seq is not None:
             live = live.where(F.col("min_seq").isNull() | (F.col("min_seq") <= max_seq))
-        paths = sorted(r["path"] for r in live.select("path").collect())
-        if not paths:
+        return self._rows_in(self._folders(live))
+
+    def _folders(self, live: DataFrame) -> list[str]:
+        return sorted(f"{self.root}/{r['path']}" for r in live.select("path").collect())
+
+    def _rows_in(self, folders: list[str]) -> DataFrame:
+        if not folders:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(*[f"{self.root}/{p}" for p in paths])
+        return self.spark.read.schema(self.schema).parquet(*folders)
 
     def state(self) -> dict:
         """Rows visible, snapshots, newest lineage and watermark, from the ledger
@@ -153,16 +158,27 @@ class LedgerTable:
         return self.state()["rows_visible"]
 
     def files(self) -> DataFrame:
-        """File manifest of the newest snapshot (S18); Parquet answers from footers."""
-        rows = self.read()
-        if not self.exists():
+        """File manifest of the newest snapshot (S18); Parquet answers from footers.
+
+        A batch whose first task had no rows holds a file without any. No row names
+        that file, so the listing of the live folders does, which reads no content.
+        """
+        folders = self._folders(self.live_paths())
+        if not folders:
             return self.spark.createDataFrame(
                 [], "file_path string, file_size_in_bytes long, record_count long, content int"
             )
-        return rows.groupBy(
+        place = [
             F.col("_metadata.file_path").alias("file_path"),
             F.col("_metadata.file_size").alias("file_size_in_bytes"),
-        ).agg(F.count(F.lit(1)).alias("record_count")).withColumn("content", F.lit(DATA))
+        ]
+        listed = self.spark.read.format("binaryFile").load(folders)
+        known = self._rows_in(folders).select(*place, F.lit(1).alias("__row")).unionByName(
+            listed.select(*place, F.lit(None).cast("int").alias("__row"))
+        )
+        return known.groupBy("file_path", "file_size_in_bytes").agg(
+            F.count("__row").alias("record_count")
+        ).withColumn("content", F.lit(DATA))
 
     def watermark(self, lineage: str | None = None) -> int | None:
         """Greatest committed batch id of a lineage, or of the newest snapshot.
