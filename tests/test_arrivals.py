@@ -52,6 +52,15 @@ def test_writers_set_the_files_of_a_batch(spark, work):
     assert {(r[BATCH], r["count"]) for r in landing.files().groupBy(BATCH).count().collect()} == {(0, 3), (1, 3), (2, 3)}
 
 
+def test_a_heavy_chunk_is_staged_by_more_writers(spark, work):
+    # 300 MB in memory, all in the second of two chunks
+    rows = spark.range(300_000).withColumn("wide", F.repeat(F.lit("x"), 1000))
+    arrivals = Arrivals(rows, work, F.when(F.col("id") < 10, 0).otherwise(1))
+    staged = spark.read.parquet(f"{work}/staged").groupBy("chunk", F.col("_metadata.file_path").alias("file")).count().collect()
+    assert [r["chunk"] for r in staged].count(0) == 1 and [r["chunk"] for r in staged].count(1) == 3
+    assert max(r["count"] for r in staged) < 1.1 * 300_000 / 3 and arrivals.counts == {0: 10, 1: 299_990}
+
+
 def test_clock_refuses_intervals_that_do_not_fit(spark, work):
     rows, chunk = numbered(spark, 10, 2)
     arrivals = Arrivals(rows, work, chunk)

@@ -9,27 +9,56 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.errors import Refused
+from tidemark.session import SHUFFLE_BYTES
 from tidemark.workspace import Files
 
+# What a value of fixed width or the frame of a longer one counts in memory.
+VALUE_BYTES = 16
+
+
+def row_bytes(schema: T.StructType) -> Column:
+    """About the bytes of a row in memory: a word or two a column, and what strings, binaries and nested values hold."""
+    total = F.lit(VALUE_BYTES * len(schema.fields)).cast("long")
+    for field in schema.fields:
+        value = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            value = F.to_json(F.struct(value))
+        elif not isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            continue
+        total += F.coalesce(F.octet_length(value), F.lit(0))
+    return total
+
 
 class Arrivals:
     """Chunks of a feed, each a folder of files that appears whole by one rename.
 
     `chunk` numbers the rows from 0; a chunk of no rows has no folder and arrives as nothing.
-    `files` spreads a chunk over several writers, so a large chunk is not one task.
+    A chunk is spread over `files` writers, or over more where one of them would get more
+    than `task_bytes`: what a task sorts to write does not grow with the feed.
     """
 
-    def __init__(self, records: DataFrame, root: str, chunk: Column, files: int = 1):
+    def __init__(self, records: DataFrame, root: str, chunk: Column, files: int = 1, task_bytes: int = SHUFFLE_BYTES):
         self.spark, self.root = records.sparkSession, root
         self.fs = Files(self.spark)
         self.schema = T.StructType([*records.schema.fields, T.StructField("chunk", T.IntegerType())])
-        staged = records.withColumn("chunk", chunk.cast("int")).withColumn("__folder", F.col("chunk"))
-        spread = F.pmod(F.monotonically_increasing_id(), F.lit(files))
-        staged.repartition(F.col("__folder"), spread).write.partitionBy("__folder").parquet(f"{root}/staged")
+        numbered = records.withColumn("chunk", chunk.cast("int"))
+        sizes = numbered.groupBy("chunk").agg(
+            F.count(F.lit(1)).alias("rows"), F.sum(row_bytes(numbered.schema)).alias("bytes")).collect()  # one row per chunk
+        self.counts = {r["chunk"]: r["rows"] for r in sizes}
+        # every writer of a chunk is a task of its own: `first` and the following ones
+        dealt, writers = [], 0
+        for r in sizes:
+            if r["chunk"] is not None:
+                share = max(files, -(-r["bytes"] // task_bytes))
+                dealt.append((r["chunk"], writers, share))
+                writers += share
+        task = F.lit(0)
+        for number, first, share in dealt:
+            task = F.when(F.col("chunk") == number, first + F.pmod(F.monotonically_increasing_id(), F.lit(share))).otherwise(task)
+        staged = numbered.withColumn("__folder", F.col("chunk")).repartitionById(max(1, writers), task.cast("int"))
+        staged.write.partitionBy("__folder").parquet(f"{root}/staged")
         self.fs.mkdirs(self.watched)
         self.at: dict[int, float] = {}
-        counted = self.spark.read.parquet(f"{root}/staged").groupBy("chunk").count().collect()  # one row per chunk
-        self.counts = {r["chunk"]: r["count"] for r in counted}
 
     @property
     def watched(self) -> str:
