@@ -1,10 +1,12 @@
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from tidemark.llm.packed import pack, unpack
-from tidemark.llm.suffix_dedup import LENGTH, multikey_order, remove_repeats
+from tidemark.llm.packed import deltas, pack, unpack
+from tidemark.llm.suffix_dedup import LENGTH, SIDE, WIDTH, _by_hash, _by_splitters, multikey_order, remove_repeats, repeated_around
 
 
 def slow(rows):
@@ -87,3 +89,39 @@ def test_order_and_packing():
     columns = [draw.integers(-9, 9, 50), draw.integers(0, 1 << 63, 50, dtype=np.uint64) * np.uint64(2), draw.integers(0, 255, 20).astype(np.uint8), np.zeros(0, np.int64)]
     for a, b in zip(columns, unpack(pack(*columns))):
         assert a.tolist() == b.tolist()
+
+
+def peak_mb(work):
+    tracemalloc.start()
+    try:
+        work()
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def bodies_of(body, n):
+    for _ in range(n):
+        yield pa.RecordBatch.from_arrays([pa.array([body], pa.binary())], ["body"])
+
+
+def test_what_packs_well_is_held_in_parts():
+    """A few packed megabytes hold many times as much; what a task holds at once is bounded unpacked."""
+    n = 50_000
+    ids, same = np.arange(n), np.full(n, 7)
+    near = pack(np.zeros(n * WIDTH, np.uint8), same, same, deltas(ids), same, same)
+    splitters = np.zeros(0, "S16")
+    assert peak_mb(lambda: [b.num_rows for b in _by_splitters(splitters)(bodies_of(near, 40))]) < 150  # 250 MB unpacked
+    hot = pack(same.astype(np.uint64), deltas(ids), same, same)
+    assert peak_mb(lambda: [b.num_rows for b in _by_hash(3)(bodies_of(hot, 120))]) < 150  # 190 MB unpacked
+
+
+def test_many_rows_of_a_range_take_little_memory():
+    n = 50_000
+    draw = np.random.default_rng(2)
+    context = np.repeat(draw.integers(97, 100, (n // 2, WIDTH)).astype(np.uint8), 2, axis=0)
+    side, ids = np.full(n, SIDE), np.arange(n)
+    found = []
+    assert peak_mb(lambda: found.extend(repeated_around(context, side, side, ids))) < 30  # with a table of sums 48
+    most, least = found
+    assert (most[1::2] == SIDE).all() and (least[1::2] == 0).all() and (most[::2] == -1).all()

@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bytes_of, cut, in_chunks, keyed_groups, mix, ranges, runs_of, shuffle_partitions, span_hashes
+from tidemark.llm.common import BASE, BASE_INVERSE, bytes_of, cut, in_chunks, keyed_groups, mix, ranges, runs_of, shuffle_partitions, span_hashes
 from tidemark.llm.packed import deltas, pack, unpack
 
 LENGTH = 50
@@ -31,6 +31,8 @@ HOT_DOCS = 256
 SPLITTER_SAMPLE = 100_000
 RANGE_BYTES = 1 << 20  # packed suffixes of a range: what a task holds at once is small
 MOVED_BYTES = 16 << 20  # packed suffixes that one task deals to the ranges
+UNPACKED_BYTES = 12 << 20  # of them, unpacked, that it holds at once
+CUT_BYTES = 4 << 20  # texts that are cut before their rows go on
 LOW40 = np.uint64((1 << 40) - 1)
 # What a bucket of documents is sent, in this order.
 COPIES, FOUND, TEXTS = 0, 1, 2
@@ -308,27 +310,30 @@ def _sample_tokens(batches):
                 [pa.array(lead[:, 0].view(np.int64)), pa.array(lead[:, 1].view(np.int64))], ["t0", "t1"])
 
 
-def _together(bodies: Iterator[pa.RecordBatch], limit: int = 32 << 20) -> Iterator[list[list[np.ndarray]]]:
-    """Unpacked bodies of several rows, about `limit` packed bytes of them at a time."""
+def _together(bodies: Iterator[pa.RecordBatch], ids_at: int, limit: int = UNPACKED_BYTES) -> Iterator[list[np.ndarray]]:
+    """Columns of several unpacked bodies, about `limit` bytes of them at a time; packed they may be a small part of that."""
+    def joined():
+        # the parts go column by column, so that they are not held twice
+        width = len(held[0])
+        return [np.concatenate([np.cumsum(p.pop(0)) if i == ids_at else p.pop(0) for p in held]) for i in range(width)]
+
     held, size = [], 0
     for batch in bodies:
-        for body in batch.column("body").to_pylist():
-            held.append(unpack(body))
-            size += len(body)
+        for body in batch.column("body"):
+            held.append(unpack(body.as_py()))
+            size += sum(c.nbytes for c in held[-1])
             if size >= limit:
-                yield held
+                yield joined()
                 held, size = [], 0
     if held:
-        yield held
+        yield joined()
 
 
 def _by_splitters(splitters: np.ndarray):
     """Each context to the bucket of its leading tokens; equal grams never part."""
     def run(batches):
-        for parts in _together(batches, 8 << 20):
-            context = np.concatenate([p[0] for p in parts]).reshape(-1, WIDTH)
-            left, right, rows, place = (np.concatenate([p[i] for p in parts]) for i in (1, 2, 4, 5))
-            ids = np.concatenate([np.cumsum(p[3]) for p in parts])
+        for context, left, right, ids, rows, place in _together(batches, 3):
+            context = context.reshape(-1, WIDTH)
             lead = np.ascontiguousarray(context[:, SIDE : SIDE + GRAM]).view(f"S{GRAM}").ravel()
             bucket = np.searchsorted(splitters, lead, side="right")
             for b, (i,) in by_bucket(bucket, np.arange(len(left))):
@@ -340,9 +345,7 @@ def _by_splitters(splitters: np.ndarray):
 def _by_hash(n_strings: int):
     """Each hash of a string to its bucket."""
     def run(batches):
-        for parts in _together(batches):
-            key, rows, place = (np.concatenate([p[i] for p in parts]) for i in (0, 2, 3))
-            ids = np.concatenate([np.cumsum(p[1]) for p in parts])
+        for key, ids, rows, place in _together(batches, 1):
             bucket = (key >> np.uint64(40)).astype(np.int64) % n_strings
             yield _batch([(b, pack(p[0], deltas(p[1]), *p[2:])) for b, p in by_bucket(bucket, key, ids, rows, place)])
 
@@ -353,7 +356,9 @@ def repeated_around(context, left, right, ids) -> tuple[np.ndarray, np.ndarray]:
     """How far before and after its anchor each row is covered by strings a smaller id has: least and greatest start."""
     tokens = leading_tokens(context)
     order = multikey_order(tokens)
-    same = (tokens[order][1:, :2] == tokens[order][:-1, :2]).all(axis=1) if len(order) else np.zeros(0, bool)
+    grams = tokens[:, : GRAM // TOKEN][order]
+    del tokens
+    same = (grams[1:] == grams[:-1]).all(axis=1) if len(order) else np.zeros(0, bool)
     run = np.concatenate([[0], np.cumsum(~same)]).astype(np.int64) if len(order) else np.zeros(0, np.int64)
     first, size = runs_of(run)
     met = np.repeat(np.minimum.reduceat(ids[order], first) < np.maximum.reduceat(ids[order], first), size) if len(order) else np.zeros(0, bool)
@@ -361,18 +366,21 @@ def repeated_around(context, left, right, ids) -> tuple[np.ndarray, np.ndarray]:
     most, least = np.full(len(ids), -1), np.full(len(ids), SIDE + 1)
     if not len(live):
         return most, least
-    sub = context[live]
-    base = np.uint64(0x9E3779B97F4A7C15)
-    prefix = np.zeros((WIDTH + 1, len(live)), np.uint64)
-    for j in range(WIDTH):
-        prefix[j + 1] = prefix[j] * base + sub[:, j].astype(np.uint64) + np.uint64(1)
-    lift = np.uint64(pow(int(base), LENGTH, 1 << 64))
+    column = np.ascontiguousarray(context[live].T)
+    base, inverse = np.uint64(BASE), np.uint64(BASE_INVERSE)
+    lift = np.uint64(pow(BASE, LENGTH - 1, 1 << 64))
+    # the hash of the string that begins at the anchor, then of those that begin one byte earlier each
+    window = np.zeros(len(live), np.uint64)
+    for j in range(SIDE, WIDTH):
+        window = window * base + column[j] + np.uint64(1)
     for delta in range(SIDE + 1):
+        a = SIDE - delta
+        if delta:
+            window = (window - column[a + LENGTH] - np.uint64(1)) * inverse + (column[a] + np.uint64(1)) * lift
         able = np.flatnonzero((left[live] >= delta) & (right[live] >= SIDE - delta))
         if not len(able):
             continue
-        a = SIDE - delta
-        key = mix(prefix[a + LENGTH][able] - prefix[a][able] * lift)
+        key = mix(window[able])
         hit = live[able[_covered_by_smaller(key, ids[live[able]])]]
         most[hit] = np.maximum(most[hit], delta)
         least[hit] = np.minimum(least[hit], delta)
@@ -414,10 +422,19 @@ def _cut_out(as_text: bool):
     def run(batches):
         bucket, waiting, spans, whole = None, [], None, set()
         none = np.zeros(0, np.int64)
+
+        def flush(batch, done):
+            picked, sizes, gone, runs, kept = zip(*done)
+            index = pa.array(picked)
+            out = [pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())]
+            return pa.RecordBatch.from_arrays(
+                [batch.column("id").take(index), batch.column("rest").take(index), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), *out],
+                ["id", "rest", "n_bytes", "n_removed", "n_spans", "kept"])
+
         for batch in batches:
             kinds, of = batch.column("kind").to_numpy(), batch.column("bucket").to_numpy()
             body, rows = batch.column("body"), batch.column("row")
-            picked, sizes, gone, runs, kept = [], [], [], [], []
+            done, held = [], 0
             for i in range(batch.num_rows):
                 if of[i] != bucket:
                     bucket, waiting, spans, whole = of[i], [], None, set()
@@ -434,32 +451,26 @@ def _cut_out(as_text: bool):
                     order = np.lexsort((spans[2], spans[1]))
                     spans = [c[order] for c in spans]
                 text = zstandard.ZstdDecompressor().decompress(body[i].as_py())
-                picked.append(i)
-                sizes.append(len(text))
                 row = rows[i].as_py()
+                held += len(text)
                 if row in whole and len(text) >= LENGTH:
-                    gone.append(len(text))
-                    runs.append(1)
-                    kept.append(b"")
-                    continue
-                a, b = np.searchsorted(spans[1], row), np.searchsorted(spans[1], row, side="right")
-                if batch.column("id")[i].as_py() is None:
-                    a = b
-                left, at = [], 0
-                for begin, end in zip(spans[2][a:b].tolist(), spans[3][a:b].tolist()):
-                    left.append(text[at:begin])
-                    at = end
-                left.append(text[at:])
-                rest = b"".join(left)
-                gone.append(len(text) - len(rest))
-                runs.append(int(b - a))
-                kept.append(rest)
-            if picked:
-                index = pa.array(picked)
-                out = [pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("id").take(index), batch.column("rest").take(index), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), *out],
-                    ["id", "rest", "n_bytes", "n_removed", "n_spans", "kept"])
+                    done.append((i, len(text), len(text), 1, b""))
+                else:
+                    a, b = np.searchsorted(spans[1], row), np.searchsorted(spans[1], row, side="right")
+                    if batch.column("id")[i].as_py() is None:
+                        a = b
+                    left, at = [], 0
+                    for begin, end in zip(spans[2][a:b].tolist(), spans[3][a:b].tolist()):
+                        left.append(text[at:begin])
+                        at = end
+                    left.append(text[at:])
+                    rest = b"".join(left)
+                    done.append((i, len(text), len(text) - len(rest), int(b - a), rest))
+                if held >= CUT_BYTES:
+                    yield flush(batch, done)
+                    done, held = [], 0
+            if done:
+                yield flush(batch, done)
 
     return run
 
