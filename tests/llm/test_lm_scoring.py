@@ -101,6 +101,67 @@ def test_each_id_once_and_causal(model):
         assert int((size - old).sum()) == sizes[0]
 
 
+def test_only_what_was_not_scored_is_computed(model):
+    m, flat, _ = model
+    ids = flat[: 5 * 32].reshape(5, 32)
+    want = m.hidden(ids, np.ones((5, 32), bool))
+    for old in (0, 8):
+        got = m.fast_hidden(m.wide(), m.slot[ids], old)
+        assert got.shape == (5, 32 - old, lm_model.DIM) and np.allclose(got, want[:, old:], atol=1e-5)
+
+
+def test_scores_far_below_zero_stay_finite(model):
+    m, flat, sizes = model
+    eye = 40 * np.eye(lm_model.DIM, dtype=np.float32)
+    far = lm_model.Model(m.weights | {"q": eye, "k": -eye, "classes": 100 * m.weights["classes"]}, m.slot, m.kind, m.inside)
+    logs = far.logs(flat[:200], np.array([200]))
+    assert np.isfinite(logs).all() and (logs <= 0).all()
+    ids = flat[None, :20]
+    loss, grad = far.gradients(ids, np.ones((1, 20), bool), flat[None, 1:21])
+    assert np.isfinite(loss) and all(np.isfinite(g).all() for g in grad.values())
+
+
+def test_one_pass_moves_all_weights(model):
+    m, flat, _ = model
+    own = lm_model.Model({k: v.copy() for k, v in m.weights.items()}, m.slot, m.kind, m.inside)
+    sizes = np.array([100, 60])
+    lm_model.fit(own, flat[:160], sizes, 3, 2)
+    # Adam as written down, on the same batches
+    weights = {k: v.astype(float) for k, v in m.weights.items()}
+    plain = lm_model.Model(weights, m.slot, m.kind, m.inside)
+    moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in weights.items()}
+    of, first, size, _ = lm_model.windows_of(sizes - 1)
+    where = (np.array([0, 100])[of] + first)[:, None] + np.arange(32)
+    real = np.arange(32) < size[:, None]
+    where = np.where(real, where, 0)
+    for step in (1, 2):
+        _, grad = plain.gradients(flat[where], real, flat[np.where(real, where + 1, 0)])
+        for k, g in grad.items():
+            a, b = moments[k]
+            a += 0.1 * (g - a)
+            b += 0.01 * (g * g - b)
+            weights[k] = weights[k] - 0.01 * step / 50 * 0.05 ** (step / 2) * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-7)
+        plain.weights.update(weights)
+    assert all(np.allclose(own.weights[k], weights[k], atol=2e-5) for k in weights)
+
+
+def test_scores_do_not_depend_on_what_lies_around(model):
+    m, flat, _ = model
+    pick = np.random.default_rng(1)
+    parts = [flat[a : a + n] for a, n in zip(pick.integers(0, 300, 200), pick.integers(2, 90, 200))]
+
+    def scored(order):
+        logs = m.logs(np.concatenate([parts[i] for i in order]), np.array([len(parts[i]) for i in order]))
+        cuts = np.cumsum([len(parts[i]) - 1 for i in order])[:-1]
+        return dict(zip(order, (x.tolist() for x in np.split(logs, cuts))))
+
+    want = scored(list(range(200)))
+    got = {}
+    for order in np.array_split(pick.permutation(200), 7):
+        got |= scored(order.tolist())
+    assert got == want
+
+
 def test_gradients(model):
     m, flat, _ = model
     m = lm_model.Model({k: v.astype(np.float64) for k, v in m.weights.items()}, m.slot, m.kind, m.inside)

@@ -6,6 +6,8 @@ from dataclasses import dataclass
 
 import numpy as np
 
+from tidemark.llm.common import runs_of
+
 DIM = 16
 INNER = 32
 WINDOW = 32
@@ -14,8 +16,10 @@ CLASSES = 128
 ALONE = 64  # most frequent ids that are a class of their own
 CONTEXT_IDS = 128
 BATCH = 128
-SCORED = 64  # windows scored at a time
+SCORED = 128  # windows scored at a time
 EPOCHS = 2
+LARGEST = 60  # of a logit
+ALIKE = 8  # widths of windows are multiples of it
 
 
 def windows_of(sizes: np.ndarray, fresh: int = FRESH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -58,91 +62,142 @@ class Model:
         logit -= logit.max(axis=-1, keepdims=True)
         return logit - np.log(np.exp(logit).sum(axis=-1, keepdims=True))
 
-    def fast_hidden(self, slots: np.ndarray) -> np.ndarray:
-        """What `hidden` returns, with few passes over the attention: sums come out of the product with the values."""
+    def wide(self) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of the embedding and of the places, each beside its products with `near` and `told`, and a one at the end."""
+        whole = np.concatenate([np.eye(DIM, dtype=np.float32), *self.products(), np.zeros((DIM, 1), np.float32)], axis=1)
+        embed = self.weights["embed"] @ whole
+        embed[:, -1] = 1
+        return embed, self.weights["place"] @ whole
+
+    def products(self) -> tuple[np.ndarray, np.ndarray]:
+        """`near`: what stands between two inputs in their attention score; `told`: what an input adds where it is attended to."""
+        w = self.weights
+        return w["q"] @ w["k"].T / w["q"].dtype.type(np.sqrt(DIM)), w["v"] @ w["o"]
+
+    def fast_hidden(self, wide: tuple[np.ndarray, np.ndarray], slots: np.ndarray, old: int) -> np.ndarray:
+        """What `hidden` returns from input `old` of each window on."""
         w = self.weights
         n, length = slots.shape
-        x = w["embed"][slots]
-        x += w["place"][:length]
-        score = np.matmul((x @ (w["q"] / np.float32(np.sqrt(DIM)))), (x @ w["k"]).transpose(0, 2, 1))
-        np.minimum(score, 60, out=score)
-        np.exp(score, out=score)
-        score *= np.tril(np.ones((length, length), np.float32))
-        mixed = np.matmul(score, np.concatenate([x @ w["v"], np.ones((n, length, 1), np.float32)], axis=2))
-        x += (mixed[:, :, :DIM] / mixed[:, :, DIM:]) @ w["o"]
-        inner = x @ w["up"]
+        rows = wide[0].take(slots, 0)
+        rows += wide[1][:length]
+        x, asked, told = rows[:, :, :DIM], rows[:, old:, DIM : 2 * DIM], rows[:, :, 2 * DIM :]
+        score = np.matmul(asked, x.transpose(0, 2, 1))
+        np.exp(hold(score, bound(asked, x)), out=score)
+        score *= np.tri(length, dtype=score.dtype)[old:]
+        mixed = np.matmul(score, told)  # sums of the scores come out beside it
+        z = mixed[:, :, :DIM] / mixed[:, :, DIM:]
+        z += x[:, old:]
+        inner = np.matmul(z, w["up"])
         inner += w["up0"]
         np.maximum(inner, 0, out=inner)
-        x += inner @ w["down"]
-        return x
+        z += np.matmul(inner, w["down"])
+        return z
 
     def gradients(self, ids, real, target) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean class loss over real positions, and its gradients."""
-        w, keep = self.weights, {}
-        z = self.hidden(ids, real, keep)
-        logs = self.class_logs(z)
-        want = self.kind[target]
+        """Mean class loss over real positions, and its gradients.
+
+        Shares are kept as exponentials over their sums, so that the large arrays (inputs by
+        inputs, positions by classes) are read as seldom as may be.
+        """
+        w = self.weights
+        n, length = ids.shape
         total = max(1, int(real.sum()))
-        loss = -float(np.take_along_axis(logs, want[:, :, None], 2)[:, :, 0][real].sum()) / total
-        d = np.exp(logs)
-        np.put_along_axis(d, want[:, :, None], np.take_along_axis(d, want[:, :, None], 2) - 1, 2)
-        d *= (real[:, :, None] / total).astype(d.dtype)
-
-        def outer(a, b):
-            return a.reshape(-1, a.shape[-1]).T @ b.reshape(-1, b.shape[-1])
-
-        grad = {"classes": outer(z, d), "classes0": d.sum(axis=(0, 1))}
-        d_z = d @ w["classes"].T
-        grad["down"] = outer(keep["inner"], d_z)
-        d_inner = (d_z @ w["down"].T) * (keep["inner"] > 0)
-        grad["up"], grad["up0"] = outer(keep["y"], d_inner), d_inner.sum(axis=(0, 1))
-        d_y = d_z + d_inner @ w["up"].T
-        grad["o"] = outer(keep["mixed"], d_y)
-        d_mixed = d_y @ w["o"].T
-        share = keep["share"]
-        d_v = np.matmul(share.transpose(0, 2, 1), d_mixed)
-        d_share = np.matmul(d_mixed, keep["v"].transpose(0, 2, 1))
-        d_score = share * (d_share - (share * d_share).sum(axis=2, keepdims=True)) / np.sqrt(DIM)
-        d_score = d_score.astype(share.dtype)
-        d_q, d_k = np.matmul(d_score, keep["k"]), np.matmul(d_score.transpose(0, 2, 1), keep["q"])
-        d_x = d_y.copy()
-        for name, part in (("q", d_q), ("k", d_k), ("v", d_v)):
-            grad[name] = outer(keep["x"], part)
-            d_x += part @ w[name].T
+        rows, real, want = self.slot[ids].ravel(), real.ravel(), self.kind[target].ravel()
+        x = w["embed"].take(rows, 0).reshape(n, length, DIM)
+        x += w["place"][:length]
+        products = np.concatenate(self.products(), axis=1)
+        both = (x.reshape(-1, DIM) @ products).reshape(n, length, 2 * DIM)
+        asked, told = both[:, :, :DIM], both[:, :, DIM:]
+        score = np.matmul(asked, x.transpose(0, 2, 1))
+        np.exp(hold(score, bound(asked, x)), out=score)
+        score *= np.tri(length, dtype=score.dtype)
+        below = (score.reshape(-1, length) @ np.ones(length, score.dtype)).reshape(n, length, 1)
+        mixed = np.matmul(score, told)
+        mixed /= below
+        y = (x + mixed).reshape(-1, DIM)
+        inner = y @ w["up"]
+        inner += w["up0"]
+        np.maximum(inner, 0, out=inner)
+        z = y + inner @ w["down"]
+
+        e, own, at = hold(z @ w["classes"], bound(z, w["classes"].T)), np.exp(w["classes0"]), np.arange(len(z))
+        chosen = e[at, want] + w["classes0"][want]
+        np.exp(e, out=e)
+        sums = e @ own
+        loss = -float((chosen - np.log(sums))[real].sum()) / total
+        # the gradient of a logit is e * own * part, the wanted one's less by 1 / total
+        e[at, want] -= sums / own[want]
+        part = real / (sums * total)
+        part = part.astype(e.dtype)[:, None]
+        grad = {"classes": (e.T @ (z * part)).T * own, "classes0": part[:, 0] @ e * own}
+        d_z = e @ (w["classes"] * own).T
+        d_z *= part
+        d_inner = d_z @ w["down"].T
+        d_inner *= inner > 0
+        grad |= {"down": inner.T @ d_z, "up": y.T @ d_inner, "up0": np.ones(len(z), z.dtype) @ d_inner}
+        d_y = (d_z + d_inner @ w["up"].T).reshape(n, length, DIM)
+        d_mixed = d_y / below
+        d_score = np.matmul(d_mixed, told.transpose(0, 2, 1))
+        d_score -= np.einsum("nij,nij->ni", d_mixed, mixed)[:, :, None]
+        d_score *= score
+        d_both = np.empty_like(both)
+        d_both[:, :, :DIM] = np.matmul(d_score, x)
+        d_both[:, :, DIM:] = np.matmul(score.transpose(0, 2, 1), d_mixed)
+        flat = d_both.reshape(-1, 2 * DIM)
+        d_products = x.reshape(-1, DIM).T @ flat
+        d_near, d_told = d_products[:, :DIM] / w["q"].dtype.type(np.sqrt(DIM)), d_products[:, DIM:]
+        grad |= {"q": d_near @ w["k"], "k": d_near.T @ w["q"], "v": d_told @ w["o"].T, "o": w["v"].T @ d_told}
+        d_x = np.matmul(d_score.transpose(0, 2, 1), asked)
+        d_x += d_y
+        d_x += (flat @ products.T).reshape(n, length, DIM)
         grad["place"] = np.zeros_like(w["place"])
-        grad["place"][: ids.shape[1]] = d_x.sum(axis=0)
-        flat, rows = d_x.reshape(-1, DIM), self.slot[ids].ravel()
-        grad["embed"] = np.stack([np.bincount(rows, flat[:, j], len(w["embed"])) for j in range(DIM)], axis=1).astype(w["embed"].dtype)
+        grad["place"][:length] = d_x.sum(axis=0)
+        cells = (rows[:, None] * DIM + np.arange(DIM)).ravel()
+        grad["embed"] = np.bincount(cells, d_x.ravel(), w["embed"].size).reshape(-1, DIM).astype(w["embed"].dtype)
         return loss, grad
 
-    def logs(self, sequences: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    def logs(self, sequences: np.ndarray, sizes: np.ndarray, wide: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
         """Natural log probability of every id after the first of each sequence; sequences lie one after the other.
 
         Long sequences are read in overlapping windows; every id is scored once, with the
-        context of the window it is fresh in.
+        context of the window it is fresh in. `wide` is what `wide()` returns.
         """
+        wide = wide or self.wide()
         start = np.cumsum(sizes) - sizes
         inputs = np.maximum(sizes - 1, 0)
         of, first, size, old = windows_of(inputs)
         begin = start[of] + first
         out_at = (np.cumsum(inputs) - inputs)[of] + first
         out = np.empty(int(inputs.sum()))
-        order = np.argsort(size, kind="stable")
-        slots, ones = self.slot[sequences], np.ones(CLASSES, np.float32)
-        for a in range(0, len(order), SCORED):
-            pick = order[a : a + SCORED]
-            spot = np.arange(int(size[pick].max()))[None, :]
-            real = spot < size[pick][:, None]
-            where = np.where(real, begin[pick][:, None] + spot, 0)
-            scored = real & (spot >= old[pick][:, None])
-            target = sequences[where[scored] + 1]
-            logit = self.fast_hidden(slots[where])[scored] @ self.weights["classes"]
-            logit += self.weights["classes0"]
-            np.minimum(logit, 60, out=logit)  # far above any logit seen; the sum cannot overflow
-            chosen = logit[np.arange(len(target)), self.kind[target]]
+        # a window's products are its own and as wide as its size asks for, so that they round alike whatever lies around it
+        width = np.minimum(WINDOW, -(-size // ALIKE) * ALIKE)
+        order = np.lexsort((width, old))
+        slots, kinds, own = self.slot[sequences], self.kind[sequences], np.exp(self.weights["classes0"])
+        blocks = [(a, min(a + SCORED, first + n)) for first, n in zip(*runs_of((old * WINDOW + width)[order])) for a in range(first, first + n, SCORED)]
+        for a, b in blocks:
+            pick = order[a:b]
+            known, spot = int(old[pick[0]]), np.arange(int(width[pick[0]]))
+            where = np.minimum(begin[pick][:, None] + spot, len(sequences) - 2)
+            z = self.fast_hidden(wide, slots[where], known)
+            logit = hold(np.matmul(z, self.weights["classes"]).reshape(-1, CLASSES), bound(z, self.weights["classes"].T))
+            wanted = kinds[where[:, known:] + 1].ravel()
+            chosen = logit[np.arange(len(wanted)), wanted] + self.weights["classes0"][wanted]
             np.exp(logit, out=logit)
-            out[(out_at[pick][:, None] + spot)[scored]] = chosen - np.log(logit @ ones) + self.inside[target]
-        return out
+            chosen -= np.log(logit @ own)
+            real = (spot < size[pick][:, None])[:, known:]
+            fresh = (out_at[pick][:, None] + spot)[:, known:]
+            out[fresh[real]] = chosen[real.ravel()]
+        return out + np.delete(self.inside[sequences], start[sizes > 0])
+
+
+def bound(a: np.ndarray, b: np.ndarray) -> float:
+    """No product of a row of `a` and a row of `b` is above it."""
+    return float(np.sqrt(np.einsum("...i,...i", a, a).max(initial=0) * np.einsum("...i,...i", b, b).max(initial=0)))
+
+
+def hold(logit: np.ndarray, most: float) -> np.ndarray:
+    """Logits of at most `most`, in place; beyond 60, far above what is seen, they are cut off so that no sum overflows or is zero."""
+    return logit if most < LARGEST else np.clip(logit, -LARGEST, LARGEST, out=logit)
 
 
 def near_of(counts: np.ndarray) -> np.ndarray:
@@ -221,7 +276,12 @@ def fit(model: Model, sequences: np.ndarray, sizes: np.ndarray, seed: int, epoch
     start, inputs = np.cumsum(sizes) - sizes, np.maximum(sizes - 1, 0)
     of, first, size, _ = windows_of(inputs, fresh)
     begin = start[of] + first
-    moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in weights.items()}
+    names, rest = list(weights), np.concatenate([w.ravel() for w in weights.values()])
+    at = 0
+    for name in names:  # views, so that one pass moves them all
+        weights[name] = rest[at : at + weights[name].size].reshape(weights[name].shape)
+        at += weights[name].size
+    m, v, change = np.zeros_like(rest), np.zeros_like(rest), np.empty_like(rest)
     step, steps = 0, epochs * (-(-len(of) // BATCH))
     for _ in range(epochs):
         order = draw.permutation(len(of))
@@ -231,13 +291,18 @@ def fit(model: Model, sequences: np.ndarray, sizes: np.ndarray, seed: int, epoch
             real = spot < size[pick][:, None]
             where = np.where(real, begin[pick][:, None] + spot, 0)
             _, grad = model.gradients(sequences[where], real, sequences[np.where(real, where + 1, 0)])
+            g = np.concatenate([grad[name].ravel() for name in names])
             step += 1
             rate = top * min(1, step / 50) * fall ** (step / steps)
-            for name, g in grad.items():
-                m, v = moments[name]
-                m += 0.1 * (g - m)
-                v += 0.01 * (g * g - v)
-                weights[name] -= (rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
+            m += np.multiply(np.subtract(g, m, out=change), 0.1, out=change)
+            np.multiply(g, g, out=g)
+            v += np.multiply(np.subtract(g, v, out=change), 0.01, out=change)
+            np.sqrt(v, out=change)
+            change *= float(1 / np.sqrt(1 - 0.99**step))
+            change += 1e-7
+            np.divide(m, change, out=change)
+            change *= rate / (1 - 0.9**step)
+            rest -= change
 
 
 def start_fit(model: Model, sequences: np.ndarray, sizes: np.ndarray, seed: int = 5, epochs: int = EPOCHS) -> None:
