@@ -3,6 +3,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
@@ -240,3 +241,19 @@ def test_each_id_learnt_once_and_counted(spark):
     assert sum(r.n for r in pieces.collect()) == (sizes - 1).sum()
     got = {r.i: r.n for r in pieces.select("opens", "body").mapInArrow(lm_scoring._id_counts(50257), "i long, n long").groupBy("i").sum("n").toDF("i", "n").collect()}
     assert got == Counter(flat.tolist())
+
+
+def test_words_that_share_40_bits_are_two(monkeypatch, model):
+    content = SimpleNamespace(value=("byte_bpe_50k.json", open(PATH, "rb").read()))
+    monkeypatch.setattr(lm_scoring, "_words", lambda texts: (np.array([5, 5 + (1 << 47)], np.uint64), np.array([0, 1, 2])))
+    monkeypatch.setattr(lm_scoring.TaskContext, "get", staticmethod(lambda: SimpleNamespace(partitionId=lambda: 0)))
+    none = np.zeros(0, np.int64)
+    know = lm_scoring.Shared(model[0], none.view(np.uint64), none, 4, 2, 50256, np.zeros(50257, bool))
+    texts = lm_scoring.pa.RecordBatch.from_pydict({"id": [0, 1], "text": ["x", "y"], "learn": [True, False]})
+    scored = list(lm_scoring._score(SimpleNamespace(value=know), content, 1, 1)(iter([texts])))
+    rare = [b.select(["bucket", "body"]) for b in scored if b.column("kind")[0].as_py() == 1]
+    *sums, met = lm_scoring._rare(4, 1)(iter(rare))
+    assert met.column("bucket").to_pylist() == [1]
+    # the held-out word is none of the training words
+    known = [lm_scoring.unpack(body)[1].tolist() for b in sums for body in b.column("body").to_pylist()]
+    assert known == [[1, 0]]

@@ -303,7 +303,7 @@ def _score(shared, content, n_words: int, n_texts: int):
     def flush(held):
         h, keys, learn, logs = (np.concatenate(x) for x in zip(*held))
         rows = [(b, pack(p[0], deltas(p[1]), p[2].view(np.uint8), p[3].astype("<f4").view(np.uint8)))
-                for b, p in _by_bucket((h >> np.uint64(40)).astype(np.int64) % n_words, h & np.uint64((1 << 40) - 1), keys, learn, logs)]
+                for b, p in _by_bucket((h >> np.uint64(40)).astype(np.int64) % n_words, h, keys, learn, logs)]
         none = pa.nulls(len(rows))
         return pa.RecordBatch.from_arrays(
             [pa.array([1] * len(rows), pa.int32()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()),
